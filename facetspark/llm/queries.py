@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from facetspark.llm import bpe, exact_dedup, sharding, token_counts
+from facetspark.llm import bpe, exact_dedup, near_dedup, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
     return both.select(
@@ -48,6 +52,7 @@ FROM d
 """
 
 QUERIES = {
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_label_propagation_shards": op8_label_propagation_shards,
     "op9_exact_dedup": op9_exact_dedup,
