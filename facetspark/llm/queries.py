@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from facetspark.llm import bpe, exact_dedup, near_dedup, sharding, token_counts
+from facetspark.llm import bpe, exact_dedup, near_dedup, sharding, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write, index, then read every record back through the index. url_hits: captures that a lookup by URL finds for ids divisible by 50."""
+    pages = _table(spark, sf_dir, "pages")
+    directory = warc.write_index(warc.write_archives(pages))
+    records = warc.read_records(warc.scan_index(directory), payloads=False).drop("payload", "url")
+    asked = pages.where("page_id % 50 = 0").select(F.col("page_id").alias("asked"), "url")
+    hits = warc.lookup(asked, directory).groupBy(F.col("asked").alias("page_id")).agg(F.count("*").alias("url_hits"))
+    return records.join(hits, "page_id", "left")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +62,7 @@ FROM d
 """
 
 QUERIES = {
+    "op2_warc_capture_index": op2_warc_capture_index,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_label_propagation_shards": op8_label_propagation_shards,
