@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from facetspark.llm import bpe, exact_dedup, near_dedup, sharding, token_counts, warc
+from facetspark.llm import bpe, decontam, exact_dedup, near_dedup, sharding, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, a row for each benchmark item they hold."""
+    hits = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return hits.withColumn("score", F.round("score", 6)).withColumn("contaminated", F.lit(True))
+
+
 def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write, index, then read every record back through the index. url_hits: captures that a lookup by URL finds for ids divisible by 50."""
     pages = _table(spark, sf_dir, "pages")
@@ -62,6 +68,7 @@ FROM d
 """
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_warc_capture_index": op2_warc_capture_index,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
