@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from facetspark.llm import bpe, decontam, exact_dedup, near_dedup, sharding, token_counts, warc
+from facetspark.llm import bpe, decontam, exact_dedup, near_dedup, quality, sharding, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.withColumn("perplexity", F.round("perplexity", 6)).withColumn("threshold", F.round("threshold", 6))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
     return both.select(
@@ -71,6 +76,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_warc_capture_index": op2_warc_capture_index,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_kneser_ney_quality": op6_kneser_ney_quality,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_label_propagation_shards": op8_label_propagation_shards,
     "op9_exact_dedup": op9_exact_dedup,
