@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from facetspark.llm import bpe, decontam, exact_dedup, near_dedup, quality, sharding, token_counts, warc
+from facetspark.llm import bpe, decontam, exact_dedup, langid, near_dedup, quality, sharding, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.join(hits, "page_id", "left")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = langid.identify(_table(spark, sf_dir, "documents"), learn=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +81,7 @@ FROM d
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_warc_capture_index": op2_warc_capture_index,
+    "op4_language_id": op4_language_id,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_kneser_ney_quality": op6_kneser_ney_quality,
     "op7_bpe_round_trip": op7_bpe_round_trip,
