@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from facetspark.llm import bpe, decontam, exact_dedup, langid, near_dedup, quality, sharding, token_counts, warc
+from facetspark.llm import bpe, decontam, exact_dedup, langid, near_dedup, quality, sharding, substring_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.join(hits, "page_id", "left")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     found = langid.identify(_table(spark, sf_dir, "documents"), learn=~held_out)
@@ -81,6 +87,7 @@ FROM d
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_warc_capture_index": op2_warc_capture_index,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_language_id": op4_language_id,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_kneser_ney_quality": op6_kneser_ney_quality,
