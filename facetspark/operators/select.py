@@ -1,0 +1,126 @@
+"""Selection of diverse subsets, sampling and quotas."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+
+def seeded(seed: int, id_col: Column) -> Column:
+    """A reproducible random key: the SHA-256 of seed and id."""
+    return F.sha2(F.concat_ws("|", F.lit(str(seed)), id_col.cast("string")), 256)
+
+
+def top_by(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str = "pos") -> DataFrame:
+    """The first n rows of each key."""
+    return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= n)
+
+
+def cluster_round_robin(pool: DataFrame, n: int) -> DataFrame:
+    """pool (qid, uid, rel, label): one unit of each cluster in turn, clusters by best relevance, noise (-1) last in a round."""
+    c = W.partitionBy("qid", "label")
+    turns = pool.withColumn("round", F.row_number().over(c.orderBy(F.desc("rel"), "uid"))).withColumn("best", F.max("rel").over(c))
+    order = W.partitionBy("qid").orderBy("round", F.col("label") == -1, F.desc("best"), "label")
+    return turns.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n).select("qid", "uid", "pos")
+
+
+def outlier_harvest(pool: DataFrame, n: int, fraction: float = 0.3) -> DataFrame:
+    """pool (qid, uid, rel, label): the most relevant, and a share of the budget from the noise cluster."""
+    tail_n = int(round(fraction * n))
+    w = W.partitionBy("qid", "tail").orderBy(F.desc("rel"), "uid")
+    marked = pool.withColumn("tail", F.col("label") == -1).withColumn("r", F.row_number().over(w))
+    picked = marked.withColumn("first", F.when(F.col("tail"), F.col("r") <= tail_n).otherwise(F.col("r") <= n - tail_n))
+    order = W.partitionBy("qid").orderBy(F.desc("first"), F.desc("rel"), "uid")
+    return picked.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n).select("qid", "uid", "pos")
+
+
+def _picked(pool: DataFrame, choose) -> DataFrame:
+    kinds = dict(pool.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("uid", kind="stable").reset_index(drop=True)
+        at = choose(pdf)
+        return pd.DataFrame({"qid": pdf["qid"].iloc[at].to_numpy(), "uid": pdf["uid"].iloc[at].to_numpy(), "pos": np.arange(1, len(at) + 1)})
+
+    return pool.groupBy("qid").applyInPandas(run, f"qid {kinds['qid']}, uid {kinds['uid']}, pos long")
+
+
+def mmr(pool: DataFrame, n: int, balance: float = 0.7) -> DataFrame:
+    """pool (qid, uid, rel, vec), a bounded pool for each query: maximal marginal relevance, one unit after the other."""
+
+    def choose(pdf: pd.DataFrame) -> list[int]:
+        rel, vec = pdf["rel"].to_numpy(float), np.array(pdf["vec"].tolist(), float)
+        near, left, out = np.full(len(rel), -np.inf), np.ones(len(rel), bool), []
+        for _ in range(min(n, len(rel))):
+            gain = balance * rel - (1 - balance) * np.where(np.isinf(near), 0.0, near)
+            i = int(np.where(left, gain, -np.inf).argmax())
+            out.append(i)
+            left[i] = False
+            near = np.maximum(near, vec @ vec[i])
+        return out
+
+    return _picked(pool, choose)
+
+
+def dpp(pool: DataFrame, n: int, theta: float = 0.7, epsilon: float = 1e-10) -> DataFrame:
+    """pool (qid, uid, rel, vec): greedy MAP of a determinantal process with incremental Cholesky updates."""
+
+    def choose(pdf: pd.DataFrame) -> list[int]:
+        rel, vec = pdf["rel"].to_numpy(float), np.array(pdf["vec"].tolist(), float)
+        quality = np.exp(theta / (2 * (1 - theta)) * rel) if theta < 1 else np.exp(rel)
+        kernel = quality[:, None] * (vec @ vec.T) * quality[None, :]
+        gain, rows, out = kernel.diagonal().copy(), np.zeros((0, len(rel))), []
+        while len(out) < min(n, len(rel)):
+            i = int(gain.argmax())
+            if gain[i] < epsilon:
+                break
+            out.append(i)
+            row = (kernel[i] - rows.T @ rows[:, i] if len(rows) else kernel[i]) / np.sqrt(gain[i])
+            rows = np.vstack((rows, row))
+            gain = gain - row**2
+            gain[i] = -np.inf
+        return out
+
+    return _picked(pool, choose)
+
+
+def coverage_stratified(pool: DataFrame, n: int) -> DataFrame:
+    """pool (qid, uid, rel, label): the best unit of each stratum, then an even stride through each, then the most relevant."""
+
+    def choose(pdf: pd.DataFrame) -> list[int]:
+        order = pdf.sort_values(["rel", "uid"], ascending=[False, True]).index.tolist()
+        by: dict = {}
+        for i in order:
+            by.setdefault(pdf["label"].iloc[i], []).append(i)
+        out = [x[0] for x in by.values()][:n]
+        share = max(1, (n - len(out)) // max(1, len(by)))
+        for x in by.values():
+            step = max(1, len(x) // (share + 1))
+            out += [i for i in x[step::step][:share] if i not in out and len(out) < n]
+        out = out[:n]
+        return out + [i for i in order if i not in set(out)][: n - len(out)]
+
+    return _picked(pool, choose)
+
+
+POLICIES = {"top_k": None, "mmr": mmr, "dpp": dpp, "cluster_round_robin": cluster_round_robin, "outlier_harvest": outlier_harvest, "coverage_stratified": coverage_stratified}
+
+
+def largest_remainder(sizes: DataFrame, total: int, key: str, size: str = "n") -> DataFrame:
+    """(key, quota): the total dealt in proportion to the sizes, what is left by largest fraction, then key.
+
+    One row for each stratum; a few strata.
+    """
+    s = sizes.withColumn("one", F.lit(0))
+    exact = F.col(size) * F.lit(total) / F.sum(size).over(W.partitionBy("one"))
+    base = s.withColumn("exact", exact).withColumn("base", F.floor("exact"))
+    left = F.lit(total) - F.sum("base").over(W.partitionBy("one"))
+    nth = F.row_number().over(W.partitionBy("one").orderBy(F.desc(F.round(F.col("exact") - F.col("base"), 9)), key))
+    return base.withColumn("left", left).withColumn("nth", nth).select(key, (F.col("base") + (F.col("nth") <= F.col("left")).cast("long")).alias("quota"))
+
+
+def draw_by_quota(df: DataFrame, quotas: DataFrame, key: str, id_col: str, seed: int) -> DataFrame:
+    """Of each stratum as many rows as its quota, in seeded random order."""
+    nth = F.row_number().over(W.partitionBy(key).orderBy(seeded(seed, F.col(id_col)), id_col))
+    return df.withColumn("nth", nth).join(quotas, key).where(F.col("nth") <= F.col("quota")).drop("nth", "quota")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from facetspark.plans import relational, retrieval, texts
+
 FLAGSHIP = "k6_bm25_top10"
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in (retrieval, texts, relational):
+    QUERIES.update(module.QUERIES)
+    ORACLES.update(module.ORACLES)
