@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from facetspark.plans import relational, retrieval, texts
+from facetspark.plans import evaluation, relational, retrieval, texts
 
 FLAGSHIP = "k6_bm25_top10"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (retrieval, texts, relational):
+for module in (retrieval, texts, relational, evaluation):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
