@@ -102,7 +102,7 @@ def k11_group_channel(spark, sf_dir):
     return coverage.group_channel(groups, v.select("grp", "uid"), s).select("qid", "uid", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {sim_sql('s', depth=40)}, r AS (SELECT qid, uid, uid // 10 AS container, rank FROM s), c AS (SELECT qid, container, row_number() OVER (PARTITION BY qid ORDER BY min(rank), container) AS place FROM r GROUP BY ALL),
+@query(f"""WITH {sim_sql('s', depth=40)}, r AS (SELECT qid, uid, uid // 10 AS container, rank FROM s), c AS (SELECT qid, container, row_number() OVER (PARTITION BY qid ORDER BY min(rank), container) AS place FROM r GROUP BY qid, container),
 top AS (SELECT * FROM c WHERE place <= 3), o AS (SELECT q.vec_id AS qid, u.vec_id AS uid, u.vec_id // 10 AS container, list_dot_product(q.embedding::DOUBLE[], u.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings u ON q.vec_id % 50 = 0),
 a AS (SELECT o.qid, o.uid, 0 AS stage, place, -score AS ord FROM o JOIN top USING (qid, container)), b AS (SELECT qid, uid, 1 AS stage, 0 AS place, rank::DOUBLE AS ord FROM r WHERE (qid, uid) NOT IN (SELECT (qid, uid) FROM a))
 SELECT qid, uid, stage, row_number() OVER (PARTITION BY qid ORDER BY stage, place, ord, uid) AS pos FROM (FROM a UNION ALL FROM b)""")
