@@ -130,8 +130,9 @@ def _sizes_fit(n, m):
 def _rest(sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of different components that can be linked, by an exact prefix filter.
 
-    Two sets with similarity t share one of the first n - ceil(t * n) + 1 elements of each when both are
-    ordered alike; ordered from rare to common, elements of a passage that many documents share come last.
+    Linked sets of n and m elements share at least o = LINK_NUM * (n + m) / (LINK_NUM + LINK_DEN) of them. With
+    both ordered alike, the first that they share has place n - o + 1 at most in the one and m - o + 1 in the
+    other. Ordered from rare to common, elements of a passage that many documents share come last.
     Elements that one document alone has need no row beyond their count.
     """
     items = _items(sets.join(labels, "id"))
@@ -144,14 +145,16 @@ def _rest(sets: DataFrame, labels: DataFrame) -> DataFrame:
         common.groupBy("id", "n", "label")
         .agg(F.sort_array(F.collect_list(F.struct("f", "w", (F.col("l1") != F.col("l2")).alias("mixed")))).alias("c"))
         .where(first > lone)
-        .select("id", "n", "label", F.explode(F.slice("c", F.lit(1), (first - lone).cast("int"))).alias("c"))
+        .select("id", "n", "label", lone.alias("lone"), F.posexplode(F.slice("c", F.lit(1), (first - lone).cast("int"))).alias("i", "c"))
         .where("c.mixed")
-        .select("id", "n", "label", F.col("c.w").alias("w"))
+        .select("id", "n", "label", (F.col("lone") + F.col("i") + 1).alias("at"), F.col("c.w").alias("w"))
     )
     kept = stash(kept, "near-prefixes")
     x, y = kept.alias("x"), kept.alias("y")
+    least = F.ceil(LINK_NUM * (F.col("x.n") + F.col("y.n")) / (LINK_NUM + LINK_DEN))
+    near = (F.col("x.at") <= F.col("x.n") - least + 1) & (F.col("y.at") <= F.col("y.n") - least + 1)
     return (
-        x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _sizes_fit(F.col("x.n"), F.col("y.n")))
+        x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & near)
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
     )
@@ -180,10 +183,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     1. Equal sets fall together by a 128-bit hash of the set; the smallest id stands for them from here on.
     2. One-permutation MinHash with optimal densification gives 128 bins, in 32 bands of 4. Members of a
-       band's bucket are paired with the bucket's smallest id alone (a star), so a bucket of m gives m - 1
-       pairs, which are confirmed on the whole sets.
+       band's bucket are paired with one member alone (a star), so a bucket of m gives m - 1 pairs, which
+       are confirmed on the whole sets. The centre is the member with most neighbours over all bands, which is
+       nearest to the others of a group of edited copies.
     3. A star can miss a link between two members that aren't linked with its centre. So every bucket
-       that holds several components after the stars hands its members to an exact prefix-filter join
+       that holds several components after that hands its members to an exact prefix-filter join
        between components, and its pairs are confirmed on the whole sets too.
 
     Defined results: null or blank texts have an empty set and no links. Null ids are rows of their own:
@@ -196,14 +200,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = cut(known.groupBy("print").agg(F.min(F.struct("id", "n", "bands")).alias("r"), F.count("*").alias("copies")))
     reps = classes.select("r.*")
     rows = reps.select("id", "n", F.explode("bands").alias("key"))
-    stars = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where("hub.id < last")
-    member = stash(rows.join(stars.select("key", "hub"), "key").select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "near-members")
-    pairs = cut(member.where(F.col("id") != F.col("hub")).where(_sizes_fit(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    ids = cut(member.select("id").distinct())
+    full = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    member = stash(rows.join(full, "key"), "near-members")
+    ids = cut(member.groupBy("id").agg(F.sum("c").alias("near")))
+    member = cut(member.join(ids, "id").select("key", "id", "n", F.struct("near", (-F.col("id")).alias("minus")).alias("rank")))
     sets = stash(_sets(src.join(ids, src["_id"] == ids["id"], "left_semi")), "near-sets")
+    hubs = member.groupBy("key").agg(F.max_by(F.struct("id", "n"), "rank").alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
+    far = (F.col("id") != F.col("hub")) & _sizes_fit(F.col("n"), F.col("hub_n"))
+    pairs = cut(member.join(hubs, "key").where(far).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     links = cut(confirm(pairs, sets))
-    labels = ids.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("label"))
-    labels = cut(labels)
+    labels = cut(ids.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("label")))
     named = member.join(labels, "id")
     mixed = named.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("key")
     open_ids = cut(member.join(mixed, "key", "left_semi").select("id").distinct())
