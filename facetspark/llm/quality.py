@@ -18,7 +18,7 @@ QUANTILE = 0.995
 #: Log-perplexities are counted in bins of this width for the quantiles.
 BIN = 1e-4
 #: Rows of the model that a task holds at a time; a larger model is scored in shards, one after the other.
-MODEL_ROWS = 8_000_000
+MODEL_ROWS = 4_000_000
 #: Bytes of text that are counted or scored at a time.
 TEXT_BYTES = 1 << 20
 LANGUAGE_NONE = "und"
@@ -203,8 +203,10 @@ def score(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text_col:
     ddl = ", ".join([f"_id {kinds[id_col]}", *[f"_{i} {kinds[c]}" for i, c in enumerate(keep)], "_text string", "log_p double"])
     for i, pivots in enumerate(shards):
         rows = marked if len(shards) == 1 else marked.where((F.col("pivot") < 0) | F.col("pivot").isin(pivots))
-        held = rows.select("kind", "ord", "key", F.col("value").cast("float").alias("value")).toPandas()  # MODEL_ROWS at most
-        arrays = {k: (g["key"].to_numpy(np.int64).view(U), g["value"].to_numpy(np.float32)) for k, g in held.groupby(["kind", "ord"])}
+        arrays = {}
+        for kind, k in ((kind, k) for kind in "pg" for k in range(1, ORDER + 1)):
+            part = rows.where((F.col("kind") == kind) & (F.col("ord") == k)).select("key", F.col("value").cast("float").alias("value")).toArrow()
+            arrays[kind, k] = (part["key"].to_numpy().view(U), part["value"].to_numpy())  # MODEL_ROWS in all
         mine = None
         if len(shards) > 1:
             mine = np.zeros(1 << 16, bool)
@@ -215,8 +217,7 @@ def score(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text_col:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             arrays, mine = sent.value
-            none = (np.empty(0, U), np.empty(0, np.float32))
-            tables = {(kind, k): Table(*arrays.get((kind, k), none)) for kind in "pg" for k in range(1, ORDER + 1)}
+            tables = {name: Table(*columns) for name, columns in arrays.items()}
             for batch in batches:
                 total = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).copy()
                 for first, texts in _slices(batch.column(batch.num_columns - 2)):
