@@ -255,7 +255,8 @@ def classify(
         good = good & (F.coalesce(F.col(toxic_col), F.lit(0)) == 0)
     trusted = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_label")).agg(F.min(F.coalesce(good, F.lit(False))).alias("_good")).where("_good").select("_label")
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    counts = cut(count_ngrams(src.join(trusted, F.col("_id") == F.col("_label"), "left_semi").select("_text")))
+    # labels grow with the documents, so they are merged at every size; texts are shuffled this once
+    counts = cut(count_ngrams(src.join(trusted.hint("merge"), F.col("_id") == F.col("_label"), "left_semi").select("_text")))
     if counts.isEmpty():
         scored = src.select("_id", "_lang", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("log_p"))
         scored = scored.withColumn("bits", F.lit(None).cast("double"))
