@@ -47,7 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and digests of the ids and of the text decoded from them."""
-    both = bpe.decode(bpe.encode(docs))
+    both = bpe.round_trip(docs)
     return both.select(
         "doc_id",
         "ids",

@@ -26,7 +26,9 @@ LETTERS, BLANKS = "A-Za-zÀ-ÖØ-öø-ÿ", "\\t\\n\\r "
 UNCOMMON = f"[^{BLANKS}!-~À-ÖØ-öø-ÿ]"
 COMMON = f" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{BLANKS}{LETTERS}0-9]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
 #: Pieces that a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 120_000
+#: Documents that a worker holds ids of at a time.
+ROWS = 500
 #: Vocabulary files up to this size are broadcast.
 MAX_VOCAB_BYTES = 64_000_000
 SHIFT = 20
@@ -157,6 +159,25 @@ def _shared(docs: DataFrame, vocab: str | None):
     return docs.sparkSession.sparkContext.broadcast(spec)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _encoded(bpe: ByteBPE, texts: pa.Array) -> pa.Array:
+    ids, ends = [np.empty(0, np.int32)], [0]
+    for text in texts:
+        got = bpe.encode(text.as_py() or "")
+        ids.append(np.frombuffer(got, np.int32))
+        ends.append(ends[-1] + len(got))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+
+
+def _decoded(bpe: ByteBPE, codes: pa.Array) -> pa.Array:
+    return pa.array([bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in codes], pa.string())
+
+
 def encode(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ids (array of int) of every whole text, without special tokens added.
 
@@ -170,14 +191,8 @@ def encode(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
-        for batch in batches:
-            ids, ends = [], [0]
-            for text in batch.column(1):
-                got = bpe.encode(text.as_py() or "")
-                ids.append(np.frombuffer(got, np.int32))
-                ends.append(ends[-1] + len(got))
-            flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["_id", "ids"])
+        for part in _parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), _encoded(bpe, part.column(1))], ["_id", "ids"])
 
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
@@ -193,12 +208,24 @@ def decode(codes: DataFrame, vocab: str | None = None, id_col: str = "doc_id", i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
-        for batch in batches:
-            texts = []
-            for x in batch.column(1):
-                texts.append(bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["_id", "ids", "text"])
+        for part in _parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _decoded(bpe, part.column(1))], ["_id", "ids", "text"])
 
     src = codes.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("ids"))
     kind = src.schema["_id"].dataType.simpleString()
     return src.mapInArrow(run, f"_id {kind}, ids array<int>, text string").select(F.col("_id").alias(id_col), "ids", "text")
+
+
+def round_trip(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass: id, ids, and the text decoded from the ids. Results are defined as there."""
+    spec = _shared(docs, vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(spec.value)
+        for part in _parts(batches):
+            ids = _encoded(bpe, part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, _decoded(bpe, ids)], ["_id", "ids", "text"])
+
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = src.schema["_id"].dataType.simpleString()
+    return src.mapInArrow(run, f"_id {kind}, ids array<int>, text string").withColumnRenamed("_id", id_col)

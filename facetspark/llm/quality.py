@@ -19,8 +19,8 @@ QUANTILE = 0.995
 BIN = 1e-4
 #: Rows of the model that a task holds at a time; a larger model is scored in shards, one after the other.
 MODEL_ROWS = 4_000_000
-#: Bytes of text that are counted or scored at a time.
-TEXT_BYTES = 1 << 20
+#: Bytes of text that are counted, and scored, at a time.
+TEXT_BYTES, SCORE_BYTES = 1 << 20, 1 << 18
 LANGUAGE_NONE = "und"
 EMPTY = U(2**64 - 1)
 
@@ -48,12 +48,12 @@ def _packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _keys(data)[real], sizes
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) with about TEXT_BYTES at a time; a longer text comes alone and whole."""
+def _slices(column: pa.Array, size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) with about `size` bytes at a time; a longer text comes alone and whole."""
     first, texts, held = 0, [], 0
     for i, x in enumerate(column):
         t = (x.as_py() or "").encode()
-        if texts and held + len(t) > TEXT_BYTES:
+        if texts and held + len(t) > size:
             yield first, texts
             first, texts, held = i, [], 0
         texts.append(t)
@@ -67,7 +67,7 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in _slices(batch.column(0)):
+            for _, part in _slices(batch.column(0), TEXT_BYTES):
                 keys, n = np.unique(_packed(part)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
@@ -220,7 +220,7 @@ def score(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text_col:
             tables = {name: Table(*columns) for name, columns in arrays.items()}
             for batch in batches:
                 total = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).copy()
-                for first, texts in _slices(batch.column(batch.num_columns - 2)):
+                for first, texts in _slices(batch.column(batch.num_columns - 2), SCORE_BYTES):
                     keys, n = _packed(texts)
                     row = np.repeat(np.arange(first, first + len(n)), n)
                     if mine is not None:

@@ -49,7 +49,7 @@ def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
+    both = bpe.round_trip(_table(spark, sf_dir, "documents"))
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

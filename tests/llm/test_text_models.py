@@ -40,6 +40,11 @@ def test_bpe_agrees_with_the_tokenizers_library(spark, docs, library):
         assert text == library.decode(want, skip_special_tokens=False)
 
 
+def test_round_trip_is_decode_of_encode(docs, none):
+    assert order(rows(bpe.round_trip(docs))) == order(rows(bpe.decode(bpe.encode(docs))))
+    assert rows(bpe.round_trip(none)) == []
+
+
 def test_bpe_of_nothing_and_of_null_ids(spark, none):
     assert rows(bpe.decode(bpe.encode(none))) == []
     codes = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
