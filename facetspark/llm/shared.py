@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-#: Rows that one task of a ranking may sort.
-ROWS_PER_CELL = 50_000
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -46,9 +43,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cells_for(rows: int, per_cell: int = ROWS_PER_CELL) -> int:
-    """How many cells keep a ranking over so many rows in tasks of bounded size."""
-    return max(1, -(-rows // per_cell))
+def cells_for(rows: int) -> int:
+    """Cells for a two-level ranking of so many rows: as many as each holds rows, so that both levels stay small."""
+    return max(1, math.isqrt(rows))
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column, cells: int, out: str) -> DataFrame:
