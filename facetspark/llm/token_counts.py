@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from facetspark.llm import bpe
+from facetspark.llm.shared import cut
 
 #: Lengths in one block of the two-level suffix sums.
 BLOCK = 1024
@@ -84,4 +85,4 @@ def token_counts(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_i
     length and task is shuffled.
     """
     lengths = bpe.encode(docs, vocab, id_col, text_col).select(F.size("ids").alias("n_tokens"))
-    return suffix_sums(histogram(lengths))
+    return suffix_sums(cut(histogram(lengths)))  # read twice: texts are encoded once
