@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,10 @@ from facetspark.llm.words import BASE, U
 ORDER = 5
 #: The share of a language's trusted documents that its threshold lets pass.
 QUANTILE = 0.995
+#: Parts of the trusted documents; each part is scored by the model of the others.
+FOLDS = 5
+#: Bits of a broadcast sieve of labelled ids (4 MB); a fuller sieve lets more rows through to the join.
+SIEVE_BITS = 25
 #: Log-perplexities are counted in bins of this width for the quantiles.
 BIN = 1e-4
 #: Rows of the model that a task holds at a time; a larger model is scored in shards, one after the other.
@@ -62,16 +67,34 @@ def _slices(column: pa.Array, size: int) -> Iterator[tuple[int, list[bytes]]]:
         yield first, texts
 
 
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(key, n): how often each n-gram of the highest order occurs in the texts (one column)."""
+def count_ngrams(texts: DataFrame, parts: int = 0) -> DataFrame:
+    """(key, n): how often each n-gram of the highest order occurs in the texts (first column).
+
+    With parts, n is an array: a count for each part, which the second column names from 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in _slices(batch.column(0), TEXT_BYTES):
-                keys, n = np.unique(_packed(part)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+            part = batch.column(1).to_numpy() if parts else None
+            for first, some in _slices(batch.column(0), TEXT_BYTES):
+                every, sizes = _packed(some)
+                keys, at, n = np.unique(every, return_inverse=True, return_counts=True)
+                columns = [pa.array(keys.view(np.int64)), pa.array(n)]
+                if parts:
+                    of = np.repeat(part[first : first + len(sizes)], sizes)
+                    columns[1:] = [pa.array(np.bincount(at[of == i], minlength=len(keys))) for i in range(parts)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", *names])
+
+    names = [f"n{i}" for i in range(parts)] or ["n"]
+    sums = texts.mapInArrow(run, "key long, " + ", ".join(f"{x} long" for x in names)).groupBy("key").agg(*[F.sum(x).alias(x) for x in names])
+    return sums.select("key", F.array(*names).alias("n")) if parts else sums
+
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def without_each(counts: DataFrame, parts: int) -> DataFrame:
+    """(key, array of n) -> (part, key, n): the counts of all parts but one; part -1 has all of them."""
+    total = reduce(Column.__add__, [F.col("n")[i] for i in range(parts)])
+    each = [F.struct(F.lit(i).cast("long").alias("part"), n.alias("n")) for i, n in [(-1, total), *((i, total - F.col("n")[i]) for i in range(parts))]]
+    return counts.select("key", F.explode(F.array(*each)).alias("_x")).select("_x.part", "key", "_x.n").where("n > 0")
 
 
 def discounts(count_of: dict[int, int]) -> list[float]:
@@ -86,32 +109,33 @@ def model(counts: DataFrame) -> DataFrame:
 
     The highest order uses counts, the others continuation counts: how many different bytes stand before.
     Each order is joined with its context sums and with the order below by key, so that count tables stay
-    sharded over the cluster.
+    sharded over the cluster. Counts with a column `part` give a model for each part.
     """
+    by = [c for c in counts.columns if c == "part"]
     orders = {ORDER: cut(counts)}
     for k in range(ORDER - 1, 0, -1):
         low = F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        orders[k] = cut(orders[k + 1].groupBy(low.alias("key")).agg(F.count("*").alias("n")))
+        orders[k] = cut(orders[k + 1].groupBy(*by, low.alias("key")).agg(F.count("*").alias("n")))
     below, parts = None, []
     for k in range(1, ORDER + 1):
-        seen = {r["n"]: r["c"] for r in orders[k].where("n <= 4").groupBy("n").agg(F.count("*").alias("c")).collect()}  # four rows
-        d1, d2, d3 = discounts(seen)
-        grams = orders[k].withColumn("ctx", F.shiftright("key", 8))
-        of = lambda i, c: F.sum(F.when(c, 1).otherwise(0)) * F.lit(i)
-        context = grams.groupBy("ctx").agg(
-            F.sum("n").alias("total"), (of(d1, F.col("n") == 1) + of(d2, F.col("n") == 2) + of(d3, F.col("n") >= 3)).alias("mass")
-        ).select("ctx", "total", (F.col("mass") / F.col("total")).alias("gamma"))
-        both = grams.join(context, "ctx")
-        cutoff = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        own = (F.col("n") - cutoff) / F.col("total")
+        seen: dict = {}
+        for r in orders[k].groupBy(*by, F.least("n", F.lit(5)).alias("n")).agg(F.count("*").alias("c")).collect():  # five rows a part
+            seen.setdefault(r["part"] if by else 0, {})[r["n"]] = r["c"]
+        found = {p: discounts(x) for p, x in sorted(seen.items())}
+        off = [F.element_at(F.create_map(*[F.lit(v) for p, d in found.items() for v in (p, float(d[i]))]), F.col("part").cast("int") if by else F.lit(0)) for i in range(3)]
+        cutoff = F.when(F.col("n") == 1, off[0]).when(F.col("n") == 2, off[1]).otherwise(off[2])
+        grams = orders[k].withColumn("ctx", F.shiftright("key", 8)).withColumn("off", cutoff)
+        context = grams.groupBy(*by, "ctx").agg(F.sum("n").alias("total"), F.sum("off").alias("mass")).select(*by, "ctx", "total", (F.col("mass") / F.col("total")).alias("gamma"))
+        both = grams.join(context, [*by, "ctx"])
+        own = (F.col("n") - F.col("off")) / F.col("total")
         if below is None:
-            now = both.select("key", (own + F.col("gamma") / 256).alias("p"))
+            now = both.select(*by, "key", (own + F.col("gamma") / 256).alias("p"))
         else:
             both = both.withColumn("low", F.col("key").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)))
-            now = both.join(below.select(F.col("key").alias("low"), F.col("p").alias("q")), "low").select("key", (own + F.col("gamma") * F.col("q")).alias("p"))
+            now = both.join(below.select(*by, F.col("key").alias("low"), F.col("p").alias("q")), [*by, "low"]).select(*by, "key", (own + F.col("gamma") * F.col("q")).alias("p"))
         below = cut(now)
-        parts.append(below.select(F.lit("p").alias("kind"), F.lit(k).alias("ord"), "key", F.log(F.greatest("p", F.lit(1e-30))).alias("value")))
-        parts.append(context.select(F.lit("g"), F.lit(k), "ctx", F.log(F.greatest("gamma", F.lit(1e-30)))))
+        parts.append(below.select(*by, F.lit("p").alias("kind"), F.lit(k).alias("ord"), "key", F.log(F.greatest("p", F.lit(1e-30))).alias("value")))
+        parts.append(context.select(*by, F.lit("g"), F.lit(k), "ctx", F.log(F.greatest("gamma", F.lit(1e-30)))))
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -203,10 +227,12 @@ def score(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text_col:
     ddl = ", ".join([f"_id {kinds[id_col]}", *[f"_{i} {kinds[c]}" for i, c in enumerate(keep)], "_text string", "log_p double"])
     for i, pivots in enumerate(shards):
         rows = marked if len(shards) == 1 else marked.where((F.col("pivot") < 0) | F.col("pivot").isin(pivots))
-        arrays = {}
+        table = F.when(F.col("kind") == "p", F.col("ord")).otherwise(-F.col("ord")).cast("byte")
+        got = rows.select(table.alias("table"), "key", F.col("value").cast("float").alias("value")).toArrow()  # MODEL_ROWS in all
+        at, arrays = got["table"].to_numpy(), {}
         for kind, k in ((kind, k) for kind in "pg" for k in range(1, ORDER + 1)):
-            part = rows.where((F.col("kind") == kind) & (F.col("ord") == k)).select("key", F.col("value").cast("float").alias("value")).toArrow()
-            arrays[kind, k] = (part["key"].to_numpy().view(U), part["value"].to_numpy())  # MODEL_ROWS in all
+            mine = at == (k if kind == "p" else -k)
+            arrays[kind, k] = (got["key"].to_numpy()[mine].view(U), got["value"].to_numpy()[mine])
         mine = None
         if len(shards) > 1:
             mine = np.zeros(1 << 16, bool)
@@ -235,6 +261,18 @@ def score(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text_col:
     )
 
 
+def _sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose _id may be among ids (one column): a bit for each hash, broadcast, so that other texts aren't shuffled."""
+    if rows.schema["_id"].dataType != ids.schema[0].dataType:
+        return rows  # equal numbers of different types have different hashes
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    cell, bit = lambda c: F.shiftright(place(c), 15), lambda c: place(c).bitwiseAND(F.lit(32767))
+    bits = ids.groupBy(cell(ids.columns[0]).alias("_cell")).agg(F.bitmap_construct_agg(bit(ids.columns[0])).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(bit("_id"), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit("_id").bitwiseAND(F.lit(7)) + 1).cast("int"))) != 0
+    return rows.join(F.broadcast(bits), cell("_id") == F.col("_cell")).where(there).drop("_cell", "_bits")
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     label_id: str = "doc_id", quality_col: str = "quality", toxic_col: str | None = "toxic", quantile: float = QUANTILE,
@@ -244,29 +282,43 @@ def classify(
     Trusted are the documents that a label calls good (quality 1) and not toxic; all of them train the model.
     A language's threshold is the quantile of its trusted documents' perplexity, over bins of BIN in the
     logarithm; a language without trusted documents takes that of all. Documents above it are rejected.
+    The perplexities of the quantile are out of fold: trusted documents are cut into FOLDS parts by a hash
+    of the text (so exact copies share a part), and a part is scored by the model of the others.
 
     Defined results: null and empty texts have no perplexity and are rejected. A null lang counts as 'und'
     for the threshold and is returned as null. Labels with nulls, of unknown ids or repeated have no effect
     beyond one good label; a document with a good and a bad label isn't trusted. Without trusted text all
-    documents with text are kept. Repeated rows are judged alike. An empty table gives no rows.
+    documents with text are kept. With fewer than FOLDS trusted texts, or copies of one alone, none can be
+    held out, and the quantile is that of the model's own texts. Repeated rows are judged alike. An empty
+    table gives no rows.
     """
     good = F.col(quality_col) == 1
     if toxic_col:
         good = good & (F.coalesce(F.col(toxic_col), F.lit(0)) == 0)
     trusted = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_label")).agg(F.min(F.coalesce(good, F.lit(False))).alias("_good")).where("_good").select("_label")
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    # labels grow with the documents, so they are merged at every size; texts are shuffled this once
-    counts = cut(count_ngrams(src.join(trusted.hint("merge"), F.col("_id") == F.col("_label"), "left_semi").select("_text")))
-    if counts.isEmpty():
-        scored = src.select("_id", "_lang", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("log_p"))
-        scored = scored.withColumn("bits", F.lit(None).cast("double"))
-    else:
-        scored = score(src, model(counts), "_id", "_text", ("_lang",))
-        scored = cut(scored.withColumn("bits", F.when(F.col("n_bytes") > 0, -F.col("log_p") / F.col("n_bytes"))))
+    # labels grow with the documents, so they are merged at every size; texts that pass the sieve are shuffled this once
+    part = F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).alias("part")
+    # an inner join, as a semi-join would be moved below the sieve; trusted ids are distinct
+    counts = cut(count_ngrams(_sieved(src, trusted).join(trusted.hint("merge"), F.col("_id") == F.col("_label")).select("_text", part), FOLDS))
     key = F.coalesce("_lang", F.lit(LANGUAGE_NONE))
-    own = scored.join(trusted, F.col("_id") == F.col("_label"), "left_semi").where("bits IS NOT NULL")
+    # a text's first place alone has a context of nothing but padding
+    texts = counts.where("key BETWEEN 0 AND 255").agg(*[F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(FOLDS)]).first()
+    bits = F.when(F.col("n_bytes") > 0, -F.col("log_p") / F.col("n_bytes")).alias("bits")
+    if not sum(texts):
+        scored = src.select("_id", "_lang", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("bits"))
+        held_out = scored
+    elif sum(texts) < FOLDS or max(texts) == sum(texts):
+        held_out = scored = cut(score(src, model(without_each(counts, FOLDS).where("part < 0").drop("part")), "_id", "_text", ("_lang",)).select("*", bits))
+    else:
+        models = model(without_each(counts, FOLDS))
+        of = lambda i: models.where(F.col("part") == i).drop("part")
+        scored = cut(score(src, of(-1), "_id", "_text", ("_lang",)).select("*", bits))
+        folds = [score(_sieved(src.where(part == i), trusted), of(i), "_id", "_text", ("_lang",)).select("_id", "_lang", bits) for i in range(FOLDS)]
+        held_out = reduce(DataFrame.unionAll, folds)
+    own = held_out.join(trusted, F.col("_id") == F.col("_label"), "left_semi").where("bits IS NOT NULL")
     hist = own.select(F.explode(F.array(F.struct(key.alias("l"), F.lit(False).alias("every")), F.struct(F.lit("").alias("l"), F.lit(True).alias("every")))).alias("k"), F.ceil(F.col("bits") / BIN).alias("bin"))
-    hist = hist.groupBy("k.l", "k.every", "bin").agg(F.count("*").alias("c"))
+    hist = cut(hist.groupBy("k.l", "k.every", "bin").agg(F.count("*").alias("c")))
     # bins are few: log-perplexities of bytes lie within some tens, so a language has some 100,000 of them at most
     upto = W.partitionBy("l", "every").orderBy("bin")
     limits = (

@@ -201,3 +201,15 @@ def test_word_hashes_of_long_texts_come_in_blocks(monkeypatch):
     monkeypatch.setattr(words, "BLOCK_BYTES", 5000)
     assert words.word_hashes(text).tolist() == whole.tolist()
     assert hashlib.sha256(whole.tobytes()).hexdigest() == hashlib.sha256(words.word_hashes(text).tobytes()).hexdigest()
+
+
+def test_quality_keeps_held_out_clean_documents_of_every_language(spark):
+    """A model's own texts are less perplexing to it than unseen ones, and so no measure for a threshold."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1 AND toxic = 0")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 2
+    got = quality.classify(d, clean.where(~held)).join(clean.where(held).select("doc_id"), "doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        kept = [r.kept for r in got if r.lang == lang]
+        assert len(kept) > 3 and np.mean(kept) >= 0.75, (lang, kept)
+    assert np.mean([r.kept for r in got]) > 0.9
