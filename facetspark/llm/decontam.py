@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from facetspark.llm.words import U, ngrams, word_hashes
+from facetspark.llm.words import U, chain, ngrams, word_hashes
 
 SEED_WORDS = 4
 #: Of an item's seeds those stay that are among its rarest share, or in at most this share of the documents.
@@ -24,6 +24,16 @@ ALIGN_ROWS = 256
 BITS = 20
 
 
+def seeds_of(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of every run of n words, and of n out of n + 1 words with one inner word left out."""
+    out = [(ngrams(words, n), np.arange(max(0, len(words) - n + 1), dtype=np.int64))]
+    if len(words) > n:
+        view = np.lib.stride_tricks.sliding_window_view(words, n + 1)
+        for gap in range(1, n):
+            out.append((chain(np.delete(view, gap, axis=1), n) + U(gap), np.arange(len(view), dtype=np.int64)))
+    return np.concatenate([h for h, _ in out]), np.concatenate([p for _, p in out])
+
+
 class Items:
     """A block of benchmark items: word hashes, and the seeds as a sorted table of (seed, item, place)."""
 
@@ -33,10 +43,10 @@ class Items:
         self.n = seed_words
         seeds, items, places = [], [], []
         for k, w in enumerate(self.words):
-            got = ngrams(w, seed_words)
+            got, at = seeds_of(w, seed_words)
             seeds.append(got)
             items.append(np.full(len(got), k, np.int64))
-            places.append(np.arange(len(got), dtype=np.int64))
+            places.append(at)
         self._set(*(np.concatenate(x) if x else np.empty(0, t) for x, t in ((seeds, U), (items, np.int64), (places, np.int64))))
 
     def _set(self, seeds: np.ndarray, items: np.ndarray, places: np.ndarray) -> None:
@@ -49,12 +59,12 @@ class Items:
 
     def found(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a document where a seed stands, and which."""
-        grams = ngrams(words, self.n)
+        grams, places = seeds_of(words, self.n)
         near = np.flatnonzero(self.sieve[(grams & U((1 << BITS) - 1)).astype(np.int64)]) if len(self.keys) else np.empty(0, np.int64)
         at = np.searchsorted(self.keys, grams[near])
         hit = at < len(self.keys)
         hit[hit] = self.keys[at[hit]] == grams[near[hit]]
-        return near[hit], at[hit]
+        return places[near[hit]], at[hit]
 
     def keep_rare(self, docs_of_seed: np.ndarray, docs: int) -> None:
         """Drop each item's most common seeds; the rarest stay however common they are, so that no item is lost."""
@@ -105,7 +115,7 @@ def _candidates(words: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
     size = np.array([len(w) for w in items.words])[item]
     begins = np.flatnonzero(np.concatenate(([True], (np.diff(item) != 0) | (np.diff(place) > 2 * size[1:]))))
     ends = np.append(begins[1:], len(item)) - 1
-    return [(int(item[i]), max(0, int(place[i] - size[i])), min(len(words), int(place[j] + size[j] + items.n))) for i, j in zip(begins, ends)]
+    return [(int(item[i]), max(0, int(place[i] - size[i])), min(len(words), int(place[j] + size[j] + items.n + 1))) for i, j in zip(begins, ends)]
 
 
 def _hits(texts: list, items: Items, threshold: float, least_words: int) -> dict[tuple[int, int], tuple[float, int, int]]:
@@ -139,8 +149,8 @@ def decontaminate(
 ) -> DataFrame:
     """A row for each document and benchmark item whose passage the document holds: id, item, score, from_word, to_word.
 
-    Words are A-Z lower-cased runs between ASCII white space. Every run of seed_words words of an item is a
-    seed; its documents are counted over the whole corpus, and each item keeps its rarer seeds. A document
+    Words are A-Z lower-cased runs between ASCII white space. Every run of seed_words words of an item, whole
+    or with one more word left out inside, is a seed; its documents are counted over the whole corpus, and each item keeps its rarer seeds. A document
     with a seed gives a passage of the item's length to either side, and the best local alignment of item
     and passage (match 2, mismatch and gap -1) is scored as a share of a perfect one. Copies with up to
     about a third of their words changed reach the default of 0.4.

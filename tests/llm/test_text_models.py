@@ -213,3 +213,11 @@ def test_quality_keeps_held_out_clean_documents_of_every_language(spark):
         kept = [r.kept for r in got if r.lang == lang]
         assert len(kept) > 3 and np.mean(kept) >= 0.75, (lang, kept)
     assert np.mean([r.kept for r in got]) > 0.9
+
+
+@pytest.mark.parametrize("step", [3, 4])
+def test_decontamination_finds_copies_with_evenly_spread_edits(step):
+    item = [f"b{i}" for i in range(40)]
+    copy = ["changed" if i % step == step - 1 else w for i, w in enumerate(item)]
+    items = decontam.Items([(1, " ".join(item))], decontam.SEED_WORDS)
+    assert (0, 0) in decontam._hits([" ".join(copy)], items, decontam.THRESHOLD, decontam.LEAST_WORDS)
