@@ -8,30 +8,31 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: The split before the merges, with white space as Unicode's property. Alternatives that can't begin alike
-#: are ordered by how often they match.
+#: The published split before the merges, with white space as Unicode's property.
 PATTERN = (
-    r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Texts of these characters alone are split by the same rule with plain classes, several times as fast.
+#: Texts of these characters alone are split by the same rule with plain classes, several times as fast; letters
+#: come first here, as no two of the first four alternatives can begin alike.
 LETTERS, BLANKS = "A-Za-zÀ-ÖØ-öø-ÿ", "\\t\\n\\r "
 UNCOMMON = f"[^{BLANKS}!-~À-ÖØ-öø-ÿ]"
-COMMON = f" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{BLANKS}{LETTERS}0-9]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
-#: Pieces that a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 120_000
+COMMON = f" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^{BLANKS}{LETTERS}0-9]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
+#: Pieces that a worker remembers in each of two tables; a full table replaces the older one.
+CACHE_PIECES = 250_000
 #: Documents that a worker holds ids of at a time.
 ROWS = 500
 #: Vocabulary files up to this size are broadcast.
 MAX_VOCAB_BYTES = 64_000_000
-SHIFT = 20
+#: A queue entry holds merge rank, resulting id (SHIFT bits) and place (PLACE bits) in one number.
+SHIFT, PLACE = 20, 40
+MASK, PLACE_MASK = (1 << SHIFT) - 1, (1 << PLACE) - 1
 
 
 def default_vocab() -> str:
@@ -81,59 +82,67 @@ class ByteBPE:
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the lowest merge rank first, leftmost of equals.
 
-        Symbols are a doubly linked list in two arrays. A queue entry holds rank, result and place; it is
-        stale, and skipped, when the pair that now stands at the place has another rank.
+        Symbols are a doubly linked list in two arrays. A queue entry is stale, and skipped, when the pair that
+        now stands at its place has another rank.
         """
         ids = [self.of_byte[b] for b in piece]
         n = len(ids)
-        merges = self.merges
-        queue = [(r, i) for i in range(n - 1) if (r := merges.get(ids[i] << SHIFT | ids[i + 1])) is not None]
+        rank_of = self.merges.get
+        queue = [r << PLACE | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank_of(a << SHIFT | b)) is not None]
         if not queue:
             return ids
         heapify(queue)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        mask = (1 << SHIFT) - 1
         while queue:
-            r, i = heappop(queue)
+            top = heappop(queue)
+            r, i = top >> PLACE, top & PLACE_MASK
             j = after[i]
-            if ids[i] < 0 or j >= n or merges.get(ids[i] << SHIFT | ids[j]) != r:
+            if ids[i] < 0 or j >= n or rank_of(ids[i] << SHIFT | ids[j]) != r:
                 continue
-            ids[i], ids[j] = r & mask, -1
+            ids[i], ids[j] = r & MASK, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (s := merges.get(ids[i] << SHIFT | ids[k])) is not None:
-                    heappush(queue, (s, i))
-            if (h := before[i]) >= 0 and (s := merges.get(ids[h] << SHIFT | ids[i])) is not None:
-                heappush(queue, (s, h))
+                if (s := rank_of(ids[i] << SHIFT | ids[k])) is not None:
+                    heappush(queue, s << PLACE | i)
+            if (h := before[i]) >= 0 and (s := rank_of(ids[h] << SHIFT | ids[i])) is not None:
+                heappush(queue, s << PLACE | h)
         return [x for x in ids if x >= 0]
 
-    def encode(self, text: str) -> array:
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers, one after the other."""
         if self.split_added is None or not any(x in text for x in self.added):
-            return array("i", chain.from_iterable(map(self.known.__getitem__, self.pieces(text))))
-        out = array("i")
+            return b"".join(map(self.known.__getitem__, self.pieces(text)))
+        out = []
         for part in self.split_added.split(text):
             if part in self.added:
-                out.append(self.added[part])
+                out.append(array("i", [self.added[part]]).tobytes())
             else:
-                out.extend(chain.from_iterable(map(self.known.__getitem__, self.pieces(part))))
-        return out
+                out += map(self.known.__getitem__, self.pieces(part))
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
 class _Known(dict):
-    """Ids by piece; computes what is missing."""
+    """The encoded ids by piece; computes what is missing.
+
+    When CACHE_PIECES have come together the table becomes the old one, in which pieces are still found and from
+    which they are taken over; so the common ones stay and memory is bounded.
+    """
 
     def __init__(self, bpe: ByteBPE):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.old = bpe, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.bpe.merge(piece.encode()))
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("i", self.bpe.merge(piece.encode())).tobytes()
         if len(piece) <= 64:
             if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -166,12 +175,9 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encoded(bpe: ByteBPE, texts: pa.Array) -> pa.Array:
-    ids, ends = [np.empty(0, np.int32)], [0]
-    for text in texts:
-        got = bpe.encode(text.as_py() or "")
-        ids.append(np.frombuffer(got, np.int32))
-        ends.append(ends[-1] + len(got))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+    got = [bpe.encode(text.as_py() or "") for text in texts]
+    ends = np.cumsum([0, *map(len, got)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(got), np.int32)))
 
 
 def _decoded(bpe: ByteBPE, codes: pa.Array) -> pa.Array:
@@ -199,6 +205,20 @@ def encode(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", te
     return src.mapInArrow(run, f"_id {kind}, ids array<int>").select(F.col("_id").alias(id_col), "ids")
 
 
+def lengths(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and n_tokens of every whole text: the size of what `encode` gives, counted by the worker. Results are defined as there."""
+    spec = _shared(docs, vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(spec.value)
+        for batch in batches:
+            n = [len(bpe.encode(text.as_py() or "")) // 4 for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["_id", "n_tokens"])
+
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return src.mapInArrow(run, f"_id {src.schema['_id'].dataType.simpleString()}, n_tokens long").withColumnRenamed("_id", id_col)
+
+
 def decode(codes: DataFrame, vocab: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id, ids and text: the vocabulary strings of the ids, concatenated and read as UTF-8.
 
