@@ -84,5 +84,5 @@ def token_counts(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_i
     rows. Only the two named columns are read. Documents are encoded where they lie; one row for each
     length and task is shuffled.
     """
-    lengths = bpe.encode(docs, vocab, id_col, text_col).select(F.size("ids").alias("n_tokens"))
+    lengths = bpe.lengths(docs, vocab, id_col, text_col)
     return suffix_sums(cut(histogram(lengths)))  # read twice: texts are encoded once
