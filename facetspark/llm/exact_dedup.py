@@ -42,11 +42,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = src.select(
         "_id", norm.alias("_norm"), F.char_length(F.coalesce("_text", F.lit(""))).cast("long").alias("_chars")
     ).withColumn("_key", key(F.col("_norm")))
-    best = F.max(F.struct(F.col("_chars").alias("chars"), (-F.col("_id")).alias("minus"))).alias("_best")
+    best = F.min(F.struct((-F.col("_chars")).alias("fewer"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))).alias("_best")
     groups = stash(
         rows.groupBy("_key")
         .agg(best, F.count("*").alias("_size"), F.min("_norm").alias("_low"), F.max("_norm").alias("_high"))
-        .select("_key", (-F.col("_best.minus")).alias("_keep"), "_size", (F.col("_low") != F.col("_high")).alias("_collided")),
+        .select("_key", F.col("_best.id").alias("_keep"), "_size", (F.col("_low") != F.col("_high")).alias("_collided")),
         "exact-groups",
     )
     marked = rows.select("_id", "_key", F.sha2("_norm", 256).alias("_sha"))
@@ -55,7 +55,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bad = groups.where("_collided").select("_key")
         mixed = rows.join(bad, "_key")
         split = mixed.groupBy("_key", "_norm").agg(best, F.count("*").alias("_size")).select(
-            "_key", F.col("_norm").alias("_same"), (-F.col("_best.minus")).alias("_keep"), "_size"
+            "_key", F.col("_norm").alias("_same"), F.col("_best.id").alias("_keep"), "_size"
         )
         pairs = mixed.alias("m").join(split.alias("s"), (F.col("m._key") == F.col("s._key")) & (F.col("_norm") == F.col("_same")))
         out = out.unionByName(pairs.select("_id", "_keep", "_size", F.sha2("_norm", 256).alias("_sha")))
