@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from facetspark.llm.components import components
 from facetspark.llm.shared import cut, stash
-from facetspark.llm.words import BASE, U, mix, shingle_set
+from facetspark.llm.words import BASE, U, mix, shingle_set, shingle_set_and_print
 
 #: Bins of the signature, as a power of two, and bins in a band. A link at similarity 0.75 shares at least
 #: one of the 32 bands but for 5 cases in a million.
@@ -19,6 +19,8 @@ BIN_BITS, BAND_BINS = 7, 4
 BINS = 1 << BIN_BITS
 #: A link: LINK_NUM * union <= LINK_DEN * intersection.
 LINK_NUM, LINK_DEN = 75, 100
+#: Classes of set sizes within the factor LINK_DEN / LINK_NUM, for the exact join.
+SIZE_STEPS = 4
 PROBES = 1024
 
 
@@ -69,9 +71,9 @@ def _signed(src: DataFrame) -> DataFrame:
         for batch in batches:
             n, prints, bands = [], [], []
             for text in batch.column(1):
-                s = shingle_set(text.as_py())
+                s, told = shingle_set_and_print(text.as_py())
                 n.append(len(s))
-                prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                prints.append(told)
                 bands.append(band_keys(signature(s)).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "print", "bands"]
@@ -133,7 +135,9 @@ def _rest(sets: DataFrame, labels: DataFrame) -> DataFrame:
     Linked sets of n and m elements share at least o = LINK_NUM * (n + m) / (LINK_NUM + LINK_DEN) of them. With
     both ordered alike, the first that they share has place n - o + 1 at most in the one and m - o + 1 in the
     other. Ordered from rare to common, elements of a passage that many documents share come last.
-    Elements that one document alone has need no row beyond their count.
+    Elements that one document alone has need no row beyond their count. Sets meet by element and by both their
+    size classes, each only in the classes that its place leaves possible; so documents of like size that share a
+    common passage of less than the needed share don't meet at all.
     """
     items = _items(sets.join(labels, "id"))
     often = items.groupBy("w").agg(F.count("*").alias("f"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("f > 1")
@@ -150,16 +154,30 @@ def _rest(sets: DataFrame, labels: DataFrame) -> DataFrame:
         .select("id", "n", "label", (F.col("lone") + F.col("i") + 1).alias("at"), F.col("c.w").alias("w"))
     )
     kept = stash(kept, "near-prefixes")
-    x, y = kept.alias("x"), kept.alias("y")
-    least = F.ceil(LINK_NUM * (F.col("x.n") + F.col("y.n")) / (LINK_NUM + LINK_DEN))
-    near = (F.col("x.at") <= F.col("x.n") - least + 1) & (F.col("y.at") <= F.col("y.n") - least + 1)
+    # the largest partner that a place allows: LINK_NUM * (n + m) <= (LINK_NUM + LINK_DEN) * (n - at + 1)
+    most = F.floor((LINK_NUM + LINK_DEN) * (F.col("n") - F.col("at") + 1) / F.lit(LINK_NUM)).cast("long") - F.col("n")
+    kept = kept.withColumn("most", most).withColumn("size", _size_class(F.col("n")))
+    largest = F.least(F.floor(F.col("n") * LINK_DEN / F.lit(LINK_NUM)).cast("long"), F.col("most"))
+    smallest = F.ceil(F.col("n") * LINK_NUM / F.lit(LINK_DEN)).cast("long")
+    # the smaller set of a pair meets the larger one under (w, class of the one, class of the other), where both places allow it
+    small = kept.where(F.col("most") >= F.col("n")).select("*", F.explode(F.sequence("size", _size_class(largest))).alias("other"))
+    large = kept.where(F.col("most") >= smallest).select("*", F.explode(F.sequence(_size_class(smallest), _size_class(F.least("n", "most")))).alias("other"))
+    x, y = small.alias("x"), large.alias("y")
+    near = (F.col("y.n") <= F.col("x.most")) & (F.col("x.n") <= F.col("y.most"))
+    turn = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    met = (F.col("x.w") == F.col("y.w")) & (F.col("x.size") == F.col("y.other")) & (F.col("x.other") == F.col("y.size"))
     return (
-        x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & near)
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        x.join(y, met & turn & near & (F.col("x.label") != F.col("y.label")) & _sizes_fit(F.col("x.n"), F.col("y.n")))
+        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .distinct()
     )
 
 
+def _size_class(n):
+    """The class of a set size; classes are a constant factor wide and rise with the size."""
+    return F.floor(F.log(n.cast("double")) * (SIZE_STEPS / math.log(LINK_DEN / LINK_NUM))).cast("int")
+
+
 def _items(named: DataFrame) -> DataFrame:
     """One row for each element of the sets."""
 
@@ -203,9 +221,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     full = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     member = stash(rows.join(full, "key"), "near-members")
     ids = cut(member.groupBy("id").agg(F.sum("c").alias("near")))
-    member = cut(member.join(ids, "id").select("key", "id", "n", F.struct("near", (-F.col("id")).alias("minus")).alias("rank")))
+    member = cut(member.join(ids, "id").select("key", "id", "n", F.struct((-F.col("near")).alias("fewer"), "id").alias("rank")))
     sets = stash(_sets(src.join(ids, src["_id"] == ids["id"], "left_semi")), "near-sets")
-    hubs = member.groupBy("key").agg(F.max_by(F.struct("id", "n"), "rank").alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
+    hubs = member.groupBy("key").agg(F.min_by(F.struct("id", "n"), "rank").alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
     far = (F.col("id") != F.col("hub")) & _sizes_fit(F.col("n"), F.col("hub_n"))
     pairs = cut(member.join(hubs, "key").where(far).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     links = cut(confirm(pairs, sets))

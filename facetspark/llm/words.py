@@ -1,14 +1,21 @@
-"""Words and word shingles of a text as 64-bit hashes, computed with numpy inside tasks."""
+"""Words and word shingles of a text as hashes, computed inside tasks."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from hashlib import blake2b
+
 import numpy as np
 
 U = np.uint64
-#: Bytes that are hashed at a time; bounds the memory for very long texts.
+#: Bytes that are split at a time; bounds the memory for very long texts.
 BLOCK_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 SHINGLE_WORDS = 5
+#: Words that a worker remembers in each of two tables; a full table replaces the older one.
+CACHE_WORDS = 150_000
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,66 +27,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.empty(BLOCK_BYTES + 1, U)
-    out[0], step = 1, 1
-    out[1] = base
-    size, top = 2, base * base % 2**64
-    while size < len(out):
-        n = min(size, len(out) - size)
-        out[size : size + n] = out[:n] * U(top)
-        size += n
-        top = top * top % 2**64
-    return out
+class _Digests(dict):
+    """The 128-bit BLAKE2b digest by word; computes what is missing."""
 
+    def __init__(self):
+        super().__init__()
+        self.old: dict[bytes, bytes] = {}
 
-_TABLES: dict[str, np.ndarray] = {}
+    def __missing__(self, word: bytes) -> bytes:
+        digest = self.old.get(word) or blake2b(word, digest_size=16).digest()
+        if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = digest
+        return digest
 
 
-def _tables() -> dict[str, np.ndarray]:
-    if not _TABLES:
-        _TABLES["up"] = _powers(BASE)
-        _TABLES["down"] = _powers(pow(BASE, -1, 2**64))
-        _TABLES["byte"] = mix(np.arange(1, 257, dtype=U) * U(BASE))
-        blank = np.zeros(256, bool)
-        blank[[0x20, *range(0x09, 0x0E)]] = True
-        _TABLES["blank"] = blank
-    return _TABLES
+_DIGESTS = _Digests()
 
 
-def _of_block(data: np.ndarray) -> np.ndarray:
-    t = _tables()
-    edges = np.flatnonzero(np.diff(np.concatenate(([True], t["blank"][data], [True])).astype(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.empty(0, U)
-    sums = np.concatenate((np.zeros(1, U), np.cumsum(t["byte"][data] * t["up"][: len(data)], dtype=U)))
-    return mix((sums[ends] - sums[starts]) * t["down"][starts] + (ends - starts).astype(U) * U(BASE))
+def _stretches(data: bytes) -> Iterator[bytes]:
+    """The data in stretches of about BLOCK_BYTES that end with a word."""
+    at = 0
+    while at < len(data):
+        blank = BLANK.search(data, at + BLOCK_BYTES)
+        end = blank.start() if blank else len(data)
+        yield data[at:end]
+        at = end
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A hash for each word `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, in order."""
+def word_digests(text: str | None) -> np.ndarray:
+    """Two independent 64-bit hashes for each word `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, in order."""
     if not text:
-        return np.empty(0, U)
-    data = np.frombuffer(text.encode().lower(), np.uint8)
-    if len(data) <= BLOCK_BYTES:
-        return _of_block(data)
-    blank, out, at = _tables()["blank"], [], 0
-    while at < len(data):
-        end = min(at + BLOCK_BYTES, len(data))
-        if end < len(data):
-            cuts = np.flatnonzero(blank[data[at:end]])
-            if not len(cuts):  # a word longer than a block: hash its pieces together
-                more = np.flatnonzero(blank[data[end:]])
-                stop = end + int(more[0]) if len(more) else len(data)
-                parts = [_of_block(data[i : min(i + BLOCK_BYTES, stop)]) for i in range(at, stop, BLOCK_BYTES)]
-                out.append(chain(np.concatenate(parts)[None, :], len(parts)))
-                at = stop
-                continue
-            end = at + int(cuts[-1]) + 1
-        out.append(_of_block(data[at:end]))
-        at = end
-    return np.concatenate(out)
+        return np.empty((0, 2), U)
+    found = b"".join(b"".join(map(_DIGESTS.__getitem__, part.split())) for part in _stretches(text.encode().lower()))
+    return np.frombuffer(found, U).reshape(-1, 2)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """The first of the two hashes of each word."""
+    return np.ascontiguousarray(word_digests(text)[:, 0])
 
 
 def chain(rows: np.ndarray, n: int) -> np.ndarray:
@@ -97,9 +85,19 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     return chain(np.lib.stride_tricks.sliding_window_view(words, n), n)
 
 
+def _set_of(words: np.ndarray, n: int) -> np.ndarray:
+    return np.unique(ngrams(words, min(n, len(words)))) if len(words) else np.empty(0, U)
+
+
 def shingle_set(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct hashes of the runs of n words; the whole sequence where there are fewer; none without words."""
-    words = word_hashes(text)
-    if not len(words):
-        return words
-    return np.unique(ngrams(words, min(n, len(words))))
+    return _set_of(word_hashes(text), n)
+
+
+def shingle_set_and_print(text: str | None, n: int = SHINGLE_WORDS) -> tuple[np.ndarray, bytes | None]:
+    """The shingle set, and a 128-bit digest of it by both hashes of the words, so that equal digests mean equal sets."""
+    both = word_digests(text)
+    if not len(both):
+        return np.empty(0, U), None
+    first, second = (_set_of(np.ascontiguousarray(both[:, i]), n) for i in (0, 1))
+    return first, blake2b(first.tobytes() + second.tobytes(), digest_size=16).digest()

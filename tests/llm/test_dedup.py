@@ -163,5 +163,42 @@ def test_places_do_not_depend_on_stretches(monkeypatch):
     data = np.frombuffer(bytes(random.Random(1).choice(b"abc") for _ in range(5000)), np.uint8)
     whole = substring_dedup.places(data, 200)
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 900)
-    for a, b in zip(whole, substring_dedup.places(data, 200)):
-        assert a.tolist() == b.tolist()
+    assert whole.tolist() == substring_dedup.places(data, 200).tolist()
+
+
+def thue_morse(blocks, a, b):
+    """The Thue-Morse word over two strings and its complement: polynomial hashes modulo a power of two take them for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(blocks)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_texts_with_equal_polynomial_hashes_are_told_apart(spark):
+    p, q = thue_morse(1024, "a", "b")
+    p2, q2 = thue_morse(128, '["', "aX")
+    d = spark.createDataFrame([(1, p), (2, q), (3, "L" * 40 + p2 + "R" * 104), (4, "L" * 40 + q2 + "R" * 104)], "doc_id long, text string")
+    assert [r.component_id for r in near_dedup.near_dedup(d).orderBy("doc_id").collect()] == [1, 2, 3, 4]
+    by_hand = removed_by_hand([r.text.encode() for r in d.orderBy("doc_id").collect()], 400)
+    for r in substring_dedup.substring_dedup(d).collect():
+        assert (r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), bytes(r.kept)) == by_hand[r.doc_id - 1]
+
+
+def test_near_dedup_around_a_common_passage(spark):
+    """Documents that share three quarters of their shingles with one another (similarity 0.6), and some real links among them."""
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(60)]
+    texts = [" ".join(template + [f"own{k}x{i}" for i in range(20)]) for k in range(120)]
+    texts += [" ".join(template + [f"own{k}x{i}" for i in range(16)] + [f"new{k}y{i}" for i in range(4)]) for k in range(0, 120, 7)]
+    texts += [" ".join(template[: rng.randrange(40, 60)]) for _ in range(20)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = near_by_hand(list(enumerate(texts)))
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(d).collect()} == want
+
+
+def test_the_smallest_id_and_ids_that_are_strings(spark):
+    low = -(2**63)
+    d = spark.createDataFrame([(low, "a b c d e f"), (5, "a b c d e f"), (7, "other")], "doc_id long, text string")
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(d).collect()} == {low: low, 5: low, 7: 7}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(d).collect()} == {low: low, 5: low, 7: 7}
+    named = d.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(named).collect()}["d5"] == f"d{low}"
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(named).collect()}["d5"] == f"d{low}"
