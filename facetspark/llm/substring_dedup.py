@@ -4,6 +4,9 @@ A string of `window` bytes holds SPREAD places where a core of window - SPREAD +
 whose core has the smallest hash stands for the string, so that equal strings are found at the same place of
 each copy, and one place stands for many strings. What can repeat lies round cores that occur twice.
 
+Polynomial hashes choose the places alone, which needs no more than that equal strings have equal ones. Whether
+cores and neighbourhoods are equal is decided by BLAKE2b digests of their bytes.
+
 Occurrences of one core agree on all but the SPREAD - 1 bytes before and after it, so each is written as
 those bytes with one symbol for the core between them. The suffix array of a core's occurrences, by linear
 grouping, puts equal strings side by side: they are suffixes that agree on SPREAD symbols.
@@ -12,6 +15,7 @@ grouping, puts equal strings side by side: they are suffixes that agree on SPREA
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from facetspark.llm.shared import stash
 from facetspark.llm.suffixes import suffix_array
-from facetspark.llm.words import BASE, BLOCK_BYTES, U, _tables, mix
+from facetspark.llm.words import BASE, BLOCK_BYTES, U, mix
 
 WINDOW = 400
 #: Places of a string that can stand for it; as many bits as a mask has.
@@ -31,6 +35,29 @@ SORT_SYMBOLS = 200_000
 ALL = -1
 
 
+def _powers(base: int) -> np.ndarray:
+    out = np.empty(BLOCK_BYTES + 1, U)
+    out[0], out[1] = 1, base
+    size, top = 2, base * base % 2**64
+    while size < len(out):
+        n = min(size, len(out) - size)
+        out[size : size + n] = out[:n] * U(top)
+        size += n
+        top = top * top % 2**64
+    return out
+
+
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _tables() -> dict[str, np.ndarray]:
+    if not _TABLES:
+        _TABLES["up"] = _powers(BASE)
+        _TABLES["down"] = _powers(pow(BASE, -1, 2**64))
+        _TABLES["byte"] = mix(np.arange(1, 257, dtype=U) * U(BASE))
+    return _TABLES
+
+
 def _prefix(data: np.ndarray) -> np.ndarray:
     t = _tables()
     return np.concatenate((np.zeros(1, U), np.cumsum(t["byte"][data] * t["up"][: len(data)], dtype=U)))
@@ -51,11 +78,8 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def places(data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash of its core, hash of its whole neighbourhood) for the places that stand for some string.
-
-    Long texts are taken in stretches; a place that two stretches choose is given once.
-    """
+def places(data: np.ndarray, window: int) -> np.ndarray:
+    """The places that stand for some string. Long texts are taken in stretches; a place that two stretches choose is given once."""
     core, step = window - SPREAD + 1, BLOCK_BYTES - 2 * window
     found, last = [], -1
     for a in range(0, max(0, len(data) - window + 1), step):
@@ -70,13 +94,20 @@ def places(data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.nd
         chosen = chosen[chosen + lo > last]
         if not len(chosen):
             continue
-        left, right = np.maximum(chosen - SPREAD + 1, 0), np.minimum(chosen + window, hi - lo)
-        around = _range_hash(sums, left, right) + mix((chosen - left).astype(U) * U(window) + (right - chosen).astype(U))
-        found.append((chosen + lo, v[chosen - first], around))
+        found.append(chosen + lo)
         last = int(chosen[-1]) + lo
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, U), np.empty(0, U)
-    return tuple(np.concatenate(x) for x in zip(*found))
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def digests(data: bytes, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the 128-bit digest of its core and a 64-bit one of its whole neighbourhood and the core's place in it."""
+    core, view = window - SPREAD + 1, memoryview(data)
+    cores, around = [], []
+    for p in at.tolist():
+        left = p - SPREAD + 1 if p >= SPREAD else 0
+        cores.append(blake2b(view[p : p + core], digest_size=16).digest())
+        around.append(blake2b(view[left : p + window], digest_size=8, salt=(p - left).to_bytes(2, "little")).digest())
+    return np.frombuffer(b"".join(cores), np.int64).reshape(-1, 2), np.frombuffer(b"".join(around), np.int64)
 
 
 def repeats(groups: list[list[tuple[bytes, bytes]]]) -> list[list[int]]:
@@ -124,8 +155,9 @@ def _scan(rows: DataFrame, window: int) -> DataFrame:
             for key, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
                 if text and len(text) * 4 >= window:
-                    at, core, around = places(np.frombuffer(text.encode(), np.uint8), window)
-                    out.append((np.full(len(at), key.as_py(), np.int64), at, core, around))
+                    data = text.encode()
+                    at = places(np.frombuffer(data, np.uint8), window)
+                    out.append((np.full(len(at), key.as_py(), np.int64), at, *digests(data, at, window)))
                     held += len(at)
                 if held > 100_000:
                     yield _members(out)
@@ -133,22 +165,23 @@ def _scan(rows: DataFrame, window: int) -> DataFrame:
             if out:
                 yield _members(out)
 
-    return rows.mapInArrow(run, "core long, around long, key long, at int")
+    return rows.mapInArrow(run, "core long, more long, around long, key long, at int")
 
 
 def _members(out: list[tuple]) -> pa.RecordBatch:
     key, at, core, around = (np.concatenate(x) for x in zip(*out))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(core.view(np.int64)), pa.array(around.view(np.int64)), pa.array(key), pa.array(at.astype(np.int32))], ["core", "around", "key", "at"]
-    )
+    columns = [np.ascontiguousarray(core[:, 0]), np.ascontiguousarray(core[:, 1]), around, key, at.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["core", "more", "around", "key", "at"])
 
 
-PIECE = "core long, around long, kinds long, before binary, after binary"
+#: The 128 bits of a core's digest.
+CORE = ["core", "more"]
+PIECE = "core long, more long, around long, kinds long, before binary, after binary"
 
 
 def _pieces(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The bytes before and after the wanted places."""
-    spots = wanted.groupBy("key").agg(F.collect_list(F.struct("core", "around", "kinds", "at")).alias("spots"))
+    spots = wanted.groupBy("key").agg(F.collect_list(F.struct("core", "more", "around", "kinds", "at")).alias("spots"))
     core = window - SPREAD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +191,9 @@ def _pieces(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 data = text.as_py().encode()
                 for x in spots.as_py():
                     p = x["at"]
-                    out.append((x["core"], x["around"], x["kinds"], data[max(0, p - SPREAD + 1) : p], data[p + core : p + window]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 5, kinds)], ["core", "around", "kinds", "before", "after"])
+                    out.append((x["core"], x["more"], x["around"], x["kinds"], data[max(0, p - SPREAD + 1) : p], data[p + core : p + window]))
+            kinds = (*[pa.int64()] * 4, pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 6, kinds)], ["core", "more", "around", "kinds", "before", "after"])
 
     return rows.join(spots, "key").select("text", "spots").mapInArrow(run, PIECE)
 
@@ -169,17 +202,18 @@ def _sorted_masks(pieces: DataFrame) -> DataFrame:
     """Masks from suffix arrays; all neighbourhoods of a core are in one task, and come in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[tuple[int, list[int]]] = []
+        names: list[tuple[tuple[int, int], list[int]]] = []
         groups: list[list[tuple[bytes, bytes]]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             masks = repeats(groups)
-            rows = [(c, a, m) for (c, arounds), ms in zip(names, masks) for a, m in zip(arounds, ms)]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ((), (), ()))], ["core", "around", "mask"])
+            rows = [(*c, a, m) for (c, arounds), ms in zip(names, masks) for a, m in zip(arounds, ms)]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [()] * 4)], ["core", "more", "around", "mask"])
 
         for batch in batches:
-            for core, around, _, before, after in zip(*(c.to_pylist() for c in batch.columns)):
+            for *core, around, _, before, after in zip(*(c.to_pylist() for c in batch.columns)):
+                core = tuple(core)
                 if not names or names[-1][0] != core:
                     if held > SORT_SYMBOLS:
                         yield flush()
@@ -192,20 +226,21 @@ def _sorted_masks(pieces: DataFrame) -> DataFrame:
         if names:
             yield flush()
 
-    return pieces.repartition("core").sortWithinPartitions("core", "around").mapInArrow(run, "core long, around long, mask long")
+    return pieces.repartition(*CORE).sortWithinPartitions(*CORE, "around").mapInArrow(run, "core long, more long, around long, mask long")
 
 
 def _counted_masks(pieces: DataFrame) -> DataFrame:
     """Masks of hot cores: one row for each string, counted by a 128-bit hash."""
     steps = F.sequence(F.greatest(F.lit(0), F.lit(SPREAD - 1) - F.length("after")), F.length("before"))
     strings = pieces.where(F.length("before") + F.length("after") >= SPREAD - 1).select(
-        "core", "around", F.explode(steps).alias("j"), "before", "after"
+        *CORE, "around", F.explode(steps).alias("j"), "before", "after"
     )
     head = F.substring("before", F.length("before") - F.col("j") + 1, F.col("j"))
     tail = F.substring("after", F.lit(1), F.lit(SPREAD - 1) - F.col("j"))
-    named = strings.select("core", "around", "j", F.md5(F.concat(head, F.encode(F.concat(F.lit("/"), F.col("core").cast("string"), F.lit("/")), "utf-8"), tail)).alias("s"))
-    often = named.groupBy("core", "j", "s").agg(F.count("*").alias("c")).where("c > 1")
-    return named.join(often, ["core", "j", "s"]).groupBy("core", "around").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
+    # head and tail of strings with one j have fixed lengths
+    named = strings.select(*CORE, "around", "j", F.md5(F.concat(head, tail)).alias("s"))
+    often = named.groupBy(*CORE, "j", "s").agg(F.count("*").alias("c")).where("c > 1")
+    return named.join(often, [*CORE, "j", "s"]).groupBy(*CORE, "around").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -218,7 +253,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     Cores that occur once are dropped after one exchange of hashes. A neighbourhood that occurs twice as a
     whole is all repeated. Others go through suffix arrays, a task for some cores at a time; a core with over
     `hot` different neighbourhoods is counted string by string instead, which needs no group in one task.
-    Hashes of cores and neighbourhoods have 64 bits.
+    Cores are compared by 128-bit digests of their bytes, neighbourhoods of one core by 64-bit ones.
 
     Defined results: a null text is empty. Rows are told apart by a 64-bit hash of id and text, so null and
     repeated ids are rows like any other, and equal rows repeat each other. Texts shorter than the window are
@@ -229,17 +264,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     id_kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     members = _scan(rows.select("key", "text"), window)
-    twice = members.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
-    members = stash(members.join(twice, "core"), "substring-members")
-    around = members.groupBy("core", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
-    around = stash(around.select("core", "around", "n", "one.key", "one.at"), "substring-around")
-    kinds = around.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    pieces = stash(_pieces(rows.select("key", "text"), around.join(kinds, "core"), window), "substring-pieces")
+    twice = members.groupBy(*CORE).agg(F.count("*").alias("c")).where("c > 1").select(*CORE)
+    members = stash(members.join(twice, CORE), "substring-members")
+    around = members.groupBy(*CORE, "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
+    around = stash(around.select(*CORE, "around", "n", "one.key", "one.at"), "substring-around")
+    kinds = around.groupBy(*CORE).agg(F.count("*").alias("kinds")).where("kinds > 1")
+    pieces = stash(_pieces(rows.select("key", "text"), around.join(kinds, CORE), window), "substring-pieces")
     masks = _sorted_masks(pieces.where(F.col("kinds") <= hot)).unionByName(_counted_masks(pieces.where(F.col("kinds") > hot)))
-    single = around.where("n = 1").select("core", "around")
-    masks = masks.where("mask <> 0").join(single, ["core", "around"], "left_semi")
-    masks = masks.unionByName(around.where("n > 1").select("core", "around", F.lit(ALL).cast("long").alias("mask")))
-    marks = members.join(masks, ["core", "around"]).groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
+    single = around.where("n = 1").select(*CORE, "around")
+    masks = masks.where("mask <> 0").join(single, [*CORE, "around"], "left_semi")
+    masks = masks.unionByName(around.where("n > 1").select(*CORE, "around", F.lit(ALL).cast("long").alias("mask")))
+    marks = members.join(masks, [*CORE, "around"]).groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
