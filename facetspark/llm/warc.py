@@ -36,6 +36,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "urlkey string, page_id long, record_type string, digest string, file string, at long, size long"
 ENTRY = "first_key string, last_key string, part string, at long, size long, lines long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+#: Bytes of archives, and lines of the index, that a reading task takes.
+READ_BYTES, READ_LINES = 16 << 20, 16_000
 #: Index parts are listed to every task of a lookup; there are as many as range partitions.
 MAX_PARTS = 100_000
 
@@ -213,7 +215,9 @@ def scan_index(directory: DataFrame) -> DataFrame:
                 files, path = fs.FileSystem.from_uri(x["part"])
                 yield _rows(_block(files, path, x["at"], x["size"]), schema)
 
-    return directory.repartition("part", "at").mapInArrow(run, CAPTURE)
+    # a number of tasks of its own: adaptive execution would go by the few bytes of the directory
+    lines = directory.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+    return directory.repartition(max(1, -(-lines // READ_LINES)), "part", "at").mapInArrow(run, CAPTURE)
 
 
 def lookup(queries: DataFrame, directory: DataFrame, url_col: str = "url") -> DataFrame:
@@ -227,6 +231,7 @@ def lookup(queries: DataFrame, directory: DataFrame, url_col: str = "url") -> Da
     if len(parts) > MAX_PARTS:
         raise ValueError(f"over {MAX_PARTS} index parts; write the index with fewer partitions")
     tops = [(r["lo"], r["hi"], r["part"]) for r in parts]
+    ends = [t[1] for t in tops]
     keyed = cut(queries.withColumn("_q", F.monotonically_increasing_id()))  # the numbers must not change when tasks are repeated
     names = [c for c in queries.columns]
 
@@ -236,7 +241,7 @@ def lookup(queries: DataFrame, directory: DataFrame, url_col: str = "url") -> Da
             ks = []
             for q, url in zip(batch.column(0), batch.column(1)):
                 key = url_key(url.as_py())
-                i = bisect.bisect_left([t[1] for t in tops], key)
+                i = bisect.bisect_left(ends, key)
                 while i < len(tops) and tops[i][0] <= key:
                     qs.append(q.as_py()), ks.append(key), ps.append(tops[i][2])
                     i += 1
@@ -299,6 +304,10 @@ def read_records(captures: DataFrame, payloads: bool = True) -> DataFrame:
             if f is not None:
                 f.close()
 
-    # a stretch of an archive for each key, so that neither a large archive nor a few of them bind the number of tasks
-    stretch = (F.col("at") / (16 << 20)).cast("long")
-    return captures.select("file", "at", "size").repartition("file", stretch).sortWithinPartitions("file", "at").mapInArrow(run, RECORD)
+    # a stretch of an archive for each key, so that a large archive doesn't bind the number of tasks; the number
+    # follows the bytes of the archives, as adaptive execution would go by those of the captures
+    captures = cut(captures.select("file", "at", "size"))
+    size = captures.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(1, -(-size // READ_BYTES))
+    stretch = (F.col("at") / (READ_BYTES // 16)).cast("long")
+    return captures.repartition(tasks, "file", stretch).sortWithinPartitions("file", "at").mapInArrow(run, RECORD)
