@@ -16,10 +16,8 @@ from facetspark.llm.words import BASE, U, mix
 #: Hashed features, and the n-gram lengths in characters.
 BITS, GRAMS = 15, (1, 2, 3)
 DIM = 1 << BITS
-#: The classifier is fitted on at most so many documents, spread evenly over the languages.
+#: The classifier is fitted on at most so many different texts, spread evenly over the languages; one of each at least.
 SAMPLE_DOCS = 4000
-#: Of the languages at most so many are learned, the most frequent first.
-MAX_LANGS = 200
 #: FTRL-proximal: learning rate, its smoothing, and the elastic net's two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 EPOCHS = 3
@@ -134,12 +132,14 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     """id, lang_pred and score for every row; learns from the rows where `learn` is true and lang isn't null.
 
     Document frequencies are counted over all rows it may learn from. The classifier is fitted on a bounded
-    sample of them, at most sample_docs in the order of a hash of the id, with equal shares for the
-    languages. Predictions read the text alone. The model (DIM x languages numbers) is broadcast.
+    sample of them: at most sample_docs different texts in the order of a hash, with equal shares for the
+    languages. Every language that occurs is learned, however many there are, from one text at least.
+    Predictions read the text alone. The model is broadcast: 4 x DIM bytes (128 KB) for each language; the
+    one task that fits it holds four times that.
 
     Defined results: null texts and texts without letters are 'und' with score 0; so is everything where
     there is nothing to learn from. Null ids are rows like any other. Ties go to the first language in
-    alphabetical order. Repeated rows are predicted alike. An empty table gives no rows.
+    alphabetical order. Repeated rows are predicted alike, and count once in the sample. An empty table gives no rows.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.coalesce(learn, F.lit(False)).alias("_learn"))
@@ -161,14 +161,18 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     kind = src.schema["_id"].dataType.simpleString()
     if not often[DIM]:
         return src.select(F.col("_id").alias(id_col), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    ids = known.select("_id", "_lang", F.xxhash64("_id").alias("order"))
-    langs = [r["_lang"] for r in ids.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGS).collect()]
-    langs.sort()
+    texts = known.select("_lang", "_text", F.md5("_text").alias("_key"), F.xxhash64("_text").alias("order"))
+    sizes = {r["_lang"]: r["n"] for r in texts.groupBy("_lang").agg(F.approx_count_distinct("order").alias("n")).collect()}  # a number for each language
+    langs = sorted(sizes)
     share = max(1, sample_docs // len(langs))
-    named = F.broadcast(spark.createDataFrame(list(enumerate(langs)), "y int, _lang string"))
-    place = F.row_number().over(W.partitionBy("_lang").orderBy("order", "_id"))
-    chosen = cut(ids.join(named, "_lang").withColumn("place", place).where(F.col("place") <= share).select("_id", "_lang", "y", "order"))  # sample_docs rows
-    drawn = known.join(F.broadcast(chosen), ["_id", "_lang"])
+    # hashes below this bound hold twice the share of the texts on average, so no task ranks a whole language
+    bounds = [(y, x, min(1.0, 2 * (share + 16) / max(1, sizes[x]))) for y, x in enumerate(langs)]
+    named = F.broadcast(spark.createDataFrame(bounds, "y int, _lang string, _bound double"))
+    low = F.shiftrightunsigned(F.xxhash64(F.col("order")), 1) < F.col("_bound") * float(1 << 63)
+    place = F.row_number().over(W.partitionBy("_lang").orderBy("order", "_key"))
+    drawn = texts.join(named, "_lang").where(low).select("_lang", "y", "order", "_key").distinct()
+    chosen = cut(drawn.withColumn("place", place).where(F.col("place") <= share).select("_lang", "_key", "y"))  # sample_docs rows, or one a language
+    drawn = texts.join(F.broadcast(chosen), ["_lang", "_key"]).dropDuplicates(["_lang", "_key"])
     rows = _features(drawn).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(
         lambda pdf: pd.DataFrame([(w.tobytes(), t) for w, t in [fit(pdf, len(langs), idf)]], columns=["w", "t"]), "w binary, t double"
     ).first()
