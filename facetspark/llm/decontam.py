@@ -69,12 +69,12 @@ class Items:
     def keep_rare(self, docs_of_seed: np.ndarray, docs: int) -> None:
         """Drop each item's most common seeds; the rarest stay however common they are, so that no item is lost."""
         often = np.repeat(docs_of_seed, self.last - self.first)
-        keep = often <= RARE_DOCS * docs
-        for k in range(len(self.words)):
-            mine = np.flatnonzero(self.item == k)
-            if len(mine):
-                least = np.sort(often[mine])[int(np.ceil(RAREST * len(mine))) - 1]
-                keep[mine[often[mine] <= least]] = True
+        order = np.lexsort((often, self.item))
+        first, size = np.unique(self.item[order], return_index=True, return_counts=True)[1:]
+        least = often[order][first + np.ceil(RAREST * size).astype(np.int64) - 1]  # the commonest that each item surely keeps
+        at = np.empty(len(order), np.int64)
+        at[order] = np.repeat(np.arange(len(first)), size)
+        keep = (often <= RARE_DOCS * docs) | (often <= least[at])
         self._set(self.seed[keep], self.item[keep], self.place[keep])
 
 
