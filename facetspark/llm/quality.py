@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from facetspark.llm.shared import cut
+from facetspark.llm.shared import cut, new_path
 from facetspark.llm.words import BASE, U
 
 ORDER = 5
@@ -22,11 +24,13 @@ FOLDS = 5
 SIEVE_BITS = 25
 #: Log-perplexities are counted in bins of this width for the quantiles.
 BIN = 1e-4
-#: Rows of the model that a task holds at a time; a larger model is scored in shards, one after the other.
+#: Rows of the model that a task holds, on average over the shards.
 MODEL_ROWS = 4_000_000
 #: Bytes of text that are counted, and scored, at a time.
 TEXT_BYTES, SCORE_BYTES = 1 << 20, 1 << 18
 LANGUAGE_NONE = "und"
+#: Contexts of two bytes are dealt over the shards by an odd multiplier modulo their number.
+PIVOTS, MIX_PIVOT = 1 << 16, 40_503
 EMPTY = U(2**64 - 1)
 
 
@@ -109,7 +113,8 @@ def model(counts: DataFrame) -> DataFrame:
 
     The highest order uses counts, the others continuation counts: how many different bytes stand before.
     Each order is joined with its context sums and with the order below by key, so that count tables stay
-    sharded over the cluster. Counts with a column `part` give a model for each part.
+    sharded over the cluster. Counts with a column `part` give a model for each part. Only the number of n-grams
+    that occur once, twice, three and four times comes to the driver.
     """
     by = [c for c in counts.columns if c == "part"]
     orders = {ORDER: cut(counts)}
@@ -139,7 +144,63 @@ def model(counts: DataFrame) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
-    return cut(out)
+    return out
+
+
+@dataclass(frozen=True)
+class Shelf:
+    """Models in the shared folder: a folder for each part, and in it one for each shard, and one (-1) that all shards need."""
+
+    path: str
+    shards: int
+
+
+def shelve(trained: DataFrame) -> Shelf:
+    """Write models (with or without `part`) to the shared folder, in shards of about MODEL_ROWS rows.
+
+    A row's shard is a hash of the last two bytes of its context, which all orders from three up share; the two lowest
+    orders (65,792 rows at most) are needed with every shard.
+    """
+    spark = trained.sparkSession
+    if "part" not in trained.columns:
+        trained = trained.withColumn("part", F.lit(0))
+    first = new_path(spark, "quality-model")
+    context = F.when(F.col("kind") == "p", F.shiftright("key", 8)).otherwise(F.col("key"))
+    pivot = F.when(F.col("ord") < 3, F.lit(-1)).otherwise(context.bitwiseAND(F.lit(0xFFFF)).cast("int")).alias("pivot")
+    table = F.when(F.col("kind") == "p", F.col("ord")).otherwise(-F.col("ord")).cast("byte").alias("table")
+    rows = trained.select(F.col("part").cast("int").alias("part"), table, "key", F.col("value").cast("float").alias("value"), pivot)
+    rows.write.parquet(first)
+    rows = spark.read.parquet(first)
+    most = rows.groupBy("part").agg(F.count("*").alias("c")).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+    shelf = Shelf(new_path(spark, "quality-shelf"), max(1, -(-most // MODEL_ROWS)))
+    spread = F.pmod(F.col("pivot") * F.lit(MIX_PIVOT), F.lit(PIVOTS)) % shelf.shards
+    shard = F.when(F.col("pivot") < 0, F.lit(-1)).otherwise(spread).cast("int")
+    rows.withColumn("shard", shard).drop("pivot").repartition("part", "shard").write.partitionBy("part", "shard").parquet(shelf.path)
+    return shelf
+
+
+_SHELVED: dict[tuple, dict] = {}
+
+
+def _tables_of(shelf: Shelf, part: int, shard: int) -> dict:
+    """The lookup tables of one shard; a worker keeps those it used last."""
+    name = (shelf.path, part, shard)
+    if name not in _SHELVED:
+        _SHELVED.clear()
+        files, root = fs.FileSystem.from_uri(shelf.path)
+        found = []
+        for k in (-1, shard):
+            folder = f"{root}/part={part}/shard={k}"
+            if files.get_file_info(folder).type == fs.FileType.Directory:
+                found.append(dataset.dataset(folder, filesystem=files, format="parquet").to_table(columns=["table", "key", "value"]))
+        rows = pa.concat_tables(found) if found else pa.table({"table": pa.array([], pa.int8()), "key": pa.array([], pa.int64()), "value": pa.array([], pa.float32())})
+        at, keys, values = (rows[c].to_numpy() for c in ("table", "key", "value"))
+        tables = {}
+        for kind, k in ((kind, k) for kind in "pg" for k in range(1, ORDER + 1)):
+            mine = at == (k if kind == "p" else -k)
+            tables[kind, k] = Table(keys[mine].view(U), values[mine])
+        _SHELVED[name] = tables
+    return _SHELVED[name]
 
 
 class Table:
@@ -193,72 +254,45 @@ def log_probabilities(tables: dict, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pivot(kind: Column, order: Column, key: Column) -> Column:
-    """The last two bytes of the context, which all orders from three up share; -1 for rows that every shard needs."""
-    context = F.when(kind == "p", F.shiftright(key, 8)).otherwise(key)
-    return F.when(order < 3, F.lit(-1)).otherwise(context.bitwiseAND(F.lit(0xFFFF)))
-
+def score(docs: DataFrame, shelf: Shelf, part: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, kept columns, n_bytes and log_p (summed over the text's bytes) for every whole text; texts aren't shuffled.
 
-def score(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, kept columns, n_bytes and log_p (summed over the text's bytes) for every whole text; no shuffle of texts.
-
-    A model of up to MODEL_ROWS rows is broadcast. A larger one is cut into shards by the last two bytes of
-    the context; every place of a text belongs to one shard, so the shards' sums add up.
+    Each place of a text belongs to one shard of the model, by its context. A task reads its shard from the shared
+    folder and sums over the places of that shard; shards are scored by tasks of their own, so no task holds
+    more than one, and a row's sums (a number a shard) are added up after one exchange. A model of one shard
+    needs none. Joining every place of every text with the model's rows would shuffle several times the input.
     """
-    spark = docs.sparkSession
-    marked = trained.withColumn("pivot", _pivot(F.col("kind"), F.col("ord"), F.col("key")))
-    sizes = sorted(((r["pivot"], r["c"]) for r in marked.groupBy("pivot").agg(F.count("*").alias("c")).collect()), key=lambda x: -x[1])  # 65,537 rows at most
-    everywhere = sum(c for p, c in sizes if p < 0)
-    shards: list[list[int]] = []
-    room: list[int] = []
-    for p, c in sizes:
-        if p < 0:
-            continue
-        at = next((i for i, r in enumerate(room) if r >= c), None)
-        if at is None:
-            shards.append([])
-            room.append(max(c, MODEL_ROWS - everywhere))
-            at = len(room) - 1
-        shards[at].append(p)
-        room[at] -= c
-    shards = shards or [[]]
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
-    now = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"), F.lit(0.0).alias("log_p"))
-    ddl = ", ".join([f"_id {kinds[id_col]}", *[f"_{i} {kinds[c]}" for i, c in enumerate(keep)], "_text string", "log_p double"])
-    for i, pivots in enumerate(shards):
-        rows = marked if len(shards) == 1 else marked.where((F.col("pivot") < 0) | F.col("pivot").isin(pivots))
-        table = F.when(F.col("kind") == "p", F.col("ord")).otherwise(-F.col("ord")).cast("byte")
-        got = rows.select(table.alias("table"), "key", F.col("value").cast("float").alias("value")).toArrow()  # MODEL_ROWS in all
-        at, arrays = got["table"].to_numpy(), {}
-        for kind, k in ((kind, k) for kind in "pg" for k in range(1, ORDER + 1)):
-            mine = at == (k if kind == "p" else -k)
-            arrays[kind, k] = (got["key"].to_numpy()[mine].view(U), got["value"].to_numpy()[mine])
-        mine = None
-        if len(shards) > 1:
-            mine = np.zeros(1 << 16, bool)
-            mine[pivots] = True
-            if i == 0:
-                mine[list({*range(1 << 16)} - {p for s in shards for p in s})] = True  # contexts that no shard has seen
-        sent = spark.sparkContext.broadcast((arrays, mine))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            arrays, mine = sent.value
-            tables = {name: Table(*columns) for name, columns in arrays.items()}
+    now = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.xxhash64(text_col).alias("_text_hash"), F.col(text_col).alias("_text"))
+    names = ["_id", *[f"_{i}" for i in range(len(keep))], "_text_hash"]
+    ddl = ", ".join([f"_id {kinds[id_col]}", *[f"_{i} {kinds[c]}" for i, c in enumerate(keep)], "_text_hash long, n_bytes long, log_p double"])
+
+    def scored(shard: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = _tables_of(shelf, part, shard)
             for batch in batches:
-                total = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).copy()
-                for first, texts in _slices(batch.column(batch.num_columns - 2), SCORE_BYTES):
+                total, size = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+                for first, texts in _slices(batch.column(batch.num_columns - 1), SCORE_BYTES):
                     keys, n = _packed(texts)
-                    row = np.repeat(np.arange(first, first + len(n)), n)
-                    if mine is not None:
-                        at = mine[((keys >> U(8)) & U(0xFFFF)).astype(np.int64)]
-                        keys, row = keys[at], row[at]
-                    total[first : first + len(n)] += np.bincount(row - first, log_probabilities(tables, keys), minlength=len(n))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total)], batch.schema.names)
-
-        now = now.mapInArrow(run, ddl)
-    return now.select(
-        F.col("_id").alias(id_col), *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"), "log_p"
-    )
+                    row = np.repeat(np.arange(len(n)), n)
+                    if shelf.shards > 1:
+                        mine = (((keys >> U(8)) & U(0xFFFF)).astype(np.int64) * MIX_PIVOT) % PIVOTS % shelf.shards == shard
+                        keys, row = keys[mine], row[mine]
+                    total[first : first + len(n)] = np.bincount(row, log_probabilities(tables, keys), minlength=len(n))
+                    size[first : first + len(n)] = n
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size), pa.array(total)], [*names, "n_bytes", "log_p"])
+
+        return now.mapInArrow(run, ddl)
+
+    if shelf.shards == 1:
+        out = scored(0)
+    else:
+        # rows that agree in id, kept columns and text are counted, and come out as often as they went in
+        each = reduce(DataFrame.unionByName, [scored(i).withColumn("_shard", F.lit(i)) for i in range(shelf.shards)])
+        each = each.groupBy(*names, "n_bytes", "_shard").agg(F.max("log_p").alias("log_p"), F.count("*").alias("_copies"))
+        whole = each.groupBy(*names, "n_bytes").agg(F.sum("log_p").alias("log_p"), F.max("_copies").alias("_copies"))
+        out = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return out.select(F.col("_id").alias(id_col), *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "log_p")
 
 
 def _sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -309,12 +343,12 @@ def classify(
         scored = src.select("_id", "_lang", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("bits"))
         held_out = scored
     elif sum(texts) < FOLDS or max(texts) == sum(texts):
-        held_out = scored = cut(score(src, model(without_each(counts, FOLDS).where("part < 0").drop("part")), "_id", "_text", ("_lang",)).select("*", bits))
+        whole = shelve(model(without_each(counts, FOLDS).where("part < 0").drop("part")))
+        held_out = scored = cut(score(src, whole, 0, "_id", "_text", ("_lang",)).select("*", bits))
     else:
-        models = model(without_each(counts, FOLDS))
-        of = lambda i: models.where(F.col("part") == i).drop("part")
-        scored = cut(score(src, of(-1), "_id", "_text", ("_lang",)).select("*", bits))
-        folds = [score(_sieved(src.where(part == i), trusted), of(i), "_id", "_text", ("_lang",)).select("_id", "_lang", bits) for i in range(FOLDS)]
+        shelf = shelve(model(without_each(counts, FOLDS)))
+        scored = cut(score(src, shelf, -1, "_id", "_text", ("_lang",)).select("*", bits))
+        folds = [score(_sieved(src.where(part == i), trusted), shelf, i, "_id", "_text", ("_lang",)).select("_id", "_lang", bits) for i in range(FOLDS)]
         held_out = reduce(DataFrame.unionAll, folds)
     own = held_out.join(trusted, F.col("_id") == F.col("_label"), "left_semi").where("bits IS NOT NULL")
     hist = own.select(F.explode(F.array(F.struct(key.alias("l"), F.lit(False).alias("every")), F.struct(F.lit("").alias("l"), F.lit(True).alias("every")))).alias("k"), F.ceil(F.col("bits") / BIN).alias("bin"))

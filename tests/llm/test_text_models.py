@@ -124,9 +124,13 @@ def test_quality_model_is_kneser_ney(spark, monkeypatch, rows_of_model):
     monkeypatch.setattr(quality, "MODEL_ROWS", rows_of_model)
     rng = random.Random(1)
     texts = ["".join(rng.choice("abc ") for _ in range(60)) for _ in range(4)]
-    trained = quality.model(quality.count_ngrams(spark.createDataFrame([(t,) for t in texts], "text string")))
+    shelf = quality.shelve(quality.model(quality.count_ngrams(spark.createDataFrame([(t,) for t in texts], "text string"))))
+    assert (shelf.shards > 1) == (rows_of_model == 150)
     asked = [texts[0], "abca bc", "zzz", "", None, "été"]
-    got = {r.doc_id: r.log_p for r in quality.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), trained).collect()}
+    twice = [*enumerate(asked), (0, texts[0])]
+    found = quality.score(spark.createDataFrame(twice, "doc_id long, text string"), shelf).collect()
+    assert len(found) == len(twice)
+    got = {r.doc_id: r.log_p for r in found}
     p = kneser_ney([t.encode() for t in texts], quality.ORDER)
     for i, t in enumerate(asked):
         b = bytes(quality.ORDER - 1) + (t or "").encode()
