@@ -30,9 +30,9 @@ CACHE_PIECES = 250_000
 ROWS = 500
 #: Vocabulary files up to this size are broadcast.
 MAX_VOCAB_BYTES = 64_000_000
-#: A queue entry holds merge rank, resulting id (SHIFT bits) and place (PLACE bits) in one number.
+#: Bits of an id in the key of a pair, and of a place in a queue entry.
 SHIFT, PLACE = 20, 40
-MASK, PLACE_MASK = (1 << SHIFT) - 1, (1 << PLACE) - 1
+PLACE_MASK = (1 << PLACE) - 1
 
 
 def default_vocab() -> str:
@@ -66,10 +66,13 @@ class ByteBPE:
         for word, i in [*vocab.items(), *added.items()]:
             self.strings[i] = bytes(back[c] for c in word) if all(c in back for c in word) else word.encode()
         self.of_byte = [vocab[c] for c in letters]
-        self.merges: dict[int, int] = {}
+        self.merges: dict[int, int] = {}  # rank, moved up to make room for a place, by pair
+        self.results: list[int] = []  # id by rank
         for rank, pair in enumerate(told["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a] << SHIFT | vocab[b]] = rank << SHIFT | vocab[a + b]
+            self.merges[vocab[a] << SHIFT | vocab[b]] = rank << PLACE
+            self.results.append(vocab[a + b])
+        self.first = [self.merges.get(self.of_byte[a] << SHIFT | self.of_byte[b], -1) for a in range(256) for b in range(256)]
         self.added = added
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.any_pieces = regex.compile(PATTERN).findall
@@ -82,31 +85,40 @@ class ByteBPE:
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the lowest merge rank first, leftmost of equals.
 
-        Symbols are a doubly linked list in two arrays. A queue entry is stale, and skipped, when the pair that
-        now stands at its place has another rank.
+        Symbols are a doubly linked list in two arrays. A queue entry is merge rank and place in one number; it is
+        stale, and skipped, when it is no longer the entry of its place.
         """
-        ids = [self.of_byte[b] for b in piece]
-        n = len(ids)
-        rank_of = self.merges.get
-        queue = [r << PLACE | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank_of(a << SHIFT | b)) is not None]
+        n = len(piece)
+        first, rank_of, result = self.first, self.merges.get, self.results
+        now = [r | i if (r := first[a << 8 | b]) >= 0 else -1 for i, (a, b) in enumerate(zip(piece, piece[1:]))]
+        queue = [x for x in now if x >= 0]
+        ids = list(map(self.of_byte.__getitem__, piece))
         if not queue:
             return ids
+        now.append(-1)
         heapify(queue)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
             top = heappop(queue)
-            r, i = top >> PLACE, top & PLACE_MASK
-            j = after[i]
-            if ids[i] < 0 or j >= n or rank_of(ids[i] << SHIFT | ids[j]) != r:
+            i = top & PLACE_MASK
+            if now[i] != top:
                 continue
-            ids[i], ids[j] = r & MASK, -1
+            j = after[i]
+            ids[i] = x = result[top >> PLACE]
+            ids[j] = now[j] = -1
             k = after[i] = after[j]
+            now[i] = -1
             if k < n:
                 before[k] = i
-                if (s := rank_of(ids[i] << SHIFT | ids[k])) is not None:
-                    heappush(queue, s << PLACE | i)
-            if (h := before[i]) >= 0 and (s := rank_of(ids[h] << SHIFT | ids[i])) is not None:
-                heappush(queue, s << PLACE | h)
+                if (r := rank_of(x << SHIFT | ids[k])) is not None:
+                    now[i] = r | i
+                    heappush(queue, r | i)
+            h = before[i]
+            if h >= 0:
+                now[h] = -1
+                if (r := rank_of(ids[h] << SHIFT | x)) is not None:
+                    now[h] = r | h
+                    heappush(queue, r | h)
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> bytes:
