@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Where a quoted reply begins in a mail body.
-REPLY_MARKERS = ("-----Original Message-----", "---------------------- Forwarded by", "________________________________")
+# Where a quoted reply, or a signature, begins in a mail body (in lower case).
+REPLY_MARKERS = (
+    "-----original message-----",
+    "----- original message -----",
+    "-----forwarded by",
+    "----- forwarded by",
+    "__________________________________",
+)
+SIGNATURE_MARKERS = ("\n-- \n", "\nthanks,\n", "\nregards,\n", "\nbest regards,\n")
 ARTICLES = r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
@@ -26,56 +33,68 @@ def sentences(text: Column, min_words: int = 4) -> Column:
     return F.filter(parts, lambda s: F.size(words(s)) >= min_words)
 
 
-def windows(tokens: Column, size: int, overlap: int, least_tail: int) -> Column:
-    """Runs of `size` words that begin every size - overlap words; a last run of under least_tail words is left out.
+def windows(tokens: Column, size: int, overlap: int, least_tail: int, whole: Column | None = None) -> Column:
+    """Runs of `size` words that begin every size - overlap words; a run of under least_tail words is left out.
 
-    A text of at most `size` words is one run; an empty text is none.
+    A text of at most `size` words stays as it is where `whole` gives it, and else is one run; a blank text is none.
+    `tokens` should be a column of its own, not an expression, which would be computed for every run.
     """
-    n, step = F.size(tokens), size - overlap
-    starts = F.when(n > size, F.sequence(F.lit(0), n - 1, F.lit(step))).when(n > 0, F.array(F.lit(0)))
-    runs = F.transform(starts, lambda i: F.slice(tokens, i + 1, F.lit(size)))
-    kept = F.filter(runs, lambda r, i: (i == 0) | (F.size(r) >= least_tail))
-    return F.coalesce(F.transform(kept, lambda r: F.array_join(r, " ")), F.array().cast("array<string>"))
+    n, step = F.size(tokens), max(1, size - overlap)
+    runs = F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: F.slice(tokens, i + 1, F.lit(size)))
+    kept = F.transform(F.filter(runs, lambda r: F.size(r) >= least_tail), lambda r: F.array_join(r, " "))
+    short = F.array(F.array_join(tokens, " ") if whole is None else whole)
+    return F.when(n > size, kept).when(n > 0, short).otherwise(F.array().cast("array<string>"))
 
 
-def card_windows(tokens: Column, size: int = 180, overlap: int = 60) -> Column:
-    return windows(tokens, size, overlap, min(size // 3, 15))
+def card_windows(tokens: Column, whole: Column | None = None, size: int = 180, overlap: int = 60) -> Column:
+    return windows(tokens, size, overlap, min(size // 3, 15), whole)
 
 
-def sub_chunks(tokens: Column, size: int = 180, overlap: int = 60) -> Column:
-    return windows(tokens, size, overlap, min(size // 3, 20))
+def sub_chunks(tokens: Column, whole: Column | None = None, size: int = 180, overlap: int = 60) -> Column:
+    return windows(tokens, size, overlap, min(size // 3, 20), whole)
 
 
-def word_chunks(tokens: Column, size: int = 100) -> Column:
+def word_chunks(tokens: Column, whole: Column | None = None, size: int = 100) -> Column:
     """Runs of `size` words, the last however short."""
-    return windows(tokens, size, 0, 1)
+    return windows(tokens, size, 0, 1, whole)
 
 
 def attributes(text: Column, verb: str = "likes") -> Column:
-    """What stands after the first `verb`, split at commas; the text itself where the verb is missing."""
+    """(subject, attributes): what stands before the first `verb`, and what follows it, split at commas; the text itself twice where the verb is missing."""
     parts = F.split(text, rf"\b{verb}\b", 2)
-    listed = F.transform(F.split(F.get(parts, F.lit(1)), ","), lambda x: F.regexp_replace(x, r"^[\s.]+|[\s.]+$", ""))
-    return F.when(F.size(parts) > 1, F.filter(listed, lambda x: x != "")).otherwise(F.array(F.trim(text)))
+    listed = F.transform(F.split(F.get(parts, F.lit(1)), ","), lambda x: F.regexp_replace(x, r"^[ .,]+|[ .,]+$", ""))
+    subject = trim_space(F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise(text))
+    found = F.when(F.size(parts) > 1, F.filter(listed, lambda x: x != "")).otherwise(F.array(trim_space(text)))
+    return F.struct(subject.alias("subject"), found.alias("attributes"))
+
+
+def trim_space(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def strip_quoted(body: Column) -> Column:
-    """The body before its first reply marker, without lines that begin with '>'."""
-    first = F.least(*[F.nullif(F.instr(body, m), F.lit(0)) for m in REPLY_MARKERS])
+    """The body before its first reply marker (in any case), without lines that begin with '>', trimmed."""
+    first = F.least(*[F.nullif(F.instr(F.lower(body), m), F.lit(0)) for m in REPLY_MARKERS])
     own = F.when(first.isNotNull(), F.substring(body, F.lit(1), first - 1)).otherwise(body)
-    return F.array_join(F.filter(F.split(own, "\n"), lambda line: ~F.startswith(F.ltrim(line), F.lit(">"))), "\n")
+    return trim_space(F.array_join(F.filter(F.split(own, r"\r\n|\n|\r"), lambda line: ~F.startswith(F.regexp_replace(line, r"^\s+", ""), F.lit(">"))), "\n"))
 
 
-def strip_signature(body: Column, marker: str = "\n--", last_share: float = 0.66) -> Column:
-    """The body before its last signature marker, if that stands in the last third."""
-    behind = F.instr(F.reverse(body), marker[::-1])
-    at = F.length(body) - behind - len(marker) + 1
-    return F.when((behind > 0) & (at >= F.length(body) * last_share), F.substring(body, F.lit(1), at)).otherwise(body)
+def strip_signature(body: Column, last_share: float = 0.66) -> Column:
+    """The body before the first of its last signature markers that stand beyond last_share of it, trimmed."""
+    n, low = F.length(body), F.lower(body)
+    ends = []
+    for m in SIGNATURE_MARKERS:
+        behind = F.instr(F.reverse(low), m[::-1])
+        at = n - behind - len(m) + 1
+        ends.append(F.when((behind > 0) & (at > n * last_share), at))
+    cut = F.least(*ends)
+    return trim_space(F.when(cut.isNotNull(), F.substring(body, F.lit(1), cut)).otherwise(body))
 
 
 def clean_body(body: Column) -> Column:
-    """No carriage returns, single blanks, at most one blank line, trimmed."""
-    out = F.regexp_replace(F.regexp_replace(body, "\r", ""), "[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    """Without quoted replies and signature; single blanks, at most one blank line, trimmed."""
+    out = F.regexp_replace(strip_signature(strip_quoted(body)), "[ \t]+", " ")
+    return trim_space(F.regexp_replace(out, "\n{3,}", "\n\n"))
 
 
 def normalise(text: Column) -> Column:

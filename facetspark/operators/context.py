@@ -65,14 +65,17 @@ def overlaps(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(b, key).where((F.col("a_end") > F.col("b_start")) & (F.col("a_start") < F.col("b_end")))
 
 
-def lazy_expand(ranking: DataFrame, owners: DataFrame, depth: int) -> DataFrame:
-    """The best `depth` containers' units first, then the other ranked units: stage and position.
+def lazy_expand(kept: DataFrame, tail: DataFrame, owners: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
+    """The kept ranking, then the remaining owners of its first `depth` containers by similarity, then the deeper list: stage and position.
 
-    ranking (qid, uid, container, rank); owners (qid, uid, container, score).
+    kept and tail (qid, uid, container, rank); owners (uid, container, vec); queries (qid, qvec). Only owners of those
+    containers are scored, which an equi-join on the container finds.
     """
     w = W.partitionBy("qid").orderBy("first", "container")
-    top = ranking.groupBy("qid", "container").agg(F.min("rank").alias("first")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= depth)
-    inside = owners.join(top.select("qid", "container", "place"), ["qid", "container"])
-    ahead = inside.select("qid", "uid", F.lit(0).alias("stage"), "place", (-F.col("score")).alias("at"))
-    rest = ranking.join(ahead.select("qid", "uid"), ["qid", "uid"], "left_anti").select("qid", "uid", F.lit(1), F.lit(0), F.col("rank").cast("double"))
-    return ahead.union(rest).withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy("stage", "place", "at", "uid")))
+    top = kept.groupBy("qid", "container").agg(F.min("rank").alias("first")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= depth)
+    score = F.aggregate(F.zip_with("vec", "qvec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    inside = owners.join(top.select("qid", "container"), "container").join(queries, "qid").select("qid", "uid", F.lit(1).alias("stage"), (-score).alias("at"))
+    ahead = kept.select("qid", "uid", F.lit(0).alias("stage"), F.col("rank").cast("double").alias("at"))
+    every = ahead.unionByName(inside).unionByName(tail.select("qid", "uid", F.lit(2).alias("stage"), F.col("rank").cast("double").alias("at")))
+    once = every.groupBy("qid", "uid").agg(F.min(F.struct("stage", "at")).alias("x")).select("qid", "uid", "x.stage", "x.at")
+    return once.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy("stage", "at", "uid")))

@@ -6,6 +6,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from facetspark.operators.stats import exact_percentile, order_statistics
+
 
 def component_scores(scored: DataFrame, k: int = 3) -> DataFrame:
     """(uid, key, score): the mean of a unit's k best anchors in each anchor set; scored: (uid, key, anchor, score)."""
@@ -20,7 +22,7 @@ def fit_gate(features: DataFrame, columns: list[str], recall: float = 0.95):
     model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1 / n, elasticNetParam=0.0, standardization=False).fit(data)
     weights, bias = model.coefficients.toArray().tolist(), float(model.intercept)
     positives = apply_gate(features.where("label = 1"), columns, weights, bias)
-    threshold = positives.agg(F.expr(f"percentile(gate, {1 - recall})")).first()[0]
+    threshold = exact_percentile(positives, "gate", 1 - recall)
     return weights, bias, threshold
 
 
@@ -33,8 +35,22 @@ def apply_gate(features: DataFrame, columns: list[str], weights: list[float], bi
 
 def quantile_gate(df: DataFrame, score: str, q: float) -> DataFrame:
     """Rows at or above the score's exact quantile."""
-    cut = df.agg(F.expr(f"percentile({score}, {q})").alias("_cut"))  # one row
-    return df.crossJoin(F.broadcast(cut)).where(F.col(score) >= F.col("_cut")).drop("_cut")
+    return df.where(F.col(score) >= F.lit(exact_percentile(df, score, q)))
+
+
+def top_fraction(df: DataFrame, score: str, key: str, fraction: float, least: int) -> DataFrame:
+    """The best fraction by score (rounded half to even), `least` rows at least; ties at the edge go to the smaller key.
+
+    The edge is found from counts, so only rows that tie at it are ordered.
+    """
+    kept = []
+    found = order_statistics(df, score, lambda n: (kept.append(min(n, max(least, round(fraction * n)))), n - kept[0], n - kept[0])[1:])
+    if not found:
+        return df.limit(0)
+    edge = next(iter(found.values()))
+    above = df.where(F.col(score) > edge)
+    tied = df.where(F.col(score) == edge).orderBy(key).limit(kept[0] - above.count())
+    return above.unionByName(tied)
 
 
 def evaluate(df: DataFrame, passed: str = "passed", label: str = "label") -> DataFrame:

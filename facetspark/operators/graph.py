@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from facetspark.operators.stats import exact_percentile
 from facetspark.sources.scratch import cut
 
 
@@ -15,26 +16,49 @@ def cooccurrence(occurrences: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def pmi(edges: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Edges with weight log2(p(a, b) / (p(a) p(b))) over units."""
-    once = occurrences.dropDuplicates(["unit", "phrase"])
-    freq = once.groupBy("phrase").agg(F.count("*").alias("f"))
-    units = once.agg(F.countDistinct("unit").alias("units"))  # one row
+def hub_rule(occurrences: DataFrame, share: float = 0.005) -> DataFrame:
+    """(phrase, f, pronoun, hub) of occurrences (unit, phrase, pron): phrases that are pronouns in most occurrences, and the most frequent share.
+
+    The number of hubs is the share of all phrases, rounded down; ties go to the smaller phrase. The frequency of the
+    last hub is read off the counts of counts, so that only phrases of that one frequency are ranked.
+    """
+    freq = cut(occurrences.groupBy("phrase").agg(F.count("*").alias("f"), (2 * F.sum(F.col("pron").cast("int")) > F.count("*")).alias("pronoun")))
+    hubs = int(share * freq.count())
+    above, edge, left = 0, None, 0
+    for r in freq.groupBy("f").agg(F.count("*").alias("c")).orderBy(F.desc("f")).limit(hubs).collect():  # a row for each frequency of a hub
+        if above + r["c"] >= hubs:
+            edge, left = r["f"], hubs - above
+            break
+        above += r["c"]
+    if edge is None:
+        return freq.withColumn("hub", F.lit(False))
+    tied = freq.where(F.col("f") == edge).orderBy("phrase").limit(left).select(F.col("phrase").alias("p"), F.lit(True).alias("tied"))
+    return freq.join(tied, F.col("phrase") == F.col("p"), "left").select("phrase", "f", "pronoun", ((F.col("f") > edge) | F.coalesce("tied", F.lit(False))).alias("hub"))
+
+
+def pmi(edges: DataFrame, freq: DataFrame) -> DataFrame:
+    """Edges with fa, fb and weight p(a, b) * log2(p(a, b) / (p(a) p(b))).
+
+    p(a, b) is an edge's share of all edges' counts, p(a) a phrase's share of all phrases' frequencies (phrase, f).
+    """
+    pairs, total = edges.agg(F.sum("n").alias("pairs")), freq.agg(F.sum("f").alias("total"))  # one row each
     fa, fb = freq.select(F.col("phrase").alias("a"), F.col("f").alias("fa")), freq.select(F.col("phrase").alias("b"), F.col("f").alias("fb"))
-    both = edges.join(fa, "a").join(fb, "b").crossJoin(F.broadcast(units))
-    return both.withColumn("weight", F.log2(F.col("n") * F.col("units") / (F.col("fa") * F.col("fb"))))
-
-
-def prune(weighted: DataFrame, least_degree: int = 2, least_freq: int = 2, share: float = 0.4) -> DataFrame:
-    """Edges without the best connected phrase, without phrases of low degree or frequency, above the quantile, positive; in that order."""
-    ends = lambda e: e.select(F.col("a").alias("p")).unionByName(e.select(F.col("b").alias("p"))).groupBy("p").agg(F.count("*").alias("deg"))
-    hub = ends(weighted).orderBy(F.desc("deg"), "p").limit(1).select("p")
-    left = weighted.join(hub.withColumnRenamed("p", "a"), "a", "left_anti").join(hub.withColumnRenamed("p", "b"), "b", "left_anti")
-    good = ends(left).where(F.col("deg") >= least_degree).select("p")
-    left = left.join(good.withColumnRenamed("p", "a"), "a", "left_semi").join(good.withColumnRenamed("p", "b"), "b", "left_semi")
-    left = left.where((F.col("fa") >= least_freq) & (F.col("fb") >= least_freq))
-    cut = left.agg(F.expr(f"percentile(weight, {share})").alias("cut"))
-    return left.crossJoin(F.broadcast(cut)).where((F.col("weight") >= F.col("cut")) & (F.col("weight") > 0)).drop("cut")
+    both = edges.join(fa, "a").join(fb, "b").crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(total))
+    p = F.col("n") / F.col("pairs")
+    return both.withColumn("weight", p * F.log2(p / (F.col("fa") / F.col("total") * F.col("fb") / F.col("total")))).drop("pairs", "total")
+
+
+def prune(weighted: DataFrame, least_freq: int = 2, share: float = 0.4) -> DataFrame:
+    """Edges (a, b, fa, fb, weight) without the best connected phrase and rare phrases, from the weights' quantile up, above 0; in that order.
+
+    Degrees are counted once, over all edges, so that each phrase of an edge has one at least.
+    """
+    ends = weighted.select(F.col("a").alias("p")).unionByName(weighted.select(F.col("b").alias("p"))).groupBy("p").agg(F.count("*").alias("deg"))
+    ego = ends.agg(F.min_by("p", F.struct((-F.col("deg")).alias("fewer"), "p")).alias("ego"))  # one row
+    left = weighted.crossJoin(F.broadcast(ego)).where((F.col("a") != F.col("ego")) & (F.col("b") != F.col("ego"))).drop("ego")
+    left = cut(left.where((F.col("fa") >= least_freq) & (F.col("fb") >= least_freq)))
+    least = exact_percentile(left, "weight", share)
+    return left.where((F.col("weight") >= F.lit(least)) & (F.col("weight") > 0))
 
 
 def plurality(members: DataFrame, unit: str, label: str) -> DataFrame:

@@ -25,14 +25,19 @@ def cluster_round_robin(pool: DataFrame, n: int) -> DataFrame:
     return turns.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n).select("qid", "uid", "pos")
 
 
-def outlier_harvest(pool: DataFrame, n: int, fraction: float = 0.3) -> DataFrame:
-    """pool (qid, uid, rel, label): the most relevant, and a share of the budget from the noise cluster."""
-    tail_n = int(round(fraction * n))
-    w = W.partitionBy("qid", "tail").orderBy(F.desc("rel"), "uid")
-    marked = pool.withColumn("tail", F.col("label") == -1).withColumn("r", F.row_number().over(w))
-    picked = marked.withColumn("first", F.when(F.col("tail"), F.col("r") <= tail_n).otherwise(F.col("r") <= n - tail_n))
-    order = W.partitionBy("qid").orderBy(F.desc("first"), F.desc("rel"), "uid")
-    return picked.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n).select("qid", "uid", "pos")
+def outlier_harvest(pool: DataFrame, n: int, fraction: float = 0.3, floor: float | None = None) -> DataFrame:
+    """pool (qid, uid, rel), a bounded pool for each query: a relevant head, and a share of the budget from the least relevant.
+
+    The tail begins with the least relevant and leaves out what lies under `floor`. The share is rounded half to even.
+    """
+    size = F.least(F.lit(n), F.count("*").over(W.partitionBy("qid")))
+    tail = F.bround(F.lit(fraction) * F.col("size"), 0).cast("long")
+    marked = pool.withColumn("size", size).withColumn("head", F.col("size") - tail)
+    marked = marked.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("rel"), "uid")))
+    rest = marked.where((F.col("r") <= F.col("head")) | (F.lit(True) if floor is None else F.col("rel") >= floor))
+    back = F.row_number().over(W.partitionBy("qid", F.col("r") <= F.col("head")).orderBy(F.desc("r")))
+    pos = F.when(F.col("r") <= F.col("head"), F.col("r")).otherwise(F.col("head") + F.col("back"))
+    return rest.withColumn("back", back).withColumn("pos", pos).where(F.col("pos") <= F.col("size")).select("qid", "uid", "pos")
 
 
 def _picked(pool: DataFrame, choose) -> DataFrame:
@@ -46,7 +51,7 @@ def _picked(pool: DataFrame, choose) -> DataFrame:
     return pool.groupBy("qid").applyInPandas(run, f"qid {kinds['qid']}, uid {kinds['uid']}, pos long")
 
 
-def mmr(pool: DataFrame, n: int, balance: float = 0.7) -> DataFrame:
+def mmr(pool: DataFrame, n: int, balance: float = 0.5) -> DataFrame:
     """pool (qid, uid, rel, vec), a bounded pool for each query: maximal marginal relevance, one unit after the other."""
 
     def choose(pdf: pd.DataFrame) -> list[int]:
@@ -63,12 +68,12 @@ def mmr(pool: DataFrame, n: int, balance: float = 0.7) -> DataFrame:
     return _picked(pool, choose)
 
 
-def dpp(pool: DataFrame, n: int, theta: float = 0.7, epsilon: float = 1e-10) -> DataFrame:
-    """pool (qid, uid, rel, vec): greedy MAP of a determinantal process with incremental Cholesky updates."""
+def dpp(pool: DataFrame, n: int, theta: float = 1.0, epsilon: float = 1e-10) -> DataFrame:
+    """pool (qid, uid, rel, vec): greedy MAP of a determinantal process, with quality exp(theta * rel / 2), by incremental Cholesky updates."""
 
     def choose(pdf: pd.DataFrame) -> list[int]:
         rel, vec = pdf["rel"].to_numpy(float), np.array(pdf["vec"].tolist(), float)
-        quality = np.exp(theta / (2 * (1 - theta)) * rel) if theta < 1 else np.exp(rel)
+        quality = np.exp(theta * rel / 2)
         kernel = quality[:, None] * (vec @ vec.T) * quality[None, :]
         gain, rows, out = kernel.diagonal().copy(), np.zeros((0, len(rel))), []
         while len(out) < min(n, len(rel)):
@@ -85,23 +90,28 @@ def dpp(pool: DataFrame, n: int, theta: float = 0.7, epsilon: float = 1e-10) ->
     return _picked(pool, choose)
 
 
-def coverage_stratified(pool: DataFrame, n: int) -> DataFrame:
-    """pool (qid, uid, rel, label): the best unit of each stratum, then an even stride through each, then the most relevant."""
-
-    def choose(pdf: pd.DataFrame) -> list[int]:
-        order = pdf.sort_values(["rel", "uid"], ascending=[False, True]).index.tolist()
-        by: dict = {}
-        for i in order:
-            by.setdefault(pdf["label"].iloc[i], []).append(i)
-        out = [x[0] for x in by.values()][:n]
-        share = max(1, (n - len(out)) // max(1, len(by)))
-        for x in by.values():
-            step = max(1, len(x) // (share + 1))
-            out += [i for i in x[step::step][:share] if i not in out and len(out) < n]
-        out = out[:n]
-        return out + [i for i in order if i not in set(out)][: n - len(out)]
+def coverage_stratified(pool: DataFrame, n: int, must_cover: tuple = ()) -> DataFrame:
+    """pool (qid, uid, rel, label), a bounded pool for each query: heads of the classes to cover, strides, then the most relevant.
 
-    return _picked(pool, choose)
+    First comes the best unit of each class in must_cover. What is left of the budget n is shared by the strata, largest first
+    (then by name); each is walked from its best unit in strides of its size over the share. Places still free go to the most relevant.
+    """
+    per, stratum = W.partitionBy("qid"), W.partitionBy("qid", "label")
+    best = W.partitionBy("qid", "label").orderBy(F.desc("rel"), "uid")
+    turn = F.array_position(F.array(*[F.lit(x) for x in must_cover]), F.col("label")) if must_cover else F.lit(0)
+    d = pool.withColumn("budget", F.least(F.lit(n), F.count("*").over(per))).withColumn("r", F.row_number().over(best)).withColumn("turn", turn)
+    d = d.withColumn("head", (F.col("r") == 1) & (F.col("turn") > 0)).withColumn("i", F.col("r") - 1 - F.max(F.col("head").cast("int")).over(stratum))
+    d = d.withColumn("left", F.count(F.when(~F.col("head"), 1)).over(stratum)).withColumn("heads", F.count(F.when(F.col("head"), 1)).over(per))
+    strata = F.size(F.collect_set(F.when(F.col("left") > 0, F.col("label"))).over(per))
+    d = d.withColumn("share", F.greatest(F.lit(1), F.floor((F.col("budget") - F.col("heads")) / F.greatest(F.lit(1), strata))))
+    d = d.withColumn("step", F.greatest(F.lit(1), F.floor(F.col("left") / F.col("share"))))
+    kind = F.when(F.col("head"), 0).when(F.col("i") % F.col("step") == 0, 1).otherwise(2)
+    d = d.withColumn("kind", kind)
+    walk = F.row_number().over(W.partitionBy("qid", "kind").orderBy(F.when(F.col("kind") == 0, F.col("turn")), F.when(F.col("kind") == 1, -F.col("left")),
+        F.when(F.col("kind") == 1, F.col("label").cast("string")), F.when(F.col("kind") == 1, F.col("i")), F.desc("rel"), "uid"))
+    d = d.withColumn("walk", walk)
+    pos = F.row_number().over(per.orderBy("kind", "walk"))
+    return d.withColumn("pos", pos).where(F.col("pos") <= F.col("budget")).select("qid", "uid", "pos")
 
 
 POLICIES = {"top_k": None, "mmr": mmr, "dpp": dpp, "cluster_round_robin": cluster_round_robin, "outlier_harvest": outlier_harvest, "coverage_stratified": coverage_stratified}

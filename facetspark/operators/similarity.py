@@ -16,11 +16,11 @@ from facetspark.functions.vectors import unit
 BLOCK_BYTES = 16_000_000
 
 
-def score_all(queries: DataFrame, units: DataFrame, depth: int | None = None) -> DataFrame:
+def score_all(queries: DataFrame, units: DataFrame, depth: int | None = None, group: str | None = None) -> DataFrame:
     """(qid, uid, score): dot products of every query (qid, vec) with every unit (uid, vec).
 
     With depth only each task's best `depth` units of a query are given (ties by smaller uid), which hold the
-    best of all. Query vectors are broadcast in blocks of bounded size; units are scanned where they lie.
+    best of all; with a group column of the units, the best `depth` of each group. Query vectors are broadcast in blocks of bounded size; units are scanned where they lie.
     Null vectors score nothing.
     """
     spark = units.sparkSession
@@ -51,15 +51,19 @@ def score_all(queries: DataFrame, units: DataFrame, depth: int | None = None) ->
                         yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(uid), i))), uid, pa.array(scores[i])], ["qid", "uid", "score"])
                     continue
                 u = np.array(uid.to_pylist())
+                g = np.array(batch.column(2).to_pylist())
                 for i in range(len(ids)):
-                    su, ss = best.get(i, (u[:0], scores[i][:0]))
-                    cu, cs = np.concatenate((su, u)), np.concatenate((ss, scores[i]))
-                    keep = np.lexsort((cu, -cs))[:depth]
-                    best[i] = cu[keep], cs[keep]
-            for i, (u, sc) in best.items():
+                    su, ss, sg = best.get(i, (u[:0], scores[i][:0], g[:0]))
+                    cu, cs, cg = np.concatenate((su, u)), np.concatenate((ss, scores[i])), np.concatenate((sg, g))
+                    order = np.lexsort((cu, -cs, cg))
+                    runs = np.flatnonzero(np.concatenate(([True], cg[order][1:] != cg[order][:-1])))
+                    nth = np.arange(len(order)) - np.repeat(runs, np.diff(np.append(runs, len(order))))
+                    keep = order[nth < depth]
+                    best[i] = cu[keep], cs[keep], cg[keep]
+            for i, (u, sc, _) in best.items():
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(u), i))), pa.array(u, uid_type), pa.array(sc)], ["qid", "uid", "score"])
 
-        out.append(units.where("vec IS NOT NULL").select("uid", "vec").mapInArrow(run, kinds))
+        out.append(units.where("vec IS NOT NULL").select("uid", "vec", F.lit(0).alias("grp") if group is None else F.coalesce(F.col(group).cast("string"), F.lit("")).alias("grp")).mapInArrow(run, kinds))
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], kinds)
 
 

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from facetspark.sources.scratch import cut
+
 SEED, DRAWS = 13, 10_000
 
 
@@ -71,3 +73,50 @@ def mcnemar_exact(b: int, c: int) -> float:
     if n == 0:
         return 1.0
     return min(1.0, 2 * sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n)
+
+
+def order_statistics(df: DataFrame, col: str, ranks, keep: int = 1000) -> dict[int, float]:
+    """The values of a numeric column at the one or two ranks (from 0, ascending) that ranks(n) names; none without values.
+
+    Values are counted once; then the span that holds the wanted ranks is halved 1,024-fold a round, with a row a bin
+    at the driver, until at most `keep` different values are left in it. No task and no buffer holds all values.
+    """
+    counts = cut(df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("c")))
+    n, low, high = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.min("v"), F.max("v")).first()
+    if not n:
+        return {}
+    first, last = ranks(n)
+    before, inside = 0, counts
+    while high > low and inside.limit(keep + 1).count() > keep:
+        width = (high - low) / 1024
+        bins = F.least(F.lit(1023), F.floor((F.col("v") - low) / width)).cast("int")
+        rows = sorted(inside.groupBy(bins.alias("b")).agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect(), key=lambda r: r["b"])
+        edges = []
+        upto = before
+        for r in rows:
+            if upto <= last and upto + r["c"] > first:
+                edges.append((upto, r["lo"], r["hi"]))
+            upto += r["c"]
+        before, narrower = edges[0][0], (edges[0][1], edges[-1][2])
+        if narrower == (low, high):
+            break
+        low, high = narrower
+        inside = counts.where(F.col("v").between(low, high))
+    values, upto = {}, before
+    for v, c in sorted((r["v"], r["c"]) for r in inside.collect()):  # at most `keep` rows
+        for rank in (first, last):
+            if upto <= rank < upto + c:
+                values[rank] = v
+        upto += c
+    return values
+
+
+def exact_percentile(df: DataFrame, col: str, share: float) -> float | None:
+    """The linearly interpolated percentile, exact at every size; None without values."""
+    sizes = []
+    found = order_statistics(df, col, lambda n: (sizes.append(n), math.floor(share * (n - 1)), math.ceil(share * (n - 1)))[1:])
+    if not found:
+        return None
+    at = share * (sizes[0] - 1)
+    low, high = found[math.floor(at)], found[math.ceil(at)]
+    return low + (high - low) * (at - math.floor(at))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from facetspark.operators import cards, context, coverage, graph, lexical, select, similarity
+from facetspark.operators import cards, context, coverage, gate, graph, lexical, select, similarity
 from facetspark.plans.retrieval import _search, _vectors, sim_sql
 from facetspark.plans.texts import PHRASES_SQL, TOKENS, _occurrences, _tokens
 
@@ -65,8 +65,7 @@ r AS (SELECT uid, row_number() OVER (ORDER BY round(score, 12) DESC, uid) AS r F
 def p6_top_fraction_gate(spark, sf_dir):
     """The top fraction by score, at least fifty."""
     t = _aspects(spark, sf_dir).groupBy("uid").agg(F.round(F.max("score"), 12).alias("score"))
-    keep = max(50, round(0.3 * t.count()))
-    return t.orderBy(F.desc("score"), "uid").limit(keep).select("uid")
+    return gate.top_fraction(t, "score", "uid", 0.3, 50).select("uid")
 
 
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 25")
@@ -74,10 +73,10 @@ def p9_source_cap(spark, sf_dir):
     return select.top_by(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], [F.col("doc_id")], 25).select("doc_id", "source")
 
 
-@query(f"""WITH {PHRASES_SQL}, t AS (SELECT phrase, f, row_number() OVER (ORDER BY f DESC, phrase) AS r, count(*) OVER () AS n FROM fr) SELECT phrase, f FROM t WHERE r <= floor(0.005 * n)""")
+@query(f"WITH {PHRASES_SQL} SELECT phrase, f, pronoun, hub FROM hub WHERE pronoun OR hub")
 def p16_hub_phrases(spark, sf_dir):
-    freq = _occurrences(spark, sf_dir).groupBy("phrase").agg(F.count("*").alias("f"))
-    return freq.orderBy(F.desc("f"), "phrase").limit(int(0.005 * freq.count()))
+    """Phrases that go before graphs are built: pronouns by majority, and the most frequent half per cent."""
+    return graph.hub_rule(_occurrences(spark, sf_dir)).where("pronoun OR hub")
 
 
 LINKS_SQL = """tp AS (SELECT lang AS topic, round(avg(n_chars), 3) AS score FROM documents GROUP BY 1), cm AS (SELECT source AS community, round(avg(n_chars), 3) AS score FROM documents GROUP BY 1),
@@ -102,15 +101,18 @@ def k11_group_channel(spark, sf_dir):
     return coverage.group_channel(groups, v.select("grp", "uid"), s).select("qid", "uid", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {sim_sql('s', depth=40)}, r AS (SELECT qid, uid, uid // 10 AS container, rank FROM s), c AS (SELECT qid, container, row_number() OVER (PARTITION BY qid ORDER BY min(rank), container) AS place FROM r GROUP BY qid, container),
-top AS (SELECT * FROM c WHERE place <= 3), o AS (SELECT q.vec_id AS qid, u.vec_id AS uid, u.vec_id // 10 AS container, list_dot_product(q.embedding::DOUBLE[], u.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings u ON q.vec_id % 50 = 0),
-a AS (SELECT o.qid, o.uid, 0 AS stage, place, -score AS ord FROM o JOIN top USING (qid, container)), b AS (SELECT qid, uid, 1 AS stage, 0 AS place, rank::DOUBLE AS ord FROM r WHERE (qid, uid) NOT IN (SELECT (qid, uid) FROM a))
-SELECT qid, uid, stage, row_number() OVER (PARTITION BY qid ORDER BY stage, place, ord, uid) AS pos FROM (FROM a UNION ALL FROM b)""")
+@query(f"""WITH {sim_sql('s', depth=40)}, r AS (SELECT qid, uid, uid // 10 AS container, rank FROM s), kept AS (SELECT * FROM r WHERE rank <= 12),
+c AS (SELECT qid, container, row_number() OVER (PARTITION BY qid ORDER BY min(rank), container) AS place FROM kept GROUP BY qid, container),
+o AS (SELECT q.vec_id AS qid, u.vec_id AS uid, list_dot_product(q.embedding::DOUBLE[], u.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings u ON q.vec_id % 50 = 0 JOIN c ON c.qid = q.vec_id AND c.container = u.vec_id // 10 AND place <= 3),
+a AS (SELECT qid, uid, 0 AS stage, rank::DOUBLE AS ord FROM kept UNION ALL SELECT qid, uid, 1, -score FROM o WHERE (qid, uid) NOT IN (SELECT (qid, uid) FROM kept)),
+b AS (FROM a UNION ALL SELECT qid, uid, 2, rank::DOUBLE FROM r WHERE rank > 12 AND (qid, uid) NOT IN (SELECT (qid, uid) FROM a))
+SELECT qid, uid, stage, row_number() OVER (PARTITION BY qid ORDER BY stage, ord, uid) AS pos FROM b""")
 def k15_lazy_expansion(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
+    """The kept ranking, then the other members of its first three containers by similarity, then the deeper list."""
+    v = _vectors(spark, sf_dir).withColumn("container", F.floor(F.col("uid") / 10))
     ranking = _search(spark, sf_dir, 40).withColumn("container", F.floor(F.col("uid") / 10))
-    owners = similarity.score_all(v.where("uid % 50 = 0").select(F.col("uid").alias("qid"), "vec"), v).withColumn("container", F.floor(F.col("uid") / 10))
-    return context.lazy_expand(ranking, owners, 3).select("qid", "uid", "stage", F.col("pos").cast("long").alias("pos"))
+    return context.lazy_expand(ranking.where("rank <= 12"), ranking.where("rank > 12"), v, v.where("uid % 50 = 0").select(F.col("uid").alias("qid"), F.col("vec").alias("qvec")), 3).select(
+        "qid", "uid", "stage", F.col("pos").cast("long").alias("pos"))
 
 
 @query(f"""WITH {sim_sql('s', depth=50)}, {sim_sql('h', 32, 50)}, e AS (SELECT q.vec_id AS qid, u.vec_id AS uid FROM embeddings q JOIN embeddings u ON q.vec_id % 50 = 0 AND u.vec_id BETWEEN q.vec_id AND q.vec_id + 2),

@@ -239,11 +239,13 @@ def l4_cluster_round_robin(spark, sf_dir):
     return select.cluster_round_robin(_pool(spark, sf_dir), 10).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(f"""WITH {POOL_SQL}, t AS (SELECT *, label = -1 AS tail, row_number() OVER (PARTITION BY qid, label = -1 ORDER BY rel DESC, uid) AS r FROM pool),
-u AS (SELECT *, CASE WHEN tail THEN r <= 3 ELSE r <= 7 END AS first FROM t),
-o AS (SELECT qid, uid, row_number() OVER (PARTITION BY qid ORDER BY first DESC, rel DESC, uid) AS pos FROM u) SELECT * FROM o WHERE pos <= 10""")
+@query(f"""WITH {POOL_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, uid) AS r, least(10, count(*) OVER (PARTITION BY qid)) AS n FROM pool),
+u AS (SELECT *, (n - round_even(0.3 * n, 0))::BIGINT AS head FROM t), k AS (SELECT * FROM u WHERE r <= head OR rel >= 0.05),
+b AS (SELECT *, row_number() OVER (PARTITION BY qid, r <= head ORDER BY r DESC) AS back FROM k), p AS (SELECT qid, uid, CASE WHEN r <= head THEN r ELSE head + back END AS pos, n FROM b)
+SELECT qid, uid, pos FROM p WHERE pos <= n""")
 def l5_outlier_harvest(spark, sf_dir):
-    return select.outlier_harvest(_pool(spark, sf_dir), 10).withColumn("pos", F.col("pos").cast("long"))
+    """Seven of the most and three of the least relevant of the pool that are above a floor."""
+    return select.outlier_harvest(_pool(spark, sf_dir), 10, floor=0.05).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query()
@@ -256,9 +258,14 @@ def l3_dpp_greedy(spark, sf_dir):
     return select.dpp(_pool(spark, sf_dir), 10)
 
 
-@query()
+@query(f"""WITH {POOL_SQL}, t AS (SELECT *, least(20, count(*) OVER (PARTITION BY qid)) AS n, row_number() OVER (PARTITION BY qid, label ORDER BY rel DESC, uid) AS r FROM pool),
+h AS (SELECT *, r = 1 AND label IN (3, -1) AS head FROM t), z AS (SELECT *, r - 1 - max(head::INT) OVER (PARTITION BY qid, label) AS i, count(*) FILTER (NOT head) OVER (PARTITION BY qid, label) AS size, count(*) FILTER (head) OVER (PARTITION BY qid) AS heads FROM h),
+c AS (SELECT qid, count(DISTINCT label) AS strata FROM z WHERE size > 0 GROUP BY 1), e AS (SELECT z.*, greatest(1, (n - heads) // greatest(1, strata)) AS share FROM z JOIN c USING (qid)),
+k AS (SELECT *, CASE WHEN head THEN 0 WHEN i % greatest(1, size // share) = 0 THEN 1 ELSE 2 END AS kind FROM e),
+o AS (SELECT qid, uid, n, row_number() OVER (PARTITION BY qid ORDER BY kind, CASE WHEN kind = 0 THEN list_position([3, -1], label) END, CASE WHEN kind = 1 THEN -size END, CASE WHEN kind = 1 THEN label::VARCHAR END, CASE WHEN kind = 1 THEN i END, rel DESC, uid) AS pos FROM k)
+SELECT qid, uid, pos FROM o WHERE pos <= n""")
 def l6_coverage_stratified(spark, sf_dir):
-    return select.coverage_stratified(_pool(spark, sf_dir), 10)
+    return select.coverage_stratified(_pool(spark, sf_dir), 20, must_cover=(3, -1)).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("""WITH s AS (SELECT l.quality, d.n_chars FROM labels l JOIN documents d USING (doc_id)),

@@ -37,19 +37,21 @@ def t1_sentences(spark, sf_dir):
 
 
 def window_sql(size: int, overlap: int, tail: int) -> str:
-    return f"""WITH w AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
-r AS (SELECT doc_id, w, CASE WHEN len(w) > {size} THEN range(0, len(w), {size - overlap}) WHEN len(w) > 0 THEN [0] ELSE [] END AS starts FROM w),
-u AS (SELECT doc_id, unnest(starts) AS s, w FROM r), v AS (SELECT doc_id, s, w[s + 1 : s + {size}] AS run FROM u)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS pos, len(run) AS n_words, md5(array_to_string(run, ' ')) AS window_md5 FROM v WHERE s = 0 OR len(run) >= {tail}"""
+    return f"""WITH w AS (SELECT doc_id, text, {WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, text, w, CASE WHEN len(w) > {size} THEN range(0, len(w), {size - overlap}) WHEN len(w) > 0 THEN [0] ELSE [] END AS starts FROM w),
+u AS (SELECT doc_id, text, unnest(starts) AS s, w FROM r), v AS (SELECT doc_id, s, w[s + 1 : s + {size}] AS run, len(w) <= {size} AS short, text FROM u)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS pos, len(run) AS n_words, md5(CASE WHEN short THEN text ELSE array_to_string(run, ' ') END) AS window_md5 FROM v WHERE short OR len(run) >= {tail}"""
 
 
 def _windowed(spark, sf_dir, spans):
-    w = units.exploded(table(spark, sf_dir, "documents"), spans(T.words(F.col("text"))), "doc_id", "s")
-    return w.select("doc_id", F.col("pos").cast("long").alias("pos"), F.size(F.split("s", " ")).cast("long").alias("n_words"), F.md5("s").alias("window_md5"))
+    split = table(spark, sf_dir, "documents").select("doc_id", "text", T.words(F.col("text")).alias("w"))
+    w = split.select("doc_id", F.posexplode(spans(F.col("w"), F.col("text"))).alias("pos", "s"))
+    return w.select("doc_id", F.col("pos").cast("long").alias("pos"), F.size(T.words(F.col("s"))).cast("long").alias("n_words"), F.md5("s").alias("window_md5"))
 
 
 @query(window_sql(180, 60, 15))
 def t2_card_windows(spark, sf_dir):
+    """Windows of 180 words that overlap by 60; a short text stays whole, white space and all."""
     return _windowed(spark, sf_dir, T.card_windows)
 
 
@@ -83,9 +85,33 @@ def t13_position_groups(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.ntile(3).over(W.partitionBy("conv_id").orderBy("turn")).cast("long").alias("grp"))
 
 
-@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\r', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS body_md5 FROM pages""")
+#: The cleaning of a body as SQL, step by step; marks as in functions.text.
+CLEAN_SQL = r"""a AS (SELECT id, raw, list_min(list_filter([{marks}], lambda x: x > 0)) AS cut FROM src),
+b AS (SELECT id, trim(array_to_string(list_filter(regexp_split_to_array(CASE WHEN cut IS NULL THEN raw ELSE substr(raw, 1, cut - 1) END, '\r\n|\n|\r'), lambda x: NOT regexp_matches(x, '^\s*>')), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS own FROM a),
+c AS (SELECT id, own, list_min(list_filter([{signs}], lambda x: x > length(own) * 0.66)) AS cut FROM b),
+d AS (SELECT id, trim(CASE WHEN cut IS NULL THEN own ELSE substr(own, 1, cut) END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS own FROM c),
+body AS (SELECT id, trim(regexp_replace(regexp_replace(own, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d)""".format(
+    marks=", ".join(f"strpos(lower(raw), '{m}')" for m in T.REPLY_MARKERS),
+    signs=", ".join("CASE WHEN contains(lower(own), {0}) THEN length(own) - strpos(reverse(lower(own)), reverse({0})) - {1} + 1 ELSE -1 END".format("'" + m.replace("\n", "' || chr(10) || '") + "'", len(m)) for m in T.SIGNATURE_MARKERS),
+)
+#: A mail made of two turns, as one that answers and quotes the other.
+MAIL_SQL = """src AS (SELECT a.conv_id * 1000 + a.turn AS id, a.text || CASE a.turn % 4 WHEN 0 THEN chr(10) || 'Thanks,' || chr(10) || 'A.' WHEN 1 THEN chr(10) || '-- ' || chr(10) || 'B.' ELSE '' END || chr(10) || CASE a.turn % 3 WHEN 0 THEN '-----Original Message-----' || chr(10) || b.text
+ELSE '> ' || replace(b.text, chr(10), chr(10) || '> ') END AS raw FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+
+
+def _mails(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("quoted"))
+    sign = F.when(F.col("turn") % 4 == 0, "\nThanks,\nA.").when(F.col("turn") % 4 == 1, "\n-- \nB.").otherwise("")
+    quote = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("-----Original Message-----\n"), "quoted")).otherwise(F.concat(F.lit("> "), F.replace("quoted", F.lit("\n"), F.lit("\n> "))))
+    return t.join(nxt, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat("text", sign, F.lit("\n"), quote).alias("raw"))
+
+
+@query(f"WITH {MAIL_SQL}, {CLEAN_SQL} SELECT id, md5(body) AS body_md5, length(body) AS n_chars FROM body")
 def t19_clean_body(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.clean_body(F.col("html"))).alias("body_md5"))
+    """Mails that quote and sign, without quotes and signatures and with white space made regular."""
+    body = T.clean_body(F.col("raw"))
+    return _mails(spark, sf_dir).select("id", F.md5(body).alias("body_md5"), F.length(body).cast("long").alias("n_chars"))
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
@@ -192,34 +218,57 @@ def e30_kendall_tau_b(spark, sf_dir):
     return out.select("conv_id", F.round("tau", 6).alias("tau"))
 
 
-#: Phrases are a turn's distinct words of nine letters and more, in alphabetical order, fifty at most, as the extractor has it.
-PHRASES_SQL = r"""occ AS (SELECT conv_id * 1000 + turn AS unit, unnest(list_slice(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))), 1, 50)) AS phrase FROM conversations),
+#: Words that stand for someone, in the languages of the tables.
+PRONOUNS = (
+    "she", "they", "them", "this", "that", "these", "those", "what", "which",
+    "elle", "elles", "nous", "vous", "leur", "cette", "celui",
+    "sie", "dies", "diese", "dieser", "welche",
+    "ella", "ellos", "este", "esta", "esto",
+)
+#: A unit's phrases are its different words of four letters and more, the first fifty of them; a stand-in for noun phrases.
+PHRASES_SQL = rf"""wd AS (SELECT conv_id * 1000 + turn AS unit, regexp_extract_all(lower(text), '\p{{L}}{{4,}}') AS w FROM conversations),
+fp AS (SELECT unit, phrase, min(i) AS i FROM (SELECT unit, unnest(w) AS phrase, unnest(range(0, len(w))) AS i FROM wd) GROUP BY ALL),
+every AS (SELECT unit, phrase, phrase IN {PRONOUNS} AS pron FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY i) AS r FROM fp) WHERE r <= 50),
+hr AS (SELECT phrase, count(*) AS f, 2 * count(*) FILTER (pron) > count(*) AS pronoun FROM every GROUP BY 1),
+hub AS (SELECT *, row_number() OVER (ORDER BY f DESC, phrase) <= floor(0.005 * (SELECT count(*) FROM hr)) AS hub FROM hr),
+fr AS (SELECT phrase, f FROM hub WHERE NOT hub AND NOT pronoun), occ AS (SELECT unit, phrase FROM every SEMI JOIN fr USING (phrase)),
 pr AS (SELECT x.phrase AS a, y.phrase AS b, count(*) AS n FROM occ x JOIN occ y ON x.unit = y.unit AND x.phrase < y.phrase GROUP BY ALL),
-fr AS (SELECT phrase, count(*) AS f FROM occ GROUP BY 1), nu AS (SELECT count(DISTINCT unit) AS units FROM occ),
-w AS (SELECT a, b, n, x.f AS fa, y.f AS fb, log2(n * units / (x.f * y.f)) AS weight FROM pr JOIN fr x ON x.phrase = a JOIN fr y ON y.phrase = b, nu)"""
+tt AS (SELECT (SELECT sum(n) FROM pr) AS pairs, (SELECT sum(f) FROM fr) AS total),
+w AS (SELECT a, b, n, x.f AS fa, y.f AS fb, n / pairs * log2((n / pairs) / (x.f / total * y.f / total)) AS weight FROM pr JOIN fr x ON x.phrase = a JOIN fr y ON y.phrase = b, tt)"""
 
 
 def _occurrences(spark, sf_dir):
-    found = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0)))), 1, 50)
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("unit"), F.explode(found).alias("phrase"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))
+    found = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("unit"), F.explode(F.slice(words, 1, 50)).alias("phrase"))
+    return found.withColumn("pron", F.col("phrase").isin(*PRONOUNS))
 
 
-def _weighted(spark, sf_dir):
+def _content(spark, sf_dir):
+    """Occurrences of the phrases that the hub rule leaves, and their frequencies."""
     occ = _occurrences(spark, sf_dir)
-    return graph.pmi(graph.cooccurrence(occ), occ)
+    freq = graph.hub_rule(occ).where("NOT hub AND NOT pronoun").select("phrase", "f")
+    return occ.join(freq.select("phrase"), "phrase", "left_semi"), freq
 
 
-@query(f"WITH {PHRASES_SQL} SELECT a, b, n, round(weight, 6) AS weight FROM w")
+def _weighted(spark, sf_dir):
+    occ, freq = _content(spark, sf_dir)
+    return graph.pmi(graph.cooccurrence(occ), freq)
+
+
+@query(f"WITH {PHRASES_SQL} SELECT a, b, n, round(weight, 9) AS weight FROM w")
 def a13_cooccurrence_pmi(spark, sf_dir):
-    return _weighted(spark, sf_dir).select("a", "b", "n", F.round("weight", 6).alias("weight"))
+    """Phrases that share a unit, after the hub rule, weighted by pointwise mutual information times probability."""
+    return _weighted(spark, sf_dir).select("a", "b", "n", F.round("weight", 9).alias("weight"))
+
+
+PRUNED_SQL = """dg AS (SELECT p, count(*) AS deg FROM (SELECT a AS p FROM w UNION ALL SELECT b FROM w) GROUP BY 1), ego AS (SELECT p FROM dg ORDER BY deg DESC, p LIMIT 1),
+w2 AS (SELECT * FROM w WHERE a NOT IN (FROM ego) AND b NOT IN (FROM ego) AND fa >= 2 AND fb >= 2),
+pruned AS (SELECT * FROM w2 WHERE weight >= (SELECT quantile_cont(weight, 0.4) FROM w2) AND weight > 0)"""
 
 
-@query(f"""WITH {PHRASES_SQL}, dg AS (SELECT p, count(*) AS deg FROM (SELECT a AS p FROM w UNION ALL SELECT b FROM w) GROUP BY 1), hub AS (SELECT p FROM dg ORDER BY deg DESC, p LIMIT 1),
-w1 AS (SELECT * FROM w WHERE a NOT IN (FROM hub) AND b NOT IN (FROM hub)), d1 AS (SELECT p FROM (SELECT a AS p FROM w1 UNION ALL SELECT b FROM w1) GROUP BY 1 HAVING count(*) >= 2),
-w2 AS (SELECT * FROM w1 WHERE a IN (FROM d1) AND b IN (FROM d1) AND fa >= 2 AND fb >= 2)
-SELECT a, b, n, round(weight, 6) AS weight FROM w2 WHERE weight >= (SELECT quantile_cont(weight, 0.4) FROM w2) AND weight > 0""")
+@query(f"WITH {PHRASES_SQL}, {PRUNED_SQL} SELECT a, b, n, round(weight, 9) AS weight FROM pruned")
 def p17_pruned_graph(spark, sf_dir):
-    return graph.prune(_weighted(spark, sf_dir)).select("a", "b", "n", F.round("weight", 6).alias("weight"))
+    return graph.prune(_weighted(spark, sf_dir)).select("a", "b", "n", F.round("weight", 9).alias("weight"))
 
 
 @query()

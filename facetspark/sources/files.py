@@ -79,7 +79,7 @@ def write_dataset(corpus: DataFrame, questions: DataFrame, path: str) -> DataFra
 MAIL = "archive string, path string, custodian string, folder string, date string, sender string, recipients string, subject string, body string"
 
 
-def read_mail_archives(spark: SparkSession, path: str, folders: tuple[str, ...] = ("sent", "sent_items", "inbox")) -> DataFrame:
+def read_mail_archives(spark: SparkSession, path: str, folders: tuple[str, ...] = ("sent", "sent_items", "_sent_mail", "inbox")) -> DataFrame:
     """Messages of tar.gz mail archives: one row for each message in the wanted folders.
 
     Archives are dealt over tasks; members are read one at a time, and skipped by folder before they are parsed.

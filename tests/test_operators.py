@@ -80,12 +80,17 @@ def test_text_functions(spark):
     assert one(spark, T.sentences(col)) == ["One two three four.", "Seven eight nine ten"]
     tokens = F.split(F.lit(" ".join(map(str, range(10)))), " ")
     assert one(spark, T.windows(tokens, 4, 1, 2)) == ["0 1 2 3", "3 4 5 6", "6 7 8 9"]
+    assert one(spark, T.windows(F.split(F.lit("a b"), " "), 4, 1, 2, F.lit("a \n b"))) == ["a \n b"]
     assert one(spark, T.windows(F.array().cast("array<string>"), 4, 1, 2)) == []
-    assert one(spark, T.word_chunks(tokens, 4)) == ["0 1 2 3", "4 5 6 7", "8 9"]
-    assert one(spark, T.attributes(F.lit("Ann likes tea, old maps and , salt."))) == ["tea", "old maps and", "salt"]
-    assert one(spark, T.strip_quoted(F.lit("yes\n> no\nok\n-----Original Message-----\nold"))) == "yes\nok\n"
-    assert one(spark, T.strip_signature(F.lit("x" * 90 + "\n--\nAnn"))) == "x" * 90
-    assert one(spark, T.strip_signature(F.lit("a\n--\n" + "x" * 90))) == "a\n--\n" + "x" * 90
+    assert one(spark, T.word_chunks(tokens, size=4)) == ["0 1 2 3", "4 5 6 7", "8 9"]
+    assert one(spark, T.attributes(F.lit("Ann likes tea, old maps and , salt."))) == ("Ann", ["tea", "old maps and", "salt"])
+    assert one(spark, T.attributes(F.lit(" no verb "))) == ("no verb", ["no verb"])
+    assert one(spark, T.strip_quoted(F.lit("yes\n > no\nok\n-----ORIGINAL Message-----\nold"))) == "yes\nok"
+    assert one(spark, T.strip_quoted(F.lit("a\n----- Forwarded by X"))) == "a"
+    assert one(spark, T.strip_signature(F.lit("x" * 90 + "\nBest Regards,\nAnn"))) == "x" * 90
+    assert one(spark, T.strip_signature(F.lit("x" * 90 + "\nThanks,\nyou\n-- \nAnn"))) == "x" * 90
+    assert one(spark, T.strip_signature(F.lit("a\n-- \n" + "x" * 90))) == "a\n-- \n" + "x" * 90
+    assert one(spark, T.clean_body(F.lit(" a \t b\n\n\n\nc\n> d"))) == "a b\n\nc"
     assert one(spark, T.normalise_answer(F.lit("The New  York!"))) == "new york"
     assert one(spark, T.container(F.lit("doc#x#3/7"))) == "doc#x" and one(spark, T.owner(F.lit("d#3/7"))) == "d#3" and one(spark, T.index_of(F.lit("d#3/7"))) == 3
 
@@ -126,8 +131,107 @@ def test_cooccurrence_and_pmi_by_hand(spark):
     occ = spark.createDataFrame([(u, p) for u, ps in enumerate(["abc", "ab", "c", "da"]) for p in ps] + [(0, "a")], "unit int, phrase string")
     edges = graph.cooccurrence(occ)
     assert {(a, b): n for a, b, n in rows(edges)} == {("a", "b"): 2, ("a", "c"): 1, ("b", "c"): 1, ("a", "d"): 1}
-    weight = {(r.a, r.b): r.weight for r in graph.pmi(edges, occ).collect()}
-    assert weight["a", "b"] == pytest.approx(np.log2(2 * 4 / (3 * 2)))
+    freq = spark.createDataFrame([("a", 3), ("b", 2), ("c", 2), ("d", 1)], "phrase string, f long")
+    weight = {(r.a, r.b): r.weight for r in graph.pmi(edges, freq).collect()}
+    assert weight["a", "b"] == pytest.approx(2 / 5 * np.log2(2 / 5 / (3 / 8 * 2 / 8)))
+    assert weight["a", "d"] == pytest.approx(1 / 5 * np.log2(1 / 5 / (3 / 8 * 1 / 8)))
+
+
+def test_hub_rule_takes_pronouns_and_the_most_frequent(spark):
+    occ = [(i, "often", False) for i in range(9)] + [(i, "tied", False) for i in range(9)] + [(i, "it", i < 3) for i in range(5)] + [(i, "half", i < 2) for i in range(4)] + [(0, f"r{i}", False) for i in range(16)]
+    d = spark.createDataFrame(occ, "unit int, phrase string, pron boolean")
+    got = {r.phrase: (r.f, r.pronoun, r.hub) for r in graph.hub_rule(d, share=0.05).collect()}
+    assert len(got) == 20 and got["often"] == (9, False, True) and got["tied"] == (9, False, False)
+    assert got["it"] == (5, True, False) and got["half"] == (4, False, False)
+
+
+def test_pruning_goes_by_degrees_of_the_whole_graph(spark):
+    """The ego goes, then rare phrases; a phrase whose only edge led to the ego does no harm, and one edge is enough to stay."""
+    e = [("a", "b", 5, 3, 0.5), ("a", "c", 5, 3, 0.4), ("a", "d", 5, 1, 0.9), ("b", "c", 3, 3, 1.0), ("b", "e", 3, 2, 0.2), ("d", "e", 1, 2, 0.7), ("e", "f", 2, 2, 0.0)]
+    got = graph.prune(spark.createDataFrame(e, "a string, b string, fa int, fb int, weight double"))
+    assert sorted((r.a, r.b) for r in got.collect()) == [("b", "c"), ("b", "e")]  # 40th percentile of 0, 0.2 and 1.0: 0.16
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 5000])
+def test_percentiles_are_exact_at_every_size(spark, n):
+    x = np.random.default_rng(n).choice(np.concatenate((np.random.default_rng(1).normal(size=3000), [0.0] * 2000, [1e9])), n)
+    d = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    for share in (0.0, 0.05, 0.4, 0.5, 0.999, 1.0):
+        assert stats.exact_percentile(d, "x", share) == pytest.approx(np.percentile(x, 100 * share), rel=1e-12)
+    assert stats.exact_percentile(d.where("x IS NULL"), "x", 0.5) is None
+
+
+def _pool_rows(seed, n=24):
+    rng = np.random.default_rng(seed)
+    vec = rng.normal(size=(n, 6))
+    vec /= np.linalg.norm(vec, axis=1, keepdims=True)
+    rel = np.round(rng.uniform(size=n), 2)
+    return rel, vec, rng.integers(-1, 4, n)
+
+
+def _by_relevance(rel):
+    return sorted(range(len(rel)), key=lambda i: (-rel[i], i))
+
+
+def mmr_by_hand(rel, vec, n):
+    out = []
+    while len(out) < n:
+        gain = {i: 0.5 * rel[i] - 0.5 * (max(vec[i] @ vec[j] for j in out) if out else 0) for i in range(len(rel)) if i not in out}
+        out.append(max(gain, key=lambda i: (round(gain[i], 12), -i)))
+    return out
+
+
+def dpp_by_hand(rel, vec, n):
+    """The unit that makes the determinant of the chosen kernel largest, with quality exp(rel / 2)."""
+    q = np.exp(np.array(rel) / 2)
+    kernel = q[:, None] * (vec @ vec.T) * q
+    out = []
+    while len(out) < n:
+        det = {i: np.linalg.det(kernel[np.ix_(out + [i], out + [i])]) for i in range(len(rel)) if i not in out}
+        best = max(det, key=lambda i: (round(det[i], 12), -i))
+        if det[best] < 1e-9:
+            break
+        out.append(best)
+    return out
+
+
+def harvest_by_hand(rel, n):
+    order = _by_relevance(rel)
+    tail = round(0.3 * n)
+    return order[: n - tail] + [i for i in reversed(order[n - tail :]) if rel[i] >= 0.1][:tail]
+
+
+def coverage_by_hand(rel, label, n):
+    strata = {}
+    for i in _by_relevance(rel):
+        strata.setdefault(int(label[i]), []).append(i)
+    out = [strata[c].pop(0) for c in (2, -1, 9) if strata.get(c)]
+    full = [c for c in strata if strata[c]]
+    share = max(1, (n - len(out)) // max(1, len(full)))
+    for c in sorted(full, key=lambda c: (-len(strata[c]), str(c))):
+        out += strata[c][:: max(1, len(strata[c]) // share)]
+    return (out[:n] + [i for i in _by_relevance(rel) if i not in out[:n]])[:n]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_policies_choose_what_their_definitions_say(spark, seed):
+    rel, vec, label = _pool_rows(seed)
+    d = spark.createDataFrame([("q", i, float(rel[i]), [float(x) for x in vec[i]], int(label[i])) for i in range(len(rel))], "qid string, uid long, rel double, vec array<double>, label int")
+    chosen = lambda df: [r.uid for r in df.orderBy("pos").collect()]
+    assert chosen(select.mmr(d, 8)) == mmr_by_hand(rel, vec, 8)
+    assert chosen(select.dpp(d, 6)) == dpp_by_hand(rel, vec, 6)
+    assert chosen(select.outlier_harvest(d, 10, floor=0.1)) == harvest_by_hand(rel, 10)
+    for n in (2, 10, 24):
+        assert chosen(select.coverage_stratified(d, n, must_cover=(2, -1, 9))) == coverage_by_hand(rel, label, n)
+
+
+def test_lazy_expansion_comes_after_the_kept_ranking(spark):
+    kept = spark.createDataFrame([("q", 11, 1, 1), ("q", 25, 2, 2), ("q", 12, 1, 3), ("q", 30, 3, 4)], "qid string, uid long, container long, rank int")
+    tail = spark.createDataFrame([("q", 13, 1, 5), ("q", 41, 4, 6)], "qid string, uid long, container long, rank int")
+    owners = spark.createDataFrame([(11, 1, [1.0]), (13, 1, [0.2]), (21, 2, [0.9]), (25, 2, [0.1]), (31, 3, [5.0])], "uid long, container long, vec array<double>")
+    asked = spark.createDataFrame([("q", [1.0])], "qid string, qvec array<double>")
+    got = context.lazy_expand(kept, tail, owners, asked, 2).orderBy("pos").collect()
+    assert [(r.uid, r.stage) for r in got] == [(11, 0), (25, 0), (12, 0), (30, 0), (21, 1), (13, 1), (41, 2)]
 
 
 def test_two_cliques_are_two_communities(spark):
