@@ -126,3 +126,56 @@ def container(unit: Column) -> Column:
 
 def index_of(unit: Column) -> Column:
     return F.substring_index(F.substring_index(unit, "/", 1), "#", -1).cast("int")
+
+
+# Predicates that mean the same as another.
+PREDICATE_ALIASES = {
+    "resides_in": "lives_in",
+    "has_residence_in": "lives_in",
+    "is_living_in": "lives_in",
+    "is_married_to": "married_to",
+    "spouse": "married_to",
+    "is_associated_with_sport": "associated_with_sport",
+    "plays_sport": "associated_with_sport",
+    "was_born_in_city": "born_in",
+    "born_in_city": "born_in",
+    "was_born_in": "born_in",
+    "died_in_city": "died_in",
+    "has_headquarters_in_city": "headquarters_in",
+    "headquarters_location": "headquarters_in",
+    "is_headquartered_in": "headquarters_in",
+    "is_located_in_continent": "located_in_continent",
+    "is_employed_by": "works_for",
+}
+
+
+def predicate(text: Column, aliases: dict[str, str] = PREDICATE_ALIASES) -> Column:
+    """Lower case with underscores for all but letters and digits, then the alias where there is one."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, name), name)
+
+
+def spaced_words(text: Column) -> Column:
+    """The words of a text, each with the white space that follows it."""
+    return F.regexp_extract_all(text, F.lit(r"\S+\s*"), F.lit(0))
+
+
+def spaced_chunks(words: Column, size: int = 200, overlap: int = 30) -> Column:
+    """Runs of `size` words that keep their white space and overlap; the first run that reaches the end is the last."""
+    n, step = F.size(words), size - overlap
+    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int") * step
+    runs = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.regexp_replace(F.array_join(F.slice(words, i + 1, F.lit(size)), ""), r"\s+$", ""))
+    return F.when(n > 0, runs).otherwise(F.array().cast("array<string>"))
+
+
+def cut_to_tokens(words: Column, limit: int, count=lambda w: F.size(F.regexp_extract_all(w, F.lit(r"\w+"), F.lit(0)))) -> Column:
+    """How many of the first words have at most `limit` tokens together; `count` gives a word's tokens."""
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def step(s, w):
+        used = s["used"] + count(w)
+        fits = s["open"] & (used <= limit)
+        return F.struct(used.alias("used"), (s["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
+
+    return F.aggregate(words, start, step, lambda s: s["n"])

@@ -107,3 +107,9 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
         first = F.row_number().over(W.partitionBy("id").orderBy(F.desc(F.round("w", 9)), "community"))
         labels = cut(summed.withColumn("r", first).where("r = 1").select("id", "community"))
     return labels
+
+
+def link_sets(proposals: DataFrame, strong: float = 0.7) -> DataFrame:
+    """Proposals (topic, community, w, parse_ok) as link sets: R2 has all that parsed, R3 those of weight `strong` and more; R0 is empty."""
+    good = proposals.where("parse_ok")
+    return good.withColumn("link_set", F.lit("R2")).unionByName(good.where(F.col("w") >= strong).withColumn("link_set", F.lit("R3")))

@@ -100,3 +100,36 @@ def first_seen(docs: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key; rows with a null key all stay."""
     nth = F.row_number().over(W.partitionBy(key).orderBy(order))
     return docs.withColumn("_nth", nth).where((F.col("_nth") == 1) | F.col(key).isNull()).drop("_nth")
+
+
+def spans_between(docs: DataFrame, separator: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, pos, start, end): what stands between matches of the separator, trimmed, as offsets from 0; blank pieces are left out.
+
+    Offsets are running sums over the lengths of pieces and separators, so no text is searched twice.
+    """
+    t = F.col("_t")
+    cutup = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("_t")).select(
+        id_col, F.posexplode(F.arrays_zip(F.split(t, separator).alias("p"), F.regexp_extract_all(t, F.lit(separator), F.lit(0)).alias("s"))).alias("i", "x")
+    )
+    before = W.partitionBy(id_col).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("x.p") + F.coalesce(F.length("x.s"), F.lit(0))).over(before), F.lit(0))
+    placed = cutup.withColumn("at", at).where(F.col("x.p").rlike(r"\S"))
+    start = F.col("at") + F.length("x.p") - F.length(F.regexp_replace("x.p", r"^\s+", ""))
+    end = F.col("at") + F.length(F.regexp_replace("x.p", r"\s+$", ""))
+    pos = F.row_number().over(W.partitionBy(id_col).orderBy("i")) - 1
+    return placed.select(id_col, pos.cast("long").alias("pos"), start.alias("start"), end.alias("end"))
+
+
+def turn_units(turns: DataFrame) -> DataFrame:
+    """(container, owner, unit, pos, role, text) of turns (conv_id, turn, role, text): a turn is s<conv>#<turn>, its parts <owner>/<j>."""
+    owner = F.concat(F.lit("s"), "conv_id", F.lit("#"), "turn")
+    whole = turns.where("text IS NOT NULL").select(owner.alias("owner"), owner.alias("unit"), F.lit(-1).alias("pos"), "role", "text")
+    parts = split_turns(turns).select(owner.alias("owner"), F.concat(owner, F.lit("/"), "pos").alias("unit"), "pos", "role", F.col("part").alias("text"))
+    return whole.unionByName(parts).withColumn("container", T.container(F.col("owner")))
+
+
+def joined_turns(turns: DataFrame, gap: int = 2) -> DataFrame:
+    """(conv_id, turn, start, end): where each turn's text lies in the session's text, `gap` characters between turns."""
+    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + gap).over(before), F.lit(0))
+    return turns.where("text IS NOT NULL").select("conv_id", "turn", start.alias("start"), (start + F.length("text")).alias("end"))

@@ -130,3 +130,42 @@ def occurrence_ids(df: DataFrame, key: str, order: str) -> DataFrame:
     """Ids with @occN from the second occurrence on."""
     nth = F.row_number().over(W.partitionBy(key).orderBy(order))
     return df.withColumn("occurrence_id", F.when(nth > 1, F.concat(F.col(key), F.lit("@occ"), nth)).otherwise(F.col(key)))
+
+
+def deconflicted(df: DataFrame, key: str, question: str, content: Column) -> DataFrame:
+    """unique_id: the key, or key@question where its content differs from that of the first question that uses the key."""
+    seen = df.withColumn("_content", content)
+    first = F.first("_content").over(W.partitionBy(key).orderBy(question).rowsBetween(W.unboundedPreceding, 0))
+    same = F.col("_content").eqNullSafe(first)
+    return seen.withColumn("unique_id", F.when(same, F.col(key)).otherwise(F.concat(F.col(key), F.lit("@"), F.col(question)))).drop("_content")
+
+
+def evidence_ids(df: DataFrame, text: str, pattern: str, known: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, resolved, unresolved, complete): the different ids that the pattern finds in the text, by whether `known` (id) has them."""
+    found = df.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("id"))
+    both = found.join(known.select("id").distinct().withColumn("_known", F.lit(True)), "id", "left")
+    out = both.groupBy(*keys).agg(F.count("_known").alias("resolved"), (F.count("*") - F.count("_known")).alias("unresolved"))
+    return out.withColumn("complete", F.col("unresolved") == 0)
+
+
+def shuffled_options(options: DataFrame, key: str, option: str, seed: int) -> DataFrame:
+    """Options (key, option, ...) with the letters A, B, ... in the order of a seeded hash of key and option."""
+    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col(option)), 256)
+    nth = F.row_number().over(W.partitionBy(key).orderBy(order, option))
+    return options.withColumn("letter", F.chr(F.lit(64) + nth))
+
+
+def group_members(lists: DataFrame, aliases: dict[str, list[str]], variant: str | None = None) -> DataFrame:
+    """(variant, topic_id, unit, ...) of groups with lists of members, read under any of the named columns; outlier groups (below 0) are left out."""
+    have = set(lists.columns)
+    out = lists
+    for name, names in aliases.items():
+        out = out.withColumn(name, F.coalesce(*[F.col(n) for n in names if n in have]))
+    if variant is not None:
+        out = out.where(F.col("variant") == variant)
+    return out.where("topic_id >= 0").withColumn("unit", F.explode("members"))
+
+
+def numeric_first(id_col: Column) -> list[Column]:
+    """Two sort keys that put numeric ids first, by their number."""
+    return [(~id_col.rlike("^[0-9]+$")).alias("word"), F.when(id_col.rlike("^[0-9]+$"), id_col).cast("long").alias("number")]
