@@ -113,3 +113,56 @@ def link_sets(proposals: DataFrame, strong: float = 0.7) -> DataFrame:
     """Proposals (topic, community, w, parse_ok) as link sets: R2 has all that parsed, R3 those of weight `strong` and more; R0 is empty."""
     good = proposals.where("parse_ok")
     return good.withColumn("link_set", F.lit("R2")).unionByName(good.where(F.col("w") >= strong).withColumn("link_set", F.lit("R3")))
+
+
+def shared_entity_pairs(mentions: DataFrame, least_docs: int = 2, most_docs: int = 64) -> DataFrame:
+    """(a, b, weight): documents (entity, doc) that share entities, a < b, and how many.
+
+    Entities in more than min(most_docs, max(2, half of the documents)) documents make no pairs, so an entity
+    makes at most most_docs * (most_docs - 1) / 2 of them.
+    """
+    once = mentions.select("entity", "doc").distinct()
+    docs = once.agg(F.countDistinct("doc").alias("docs"))
+    many = once.groupBy("entity").agg(F.count("*").alias("n"))
+    few = many.crossJoin(F.broadcast(docs)).where((F.col("n") >= least_docs) & (F.col("n") <= F.least(F.lit(most_docs), F.greatest(F.lit(2), F.floor(F.col("docs") / 2))))).select("entity")
+    return cooccurrence(once.join(few, "entity").select(F.col("entity").alias("unit"), F.col("doc").alias("phrase"))).withColumnRenamed("n", "weight")
+
+
+def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
+    """(qid, node): what can be reached from the seeds (qid, node) over edges (a, b), in either direction, in so many steps."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    reached = edge = seeds.select("qid", "node").distinct()
+    for _ in range(hops):
+        edge = edge.join(both, F.col("node") == F.col("a")).select("qid", F.col("b").alias("node")).distinct()
+        reached = reached.unionByName(edge).distinct()
+    return reached
+
+
+def topic_vectors(occurrences: DataFrame, unit_topics: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """(phrase, i, x): the mean of topics' prototypes (topic, i, x) by the probability mass (unit, topic, p) of the units a phrase stands in."""
+    mass = occurrences.join(unit_topics, "unit").groupBy("phrase", "topic").agg(F.sum("p").alias("p"))
+    total = mass.groupBy("phrase").agg(F.sum("p").alias("total"))
+    return mass.join(prototypes, "topic").groupBy("phrase", "i").agg(F.sum(F.col("p") * F.col("x")).alias("x")).join(total, "phrase").select("phrase", "i", (F.col("x") / F.col("total")).alias("x"))
+
+
+def topic_factor(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """factor: one plus the cosine of an edge's ends; 1 where an end has no vector. vectors: (phrase, i, x) in few dimensions."""
+    length = vectors.groupBy("phrase").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
+    unit = length.where("norm > 0").select("phrase", F.map_from_entries(F.transform("v", lambda s: F.struct(s["i"], s["x"] / F.col("norm")))).alias("v"))
+    a, b = unit.select(F.col("phrase").alias("a"), F.col("v").alias("va")), unit.select(F.col("phrase").alias("b"), F.col("v").alias("vb"))
+    dot = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda s, k: s + F.element_at("va", k) * F.coalesce(F.try_element_at("vb", k), F.lit(0.0)))
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))
+    return edges.join(a, "a", "left").join(b, "b", "left").withColumn("factor", 1 + F.coalesce(cosine, F.lit(0.0))).drop("va", "vb")
+
+
+def diagnostics(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """One row: communities, nodes, edges, the largest one's share, density, the share of edges inside, and the mean density inside those of two nodes and more."""
+    m = membership.select("id", "community")
+    ends = edges.join(m.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(m.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
+    total = ends.agg(F.count("*").alias("edges"), F.avg((F.col("ca") == F.col("cb")).cast("int")).alias("intra_share"))
+    inside = ends.where("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.count("*").alias("inside"))
+    sizes = m.groupBy("community").agg(F.count("*").alias("size")).join(inside, "community", "left")
+    within = F.when(F.col("size") >= 2, F.coalesce("inside", F.lit(0)) / (F.col("size") * (F.col("size") - 1) / 2))
+    of = sizes.agg(F.count("*").alias("communities"), F.sum("size").alias("nodes"), F.max("size").alias("largest"), F.avg(within).alias("within_density"))
+    density = F.when(F.col("nodes") > 1, 2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)))
+    return of.crossJoin(total).select("communities", "nodes", "edges", (F.col("largest") / F.col("nodes")).alias("largest_share"), density.alias("density"), "intra_share", "within_density")
