@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from facetspark.sources.scratch import cut
+
 #: Lucene's variant with the usual parameters; terms are runs of two or more word characters in lower case.
 K1, B = 1.5, 0.75
 TERM = r"\w\w+"
@@ -17,17 +19,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
     """(qid, uid, score) for every document (uid, text) with a term of the query (qid, text); all scores are positive.
 
     Only the queries' terms are counted in postings, so the postings join keeps what can score; document
-    lengths and frequencies cover the whole corpus. Repeated query terms count as often as they occur.
+    lengths and frequencies cover the whole corpus. Repeated query terms count as often as they occur. Texts are
+    split once: each document adds a row of its own to the postings, from which lengths are averaged.
     """
+    own = F.concat(F.lit("\0"), F.col("uid").cast("string"))  # no term begins like this, and no two documents share it
     tokens = docs.where("text IS NOT NULL").select("uid", terms(F.col("text")).alias("t"))
-    sizes = tokens.select("uid", F.size("t").alias("dl"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rows = tokens.select("uid", F.size("t").alias("dl"), F.explode(F.concat("t", F.array(own))).alias("term"))
     asked = queries.where("text IS NOT NULL").select("qid", F.explode(terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    wanted = asked.select("term").distinct()
-    postings = (
-        tokens.select("uid", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
-        .groupBy("term", "uid", "dl").agg(F.count("*").alias("tf"))
-    )
+    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
+    kept = rows.join(wanted, "term", "left").where(F.col("wanted") | F.startswith("term", F.lit("\0")))
+    counted = cut(kept.groupBy("term", "uid", "dl").agg(F.count("*").alias("tf")))
+    stats = counted.where(F.startswith("term", F.lit("\0"))).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = counted.where(~F.startswith("term", F.lit("\0")))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

@@ -73,10 +73,17 @@ def kendall_tau_b(items: DataFrame, key: str, x: str, y: str, tie: str) -> DataF
 def binary_scores(scored: DataFrame) -> DataFrame:
     """One row: roc_auc by average ranks of (score, positive boolean), null where a class is missing.
 
-    Counted over distinct scores, so that ties share their average rank.
+    Counted over distinct scores, so that ties share their average rank. Sums below a score run over a thousand
+    stretches of the scores first, then inside them, so that no task holds all scores.
     """
-    by = scored.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n")).withColumn("all", F.lit(0))
-    lower = F.coalesce(F.sum("n").over(W.partitionBy("all").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    by = scored.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    ends = by.agg(F.min("score").cast("double").alias("low"), F.max("score").cast("double").alias("high"))
+    stretch = F.coalesce(F.floor((F.col("score") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * 1000), F.lit(0))
+    by = by.crossJoin(F.broadcast(ends)).withColumn("stretch", stretch)
+    sums = by.groupBy("stretch").agg(F.sum("n").alias("in_stretch"))
+    below = F.coalesce(F.sum("in_stretch").over(W.orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each stretch
+    by = by.join(F.broadcast(sums.select("stretch", below.alias("below"))), "stretch")
+    lower = F.col("below") + F.coalesce(F.sum("n").over(W.partitionBy("stretch").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return by.withColumn("wins", F.col("p") * (lower + F.col("n") / 2)).agg(
         F.sum("p").alias("positives"), F.sum("n").alias("negatives"), (F.sum("wins") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("roc_auc")
     )

@@ -133,7 +133,8 @@ def largest_remainder(sizes: DataFrame, total: int, key: str, size: str = "n") -
 def draw_by_quota(df: DataFrame, quotas: DataFrame, key: str, id_col: str, seed: int) -> DataFrame:
     """Of each stratum as many rows as its quota, in seeded random order."""
     nth = F.row_number().over(W.partitionBy(key).orderBy(seeded(seed, F.col(id_col)), id_col))
-    return df.withColumn("nth", nth).join(quotas, key).where(F.col("nth") <= F.col("quota")).drop("nth", "quota")
+    most = quotas.agg(F.max("quota")).first()[0] or 0  # as a constant it cuts each task's rows before they are moved
+    return df.withColumn("nth", nth).where(F.col("nth") <= most).join(quotas, key).where(F.col("nth") <= F.col("quota")).drop("nth", "quota")
 
 
 def round_robin(df: DataFrame, label: str, order: list[Column], n: int, residue=-1, residue_share: float = 0.25) -> DataFrame:
@@ -163,7 +164,7 @@ def least_one_quota(sizes: DataFrame, total: int, key: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = {str(k): int(v) for k, v in zip(pdf["key"], pdf["n"])}
         want = {k: total * v / sum(n.values()) for k, v in n.items()}
-        quota = {k: max(1, int(want[k])) for k in sorted(n)}
+        quota = {k: min(n[k], max(1, int(want[k]))) for k in sorted(n)}
         while sum(quota.values()) > total:
             over = [k for k in quota if quota[k] > 1]
             if not over:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from facetspark.functions.vectors import unit
+from facetspark.sources.scratch import cut
 
 #: Query vectors that a task holds at a time; more queries are taken in blocks, one scan of the units each.
 BLOCK_BYTES = 16_000_000
@@ -64,7 +65,12 @@ def score_all(queries: DataFrame, units: DataFrame, depth: int | None = None, gr
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(u), i))), pa.array(u, uid_type), pa.array(sc)], ["qid", "uid", "score"])
 
         out.append(units.where("vec IS NOT NULL").select("uid", "vec", F.lit(0).alias("grp") if group is None else F.coalesce(F.col(group).cast("string"), F.lit("")).alias("grp")).mapInArrow(run, kinds))
-    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], kinds)
+    if not out:
+        return spark.createDataFrame([], kinds)
+    scored = reduce(DataFrame.unionByName, out)
+    # what a depth bounds is written once: it is often used several times, and adaptive execution has been seen to
+    # lose rows of such a Python stage when it reuses its exchange within one plan
+    return scored if depth is None else cut(scored)
 
 
 def ranked(scored: DataFrame, keys: list[str], k: int | None = None, score: str = "score", uid: str = "uid") -> DataFrame:

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from facetspark.sources.scratch import cut
 
-SEED, DRAWS = 13, 10_000
+DRAWS = 10_000
 
 
 def paired(population: DataFrame, a: DataFrame, b: DataFrame, key: str = "qid") -> DataFrame:
@@ -29,26 +27,45 @@ def compare(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def permutation_and_bootstrap(pairs: DataFrame, key: str, seed: int = SEED, draws: int = DRAWS) -> DataFrame:
-    """(key, p, low, high): sign-flip p-value with one added, and a 95 % percentile interval of the mean difference.
+def _draws(rows: DataFrame, name: str, unit: str, each: int, draws: int) -> DataFrame:
+    """Rows with draw and digits: every row in every draw, with 32 / each hexadecimal digits that a hash of draws and unit gives it.
 
-    One test's differences, a row for each question, are held by one task, as they're drawn from together.
+    One hash serves `each` draws, and tasks make the draws of the rows that they hold.
     """
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // each))).alias("_block")
+    hashed = rows.select("*", blocks).withColumn("_h", F.md5(F.concat_ws("|", F.lit(name), "_block", F.col(unit).cast("string"))))
+    wide = 32 // each
+    parts = F.array(*[F.struct((F.col("_block") * each + j).alias("draw"), F.substring("_h", j * wide + 1, wide).alias("digits")) for j in range(each)])
+    return hashed.select(*rows.columns, F.explode(parts).alias("_d")).select(*rows.columns, "_d.draw", "_d.digits").where(F.col("draw") < draws)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("qid")
-        d = (pdf["b"] - pdf["a"]).to_numpy(float)
-        rng, observed, hits, done = np.random.default_rng(seed), abs(d.mean()), 0, 0
-        while done < draws:
-            m = min(500, draws - done)
-            hits += int((np.abs((rng.choice([-1.0, 1.0], size=(m, len(d))) * d).mean(axis=1)) >= observed - 1e-12).sum())
-            done += m
-        rng = np.random.default_rng(seed + 1)
-        means = np.concatenate([d[rng.integers(0, len(d), size=(500, len(d)))].mean(axis=1) for _ in range(draws // 500)])
-        low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame([(pdf[key].iloc[0], (hits + 1) / (draws + 1), low, high)], columns=[key, "p", "low", "high"])
-
-    return pairs.groupBy(key).applyInPandas(run, f"{key} {dict(pairs.dtypes)[key]}, p double, low double, high double")
+
+def sign_flips(pairs: DataFrame, key: str, draws: int = DRAWS) -> DataFrame:
+    """(key, p): the share of draws, with one added, whose mean difference under random signs is at least the observed one.
+
+    Signs are bits of a hash of draw and question, so draws are summed by partial aggregates and no task sees all questions.
+    """
+    d = cut(pairs.select(key, "qid", (F.col("b") - F.col("a")).alias("d")))  # used twice
+    drawn = _draws(d, "flip", "qid", 32, draws).groupBy(key, "draw").agg(F.avg(F.when(F.col("digits") >= "8", F.col("d")).otherwise(-F.col("d"))).alias("m"))
+    seen = d.groupBy(key).agg(F.avg("d").alias("observed"))
+    hits = drawn.join(F.broadcast(seen), key)  # a row for each test
+    return hits.groupBy(key).agg(((F.count_if(F.abs("m") >= F.abs("observed") - 1e-12) + 1) / F.lit(draws + 1)).alias("p"))
+
+
+#: Upper ends of the 16-bit numbers that stand for 0, 1, 2, ... of a Poisson variable with mean 1.
+POISSON = [round(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
+
+
+def bootstrap_interval(rows: DataFrame, key: str, unit: str, total: str, size: str, draws: int = DRAWS) -> DataFrame:
+    """(key, low, high): the 95 % percentile interval of sum(total) / sum(size) when units are drawn with replacement.
+
+    How often a unit is drawn is Poisson with mean 1, from a hash of draw and unit; so units may be spread over all tasks.
+    """
+    drawn = _draws(rows.select(key, unit, F.col(total).alias("_t"), F.col(size).alias("_s")), "boot", unit, 8, draws)
+    number = F.conv("digits", 16, 10).cast("int")
+    weight = sum((F.when(number >= edge, 1).otherwise(0) for edge in POISSON[1:]), F.when(number >= POISSON[0], 1).otherwise(0))
+    ratios = drawn.withColumn("_w", weight).groupBy(key, "draw").agg((F.sum(F.col("_w") * F.col("_t")) / F.nullif(F.sum(F.col("_w") * F.col("_s")), F.lit(0))).alias("r"))
+    q = lambda x: F.expr(f"percentile(r, {x})")  # noqa: E731 - over the draws of a test, which are a fixed number
+    return ratios.groupBy(key).agg(q(0.025).alias("low"), q(0.975).alias("high"))
 
 
 def holm(tests: DataFrame, family: str, p: str = "p", name: str = "test", alpha: float = 0.05) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from facetspark.functions import text as T
-from facetspark.operators import context, lexical, select
-from facetspark.plans.retrieval import _bench, _pairs, _search, _vectors, contained, sim_sql
+from facetspark.operators import context, lexical, select, stats
+from facetspark.plans.retrieval import PAIRS_SQL, _bench, _pairs, _search, _vectors, contained, sim_sql, weight_sql
 from facetspark.plans.texts import TOKENS, _tokens
+from facetspark.sources.scratch import cut
 
 QUERIES, ORACLES = {}, {}
 
@@ -151,17 +150,12 @@ def h32_latest_day(spark, sf_dir):
     return t.join(F.broadcast(last), F.col("ship_day") == F.col("last")).drop("last")
 
 
-@query()
+@query(f"""WITH {PAIRS_SQL}, rows AS (SELECT label, sum(b - a) AS d, count(*) AS n FROM pairs JOIN embeddings e ON e.vec_id = pairs.qid GROUP BY 1), {weight_sql('boot', 'label')},
+rt AS (SELECT draw, sum(w * d) / nullif(sum(w * n), 0) AS r FROM wt GROUP BY 1) SELECT 'fused' AS test, round((SELECT sum(d) / sum(n) FROM rows), 6) AS delta, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM rt""")
 def x7_cluster_bootstrap(spark, sf_dir):
-    """A 95 % interval of the mean difference with whole groups drawn, from a row for each group."""
+    """A 95 % interval of the mean difference with whole groups drawn, from a row for each group."""
     p = _pairs(spark, sf_dir).join(_vectors(spark, sf_dir).select(F.col("uid").alias("qid"), "label"), "qid")
-    g = p.groupBy("one", "label").agg(F.sum(F.col("b") - F.col("a")).alias("d"), F.count("*").alias("n"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("label")
-        rng, d, n = np.random.default_rng(13), pdf["d"].to_numpy(), pdf["n"].to_numpy()
-        at = rng.integers(0, len(d), size=(10_000, len(d)))
-        low, high = np.quantile(d[at].sum(axis=1) / n[at].sum(axis=1), [0.025, 0.975])
-        return pd.DataFrame([(pdf["one"].iloc[0], d.sum() / n.sum(), low, high)], columns=["test", "delta", "low", "high"])
-
-    return g.groupBy("one").applyInPandas(run, "test string, delta double, low double, high double")
+    g = cut(p.groupBy("one", "label").agg(F.sum(F.col("b") - F.col("a")).alias("d"), F.count("*").alias("n")))  # used twice
+    delta = g.groupBy("one").agg((F.sum("d") / F.sum("n")).alias("delta"))
+    out = delta.join(stats.bootstrap_interval(g, "one", "label", "d", "n"), "one")
+    return out.select(F.col("one").alias("test"), *[F.round(c, 6).alias(c) for c in ("delta", "low", "high")])

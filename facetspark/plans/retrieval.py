@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from facetspark.functions import vectors
 from facetspark.operators import gate, lexical, metrics, select, similarity, stats
+from facetspark.sources.scratch import cut
 
 QUERIES, ORACLES = {}, {}
 
@@ -165,9 +166,25 @@ def _pairs(spark, sf_dir):
     return stats.paired(rel.select("qid").distinct(), value(_search(spark, sf_dir)), value(_fused(spark, sf_dir))).withColumn("one", F.lit("fused"))
 
 
-@query()
+#: (qid, a, b): nDCG@10 of the single and of the fused ranking.
+PAIRS_SQL = f"""{FUSE_SQL}, {METRIC_SQL.format(r='s')}, fm AS (SELECT f.qid, sum(1 / log2(f.rank + 1)) AS dcg FROM fused f JOIN g USING (qid, uid) WHERE f.rank <= 10 GROUP BY 1),
+pairs AS (SELECT i.qid, coalesce(m.dcg, 0) / idcg AS a, coalesce(fm.dcg, 0) / idcg AS b FROM i LEFT JOIN m USING (qid) LEFT JOIN fm USING (qid))"""
+
+
+def weight_sql(name: str, unit: str) -> str:
+    """Draws 0 to 9,999 of every row of `rows`, with Poisson weights from a hash of draw and unit."""
+    edges = " + ".join(f"(number >= {x})::INT" for x in stats.POISSON)
+    return f"""bb AS (SELECT *, md5('{name}|' || blk || '|' || {unit}) AS h FROM rows, range(0, 1250) gg(blk)), dr AS (SELECT bb.*, blk * 8 + j AS draw, ('0x' || substr(h, (j * 4 + 1)::INT, 4))::INT AS number FROM bb, range(0, 8) x(j)), wt AS (SELECT *, {edges} AS w FROM dr)"""
+
+
+@query(f"""WITH {PAIRS_SQL}, rows AS (SELECT qid, b - a AS d FROM pairs), fl AS (SELECT *, md5('flip|' || blk || '|' || qid) AS h FROM rows, range(0, 313) gg(blk)), sg AS (SELECT qid, d, blk * 32 + j AS draw, substr(h, (j + 1)::INT, 1) >= '8' AS up FROM fl, range(0, 32) x(j)),
+mm AS (SELECT draw, avg(CASE WHEN up THEN d ELSE -d END) AS m FROM sg WHERE draw < 10000 GROUP BY 1), pv AS (SELECT (count(*) FILTER (abs(m) >= abs((SELECT avg(d) FROM rows)) - 1e-12) + 1) / 10001 AS p FROM mm),
+{weight_sql('boot', 'qid')}, rt AS (SELECT draw, sum(w * d) / nullif(sum(w), 0) AS r FROM wt GROUP BY 1) SELECT 'fused' AS test, round(p, 6) AS p, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM rt, pv GROUP BY p""")
 def x1_permutation_and_bootstrap(spark, sf_dir):
-    out = stats.permutation_and_bootstrap(_pairs(spark, sf_dir), "one")
+    """The sign-flip p-value and a bootstrap interval of the fused ranking's gain."""
+    pairs = cut(_pairs(spark, sf_dir))  # used twice
+    diff = pairs.select("one", "qid", (F.col("b") - F.col("a")).alias("d"), F.lit(1).alias("n"))
+    out = stats.sign_flips(pairs, "one").join(stats.bootstrap_interval(diff, "one", "qid", "d", "n"), "one")
     return out.select(F.col("one").alias("test"), *[F.round(c, 6).alias(c) for c in ("p", "low", "high")])
 
 

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetspark.functions import text as T, vectors
-from facetspark.operators import cards, context, coverage, graph, metrics, select, similarity, stats, units
+from facetspark.functions import dates, shapes, text as T, vectors
+from facetspark.operators import cards, channels, context, coverage, graph, metrics, reports, select, similarity, stats, units
 from facetspark.sources import files
 from facetspark.streaming import incremental
 
@@ -274,7 +274,77 @@ def test_statistics(spark):
     tests = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03)], "family string, test string, p double")
     assert {r.test: (round(r.holm_p, 6), r.significant) for r in stats.holm(tests, "family").collect()} == {"a": (0.03, True), "b": (0.06, False), "c": (0.06, False)}
     same = spark.createDataFrame([("t", i, 0.5, 0.5) for i in range(20)], "test string, qid int, a double, b double")
-    assert rows(stats.permutation_and_bootstrap(same, "test", draws=1000)) == [("t", 1.0, 0.0, 0.0)]
+    assert rows(stats.sign_flips(same, "test", draws=1000)) == [("t", 1.0)]
+    rng = np.random.default_rng(4)
+    d = rng.normal(0.3, 1.0, 60)
+    pairs = spark.createDataFrame([("t", i, 0.0, float(x), 1) for i, x in enumerate(d)], "test string, qid int, a double, b double, n int")
+    p = stats.sign_flips(pairs, "test", draws=4000).first().p
+    by_numpy = np.mean(np.abs((rng.choice([-1, 1], (20_000, 60)) * d).mean(axis=1)) >= abs(d.mean()))
+    assert p == pytest.approx(by_numpy, abs=0.01)
+    got = stats.bootstrap_interval(pairs, "test", "qid", "b", "n", draws=4000).first()
+    want = np.quantile(d[rng.integers(0, 60, (20_000, 60))].mean(axis=1), [0.025, 0.975])
+    assert (got.low, got.high) == pytest.approx(tuple(want), abs=0.05)
+
+
+def test_phrases_meet_questions_by_word_boundaries(spark):
+    q = spark.createDataFrame([("q", "new york city hall".split()), ("r", "newyork york".split())], "qid string, words array<string>")
+    p = spark.createDataFrame([("a", ["new", "york"]), ("a", ["new", "york", "city"]), ("b", ["york"]), ("c", ["hall", "of"]), ("d", [])], "key string, words array<string>")
+    assert sorted(rows(channels.phrase_matches(q, p))) == [("q", "a", "new york city"), ("q", "b", "york"), ("r", "b", "york")]
+
+
+def test_lazy_walk_stops_after_barren_communities(spark):
+    hits = spark.createDataFrame([("q", g, r) for r, g in enumerate("aabbccddee")], "qid string, grp string, rank int")
+    members = spark.createDataFrame([("q", g, 10 * i + j, float(-j)) for i, g in enumerate("abcde") for j in range(3)], "qid string, grp string, uid int, score double")
+    walk = lambda yes, **k: [(r.grp, r.tested, r.accepted) for r in channels.lazy_walk(hits, members, spark.createDataFrame([(y,) for y in yes], "uid int"), **k).orderBy("place").collect()]
+    assert walk([0, 12]) == [("a", 3, 1), ("b", 3, 1), ("c", 3, 0), ("d", 3, 0), ("e", 3, 0)]
+    assert walk([40]) == [("a", 3, 0), ("b", 3, 0), ("c", 3, 0)]
+    assert walk([0], tests=5, each=2) == [("a", 2, 1), ("b", 2, 0), ("c", 1, 0)]
+
+
+def test_alpha_ndcg_against_the_greedy_ideal(spark):
+    topics = {"x": ["s", "t"], "y": ["s"], "z": ["u"], "w": []}
+    sub = spark.createDataFrame([("q", u, s) for u, ss in topics.items() for s in ss], "qid string, uid string, subtopic string")
+    pool = spark.createDataFrame([("q", u, i) for i, u in enumerate("wyzx", 1)], "qid string, uid string, rank int")
+    got = reports.alpha_ndcg(pool, sub, pool).first()
+    dcg = 0 + 1 / np.log2(3) + 1 / np.log2(4) + (0.5 + 1) / np.log2(5)
+    ideal = 2 + 1 / np.log2(3) + 0.5 / np.log2(4)  # x, then z, then y
+    assert (got.alpha_dcg, got.ideal, got.alpha_ndcg) == pytest.approx((dcg, ideal, dcg / ideal))
+
+
+def test_quotas_with_one_at_least(spark):
+    sizes = spark.createDataFrame([("a", 90), ("b", 5), ("c", 5), ("d", 1)], "k string, n long")
+    assert dict(rows(select.least_one_quota(sizes, 10, "k"))) == {"a": 7, "b": 1, "c": 1, "d": 1}
+    assert dict(rows(select.least_one_quota(sizes, 500, "k"))) == {"a": 90, "b": 5, "c": 5, "d": 1}
+
+
+def test_buckets_and_readings(spark):
+    cases = [(True, None, True, True, True), (False, True, False, False, False), (False, False, False, True, True), (False, None, True, False, True), (False, None, True, True, False), (False, False, True, True, True), (None, None, True, True, True)]
+    d = spark.createDataFrame(cases, "primary boolean, second boolean, indexed boolean, found boolean, rendered boolean")
+    assert [r.bucket for r in reports.failure_bucket(d).collect()] == [0, 5, 1, 2, 3, 4, 0]
+    replies = spark.createDataFrame([('```json\n{"score": 0.5}\n```',), ('{"score": 1}',), ('{"score": 0.7}',), ("no",), ('{"score": true}',)], "r string")
+    assert [r[0] for r in replies.select(reports.rubric_score(F.col("r"))).collect()] == [0.5, 1.0, None, None, None]
+    letters = spark.createDataFrame([("b",), ("Answer: (C).",), ("(A",), ("B or C",), ("E",)], "r string")
+    assert [r[0] for r in letters.select(reports.mcq_letter(F.col("r"))).collect()] == ["B", "C", "A", None, None]
+
+
+def test_words_keep_their_white_space_in_chunks(spark):
+    text = "  " + " \n".join(f"w{i}" for i in range(7)) + " "
+    assert one(spark, T.spaced_chunks(T.spaced_words(F.lit(text)), 3, 1)) == ["w0 \nw1 \nw2", "w2 \nw3 \nw4", "w4 \nw5 \nw6"]
+    assert one(spark, T.cut_to_tokens(T.words(F.lit("a b-c d-e-f g")), 4)) == 2 and one(spark, T.cut_to_tokens(T.words(F.lit("")), 4)) == 0
+    assert one(spark, T.predicate(F.lit("Was born-in  City!"))) == "born_in"
+
+
+def test_shapes_of_questions(spark):
+    asked = {'who said "so"?': "lexical", "code a1b?": "lexical", "How LONG is it": "temporal", "in total": "cross-topic", "who is it": "multi-hop", "any tips": "thematic", "my dog": "entity", "is it Ann": "entity", "It is. And": "local", "is it I": "entity", "": "local"}
+    got = spark.createDataFrame([(q,) for q in asked], "q string").select("q", shapes.shape(F.col("q"))).collect()
+    assert {r[0]: r[1] for r in got} == asked
+    assert one(spark, shapes.parse_label(F.lit(" Multi-Hop\n"))) == ("multi-hop", False) and one(spark, shapes.parse_label(F.lit("local."))) == ("local", True)
+
+
+def test_dates(spark):
+    assert str(one(spark, dates.chat_time(F.lit("1:56 pm on 8 May, 2023")))) == "2023-05-08 13:56:00" and one(spark, dates.chat_time(F.lit("soon"))) is None
+    assert str(one(spark, dates.date_with_year(F.lit("on May 8, 2023, maybe")))) == "2023-05-08" and one(spark, dates.date_with_year(F.lit("May 8"))) is None
+    assert one(spark, dates.date_range(F.lit(None).cast("string"), F.lit(None).cast("string"))) == "unknown to present"
 
 
 def test_mail_archives(spark, tmp_path):
