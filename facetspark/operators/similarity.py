@@ -65,12 +65,7 @@ def score_all(queries: DataFrame, units: DataFrame, depth: int | None = None, gr
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(u), i))), pa.array(u, uid_type), pa.array(sc)], ["qid", "uid", "score"])
 
         out.append(units.where("vec IS NOT NULL").select("uid", "vec", F.lit(0).alias("grp") if group is None else F.coalesce(F.col(group).cast("string"), F.lit("")).alias("grp")).mapInArrow(run, kinds))
-    if not out:
-        return spark.createDataFrame([], kinds)
-    scored = reduce(DataFrame.unionByName, out)
-    # what a depth bounds is written once: it is often used several times, and adaptive execution has been seen to
-    # lose rows of such a Python stage when it reuses its exchange within one plan
-    return scored if depth is None else cut(scored)
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], kinds)
 
 
 def ranked(scored: DataFrame, keys: list[str], k: int | None = None, score: str = "score", uid: str = "uid") -> DataFrame:
@@ -80,7 +75,8 @@ def ranked(scored: DataFrame, keys: list[str], k: int | None = None, score: str
 
 
 def top_k(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
-    return ranked(score_all(queries, units, depth=k), ["qid"], k)
+    """The best k units of each query, written once, as a ranking is used several times in most plans."""
+    return cut(ranked(score_all(queries, units, depth=k), ["qid"], k))
 
 
 def max_fold(scored: DataFrame, parent: str = "parent") -> DataFrame:
