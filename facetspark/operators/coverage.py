@@ -63,3 +63,8 @@ def group_channel(groups: DataFrame, members: DataFrame, scores: DataFrame, best
     top = filled.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "grp"))).where(F.col("r") <= best).select("qid", "grp")
     pool = top.join(members, "grp").select("qid", "uid").distinct().join(scores, ["qid", "uid"])
     return pool.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "uid")))
+
+
+def clipped(start: Column, end: Column, length: int) -> Column:
+    """How much of a span lies in the first `length` characters."""
+    return F.greatest(F.lit(0), F.least(end, F.lit(length)) - start)

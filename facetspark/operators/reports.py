@@ -168,3 +168,27 @@ def ledger(rows: DataFrame, stage: str, corpus: str, invocation: str, usd: str)
     once = rows.groupBy(stage, invocation).agg(F.min_by(usd, corpus).alias("usd"))
     total = once.groupBy(stage).agg(F.round(F.sum("usd"), 6).alias("usd"), F.count("*").alias("invocations"))
     return by_corpus.unionByName(total.withColumn(corpus, F.lit(None).cast(dict(rows.dtypes)[corpus])))
+
+
+def chosen_variant(means: DataFrame, key: str, variant: str, value: str, shipped: str) -> DataFrame:
+    """(key, chosen): the variant with the highest value; the shipped one keeps a tie, then the first name."""
+    nth = F.row_number().over(W.partitionBy(key).orderBy(F.desc(value), F.col(variant) != shipped, variant))
+    return means.withColumn("_nth", nth).where("_nth = 1").select(key, F.col(variant).alias("chosen"))
+
+
+def completeness(have: Column, want: Column, least: float) -> Column:
+    """none, partial (under the least share) or run."""
+    return F.when(have == 0, "none").when(have < want * least, "partial").otherwise("run")
+
+
+def group_payloads(members: DataFrame, words: DataFrame, key: str, id_col: str, text_col: str, keywords: int, excerpts: int, chars: int) -> DataFrame:
+    """(key, size, keywords, excerpts) of groups: from counts of their words (key, word, n) and the beginnings of their first members."""
+    best = F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), "word"))
+    top = words.withColumn("r", best).where(F.col("r") <= keywords).groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]), ",").alias("keywords"))
+    nth = F.row_number().over(W.partitionBy(key).orderBy(id_col))
+    few = members.withColumn("r", nth).where(F.col("r") <= excerpts).groupBy(key).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", F.substring(text_col, 1, chars).alias("t")))), lambda x: x["t"]), "|").alias("excerpts"))
+    size = members.groupBy(key).agg(F.count("*").alias("size"))
+    top, few = top.withColumnRenamed(key, "_top"), few.withColumnRenamed(key, "_few")
+    both = size.join(top, F.col(key).eqNullSafe(F.col("_top")), "left").join(few, F.col(key).eqNullSafe(F.col("_few")), "left")
+    return both.select(key, "size", "keywords", "excerpts")
