@@ -1,4 +1,4 @@
-"""Words and word shingles of a text as hashes, computed inside tasks."""
+"""Words and word shingles of a text as hashes, computed with numpy inside tasks."""
 
 from __future__ import annotations
 
@@ -12,10 +12,19 @@ U = np.uint64
 #: Bytes that are split at a time; bounds the memory for very long texts.
 BLOCK_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
+#: Starts and multipliers of the two hashes of a word.
+SEEDS, ODD = (0x243F6A8885A308D3, 0x13198A2E03707344), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 SHINGLE_WORDS = 5
-#: Words that a worker remembers in each of two tables; a full table replaces the older one.
-CACHE_WORDS = 150_000
+#: Longer words are hashed one by one.
+LONG = 64
+FENCE = np.ones(1, bool)
+#: Sets of fewer shingles are told apart by both hashes.
+SMALL_SET = 16
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
+IS_BLANK = np.zeros(256, bool)
+IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Keeps the first bytes of eight.
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,26 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-class _Digests(dict):
-    """The 128-bit BLAKE2b digest by word; computes what is missing."""
-
-    def __init__(self):
-        super().__init__()
-        self.old: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        digest = self.old.get(word) or blake2b(word, digest_size=16).digest()
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = digest
-        return digest
-
-
-_DIGESTS = _Digests()
-
-
 def _stretches(data: bytes) -> Iterator[bytes]:
     """The data in stretches of about BLOCK_BYTES that end with a word."""
     at = 0
@@ -57,17 +46,46 @@ def _stretches(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def word_digests(text: str | None) -> np.ndarray:
-    """Two independent 64-bit hashes for each word `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, in order."""
+def _of_block(block: bytes, lanes: int) -> np.ndarray:
+    """The first `lanes` hashes of each word, eight bytes at a time.
+
+    A step adds eight bytes to what has been mixed so far and mixes again, so that words of one length up to eight bytes
+    never collide, and longer ones have no structure (as a polynomial has) in which different words agree. Words over
+    LONG bytes are hashed by BLAKE2b.
+    """
+    data = np.frombuffer(block, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate((FENCE, IS_BLANK[data], FENCE)).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    size = ends - starts
+    eight = np.ndarray((len(data) + 1,), "<u8", block + bytes(8), 0, (1,))  # the eight bytes from each place on
+    out = np.empty((lanes, len(starts)), U)
+    first = eight[starts] & MASKS[np.minimum(size, 8)]
+    for k in range(lanes):
+        out[k] = mix((mix(size.astype(U) * U(ODD[k]) + U(SEEDS[k])) ^ first) * U(ODD[k]))
+    live = np.flatnonzero(size > 8)
+    for step in range(8, LONG, 8):
+        if not len(live):
+            break
+        part = eight[starts[live] + step] & MASKS[np.minimum(size[live] - step, 8)]
+        for k in range(lanes):
+            out[k, live] = mix((out[k, live] ^ part) * U(ODD[k]))
+        live = live[size[live] > step + 8]
+    for i in live.tolist():
+        out[:, i] = np.frombuffer(blake2b(block[starts[i] : ends[i]], digest_size=16).digest(), U)[:lanes]
+    return out
+
+
+def word_digests(text: str | None, lanes: int = 2) -> np.ndarray:
+    """A row for each of up to two independent 64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, in order."""
     if not text:
-        return np.empty((0, 2), U)
-    found = b"".join(b"".join(map(_DIGESTS.__getitem__, part.split())) for part in _stretches(text.encode().lower()))
-    return np.frombuffer(found, U).reshape(-1, 2)
+        return np.empty((lanes, 0), U)
+    parts = [_of_block(part, lanes) for part in _stretches(text.encode().lower())]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts, axis=1)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """The first of the two hashes of each word."""
-    return np.ascontiguousarray(word_digests(text)[:, 0])
+    return word_digests(text, 1)[0]
 
 
 def chain(rows: np.ndarray, n: int) -> np.ndarray:
@@ -95,9 +113,11 @@ def shingle_set(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def shingle_set_and_print(text: str | None, n: int = SHINGLE_WORDS) -> tuple[np.ndarray, bytes | None]:
-    """The shingle set, and a 128-bit digest of it by both hashes of the words, so that equal digests mean equal sets."""
-    both = word_digests(text)
-    if not len(both):
-        return np.empty(0, U), None
-    first, second = (_set_of(np.ascontiguousarray(both[:, i]), n) for i in (0, 1))
-    return first, blake2b(first.tobytes() + second.tobytes(), digest_size=16).digest()
+    """The shingle set, and a 128-bit digest of it. For small sets both hashes of the words go into it; larger ones would have to collide in many places at once."""
+    first = shingle_set(text, n)
+    if not len(first):
+        return first, None
+    told = first.tobytes()
+    if len(first) < SMALL_SET:
+        told += _set_of(word_digests(text)[1], n).tobytes()
+    return first, blake2b(told, digest_size=16).digest()
