@@ -25,7 +25,7 @@ LETTERS, BLANKS = "A-Za-zÀ-ÖØ-öø-ÿ", "\\t\\n\\r "
 UNCOMMON = f"[^{BLANKS}!-~À-ÖØ-öø-ÿ]"
 COMMON = f" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^{BLANKS}{LETTERS}0-9]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
 #: Pieces that a worker remembers in each of two tables; a full table replaces the older one.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 #: Documents that a worker holds ids of at a time.
 ROWS = 500
 #: Vocabulary files up to this size are broadcast.

@@ -179,28 +179,23 @@ def shelve(trained: DataFrame) -> Shelf:
     return shelf
 
 
-_SHELVED: dict[tuple, dict] = {}
-
-
 def _tables_of(shelf: Shelf, part: int, shard: int) -> dict:
-    """The lookup tables of one shard; a worker keeps those it used last."""
-    name = (shelf.path, part, shard)
-    if name not in _SHELVED:
-        _SHELVED.clear()
-        files, root = fs.FileSystem.from_uri(shelf.path)
-        found = []
-        for k in (-1, shard):
-            folder = f"{root}/part={part}/shard={k}"
-            if files.get_file_info(folder).type == fs.FileType.Directory:
-                found.append(dataset.dataset(folder, filesystem=files, format="parquet").to_table(columns=["table", "key", "value"]))
-        rows = pa.concat_tables(found) if found else pa.table({"table": pa.array([], pa.int8()), "key": pa.array([], pa.int64()), "value": pa.array([], pa.float32())})
-        at, keys, values = (rows[c].to_numpy() for c in ("table", "key", "value"))
-        tables = {}
-        for kind, k in ((kind, k) for kind in "pg" for k in range(1, ORDER + 1)):
-            mine = at == (k if kind == "p" else -k)
-            tables[kind, k] = Table(keys[mine].view(U), values[mine])
-        _SHELVED[name] = tables
-    return _SHELVED[name]
+    """The lookup tables of one shard, which a task holds while it scores."""
+    files, root = fs.FileSystem.from_uri(shelf.path)
+    found = []
+    for k in (-1, shard):
+        folder = f"{root}/part={part}/shard={k}"
+        if files.get_file_info(folder).type == fs.FileType.Directory:
+            found.append(dataset.dataset(folder, filesystem=files, format="parquet").to_table(columns=["table", "key", "value"], use_threads=False))
+    rows = pa.concat_tables(found) if found else pa.table({"table": pa.array([], pa.int8()), "key": pa.array([], pa.int64()), "value": pa.array([], pa.float32())})
+    at, keys, values = (rows[c].to_numpy() for c in ("table", "key", "value"))
+    tables = {}
+    for kind, k in ((kind, k) for kind in "pg" for k in range(1, ORDER + 1)):
+        mine = at == (k if kind == "p" else -k)
+        tables[kind, k] = Table(keys[mine].view(U), values[mine])
+    del rows, found, at, keys, values
+    pa.default_memory_pool().release_unused()
+    return tables
 
 
 class Table:
