@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from facetspark.llm.words import U, chain, ngrams, word_hashes
+from facetspark.llm.words import BASE, U, mix, word_hashes
 
 SEED_WORDS = 4
 #: Of an item's seeds those stay that are among its rarest share, or in at most this share of the documents.
@@ -26,12 +26,18 @@ BITS = 20
 
 def seeds_of(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, place) of every run of n words, and of n out of n + 1 words with one inner word left out."""
-    out = [(ngrams(words, n), np.arange(max(0, len(words) - n + 1), dtype=np.int64))]
-    if len(words) > n:
-        view = np.lib.stride_tricks.sliding_window_view(words, n + 1)
-        for gap in range(1, n):
-            out.append((chain(np.delete(view, gap, axis=1), n) + U(gap), np.arange(len(view), dtype=np.int64)))
-    return np.concatenate([h for h, _ in out]), np.concatenate([p for _, p in out])
+    runs = max(0, len(words) - n + 1)
+    gapped = max(0, runs - 1)
+    if not runs:
+        return np.empty(0, U), np.empty(0, np.int64)
+    hashes, h = [], mix(words[:runs] + U(n))
+    for j in range(1, n):  # h: the hash of the first j words, which the run without its word j shares
+        skip = h[:gapped]
+        for k in range(j + 1, n + 1):
+            skip = mix(skip * U(BASE) + words[k : k + gapped])
+        hashes.append(skip + U(j))
+        h = mix(h * U(BASE) + words[j : j + runs])
+    return np.concatenate([h, *hashes]), np.concatenate([np.arange(runs), *[np.arange(gapped)] * (n - 1)])
 
 
 class Items:
