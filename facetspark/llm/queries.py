@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from facetspark.llm import bpe, decontam, exact_dedup, langid, near_dedup, quality, sharding, substring_dedup, token_counts, warc
+from facetspark.llm import (
+    bpe, decontam, exact_dedup, langid, license_scan, near_dedup, periodic_runs, quality, sharding, substring_dedup, token_alignment, token_counts, warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,62 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where crc32 of the decimal id ends in 0, words from place a on repeat with period p, as the contract fixes."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    g, n = F.floor(h / 10), F.size("words").cast("long")
+    split = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    a = F.col("g") % n
+    placed = split.where("size(words) > 0").select("doc_id", "words", n.alias("n"), a.alias("a"), (1 + F.floor((n - a) / (3 + F.col("g") % 8))).alias("p"))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    planted = placed.select("doc_id", F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("words", place(i))), " ").alias("text"))
+    return split.where("coalesce(size(words), 0) <= 0").select("doc_id", "text").unionByName(planted)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs and collapsed text of every document, as digests, with the run of the greatest exponent. A null id plants no period."""
+    found = periodic_runs.periodic_runs(_with_planted_periods(_table(spark, sf_dir, "documents")))
+    # exact: the greater of two fractions by cross-multiplication; runs come by start, then period, so that the first of equals stays
+    higher = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    top = F.aggregate(F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), F.get("runs", F.lit(0)), lambda s, x: F.when(higher(x, s), x).otherwise(s))
+    told = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        F.col("top.length").alias("length"),
+        F.col("top.period").alias("period"),
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(told, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and notices of licences in every document. score: the largest share among its notices; 0.5 with phrases alone, else 0."""
+    found = license_scan.license_scan(_table(spark, sf_dir, "documents"))
+    said, starts = F.col("places.label"), F.col("places.start")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(said).alias("base_labels"),
+        joined(F.concat(said, F.col("notices.label"))).alias("labels"),
+        F.round(F.coalesce(F.array_max(F.col("notices.share")), F.when(F.size("places") > 0, 0.5).otherwise(0.0)), 6).alias("score"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two vocabularies in every document."""
+    found = token_alignment.token_alignment(_table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -95,6 +153,9 @@ QUERIES = {
     "op8_label_propagation_shards": op8_label_propagation_shards,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_license_scan": op12_license_scan,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES = {"op9_exact_dedup": OP9_SQL}
