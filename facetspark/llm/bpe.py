@@ -8,11 +8,13 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 #: The published split before the merges, with white space as Unicode's property.
 PATTERN = (
@@ -51,6 +53,11 @@ def byte_letters() -> list[str]:
     return out
 
 
+def newer(text: str) -> bool:
+    """The text has code points that Python's Unicode tables don't have yet; the splitters' tables may differ in them."""
+    return any(category(c) == "Cn" for c in set(text))
+
+
 class ByteBPE:
     """Encoder and decoder of one vocabulary."""
 
@@ -77,10 +84,15 @@ class ByteBPE:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.any_pieces = regex.compile(PATTERN).findall
         self.common_pieces, self.uncommon = re.compile(COMMON).findall, re.compile(UNCOMMON).search
+        self.splitter = ByteLevel(add_prefix_space=False, use_regex=True)
         self.known = _Known(self)
 
     def pieces(self, text: str) -> list[str]:
-        return self.any_pieces(text) if self.uncommon(text) else self.common_pieces(text)
+        if not self.uncommon(text):
+            return self.common_pieces(text)
+        if newer(text):  # whether those are letters is the library's to say
+            return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
+        return self.any_pieces(text)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the lowest merge rank first, leftmost of equals.
