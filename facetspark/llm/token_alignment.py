@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -16,12 +18,15 @@ from facetspark.llm import bpe
 from facetspark.llm.shared import stash
 
 #: Tokens of the first tokenizer in a chunk of documents; a longer document is a chunk of its own.
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 18
 #: Values of the shorter list that are looked up at a time.
 BLOCK = 512
 #: Bits of the second tokenizer's id in the key of a pair.
 SHIFT = 20
 MAX_MODEL_BYTES = 64_000_000
+#: Texts with longer stretches without or with white space alone are encoded by the operator of this package.
+STRETCH = 20_000
+STRETCHES = re.compile(rf"\S{{{STRETCH}}}|\s{{{STRETCH}}}")
 #: Characters handed to the second tokenizer at a time.
 BATCH_CHARS = 1 << 20
 
@@ -84,11 +89,23 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray) -> Alignment:
     return Alignment(mine, other, cuts, other_cuts, first, True) if a_drives else Alignment(other, mine, other_cuts, cuts, first, False)
 
 
+def by_ranks(first: bpe.ByteBPE) -> bool:
+    """Merging the pair whose joint bytes are the token of lowest id gives what the vocabulary's list of merges gives.
+
+    It does if merges are listed by the id they make, and each token's bytes alone come out as that token. For
+    say that x and y stand side by side, all lower merges done, and x + y is a token. No merge has crossed the ends of
+    the stretch, so inside it stands what the lower merges make of its bytes alone: the listed pair, which is (x, y).
+    """
+    ascending = all(a < b for a, b in zip(first.results, first.results[1:]))
+    return ascending and all(first.merge(first.strings[i]) == [i] for i in first.results)
+
+
 class Pair:
-    """Two tokenizers and the bytes of their tokens."""
+    """Two tokenizers and the bytes of their tokens. With `ranked` (see by_ranks) the first one's merges are done by tiktoken."""
 
-    def __init__(self, spec: str, model: bytes):
+    def __init__(self, spec: str, model: bytes, ranked: bool):
         self.first = bpe.loaded(spec)
+        self.ranked = tiktoken.Encoding("first", pat_str=bpe.PATTERN, mergeable_ranks={self.first.strings[i]: i for i in {*self.first.of_byte, *self.first.results}}, special_tokens={}) if ranked else None
         self.second = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = self.second.get_piece_size()
         self.a_strings = self.first.strings
@@ -101,7 +118,6 @@ class Pair:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The ids of each text by both tokenizers; none where either's bytes differ from a space and the text."""
-        known, pieces = self.first.known, self.first.pieces
         at = 0
         while at < len(texts):
             end, chars = at, 0
@@ -110,12 +126,17 @@ class Pair:
                 end += 1
             for text, second in zip(texts[at:end], self.second.encode(texts[at:end], num_threads=1)):
                 whole = " " + text
-                first = np.frombuffer(b"".join(map(known.__getitem__, pieces(whole))), np.int32) if text else ()
+                first = self._first(whole) if text else ()
                 data = whole.encode()
                 same = text and b"".join(map(self.b_strings.__getitem__, second)) == data and b"".join(map(self.a_strings.__getitem__, first.tolist())) == data
                 yield (first.astype(self.kinds[0]), np.array(second, self.kinds[1])) if same else (np.empty(0, self.kinds[0]), np.empty(0, self.kinds[1]))
             at = end
 
+    def _first(self, text: str) -> np.ndarray:
+        if self.ranked is None or len(text) >= STRETCH and STRETCHES.search(text):
+            return np.frombuffer(b"".join(map(self.first.known.__getitem__, self.first.pieces(text))), np.int32)
+        return np.array(self.ranked.encode_ordinary(text), np.int32)
+
     def align(self, a: np.ndarray, b: np.ndarray) -> Alignment:
         """The alignment of the ids of one text or several, one after the other."""
         return align(np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]))
@@ -170,7 +191,7 @@ def _share(docs: DataFrame, vocab: str | None, pieces: str | None) -> _Shared:
         model = f.read()
     if len(spec) + len(model) > MAX_MODEL_BYTES:
         raise ValueError(f"vocabulary files over {MAX_MODEL_BYTES} bytes")
-    held = docs.sparkSession.sparkContext.broadcast((spec, model))
+    held = docs.sparkSession.sparkContext.broadcast((spec, model, by_ranks(bpe.loaded(spec))))
     return _Shared(held._jbroadcast.id(), held)
 
 

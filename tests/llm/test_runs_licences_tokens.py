@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import re
 import zlib
 
@@ -266,6 +267,29 @@ def test_op13(spark, texts, tokenizers, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in rows} == want and len(rows) == len(want)
 
 
+def test_first_tokens_equal_the_library(tokenizers):
+    """Every code point between others, stretches too long for the fast path, and special tokens' strings."""
+    shared = [open(bpe.default_vocab(), encoding="utf-8").read(), open(token_alignment.default_pieces(), "rb").read()]
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(f"a{c}b 1{c} {c}x{c}{c}\n{c}'s" for c in points[i : i + 200]) for i in range(0, 0x30000, 200)]
+    texts += ["x" * 30_000 + " y", " " * 30_000 + "z", "<|endoftext|> <|endoftext|>", "don't we'll I'VE", "\r\n\r\n  \t x"]
+    want = [e.ids for e in tokenizers[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    pair = token_alignment.Pair(*shared, True)
+    assert token_alignment.by_ranks(pair.first)
+    assert [pair._first(" " + t).tolist() for t in texts] == want
+    slow = token_alignment.Pair(*shared, False)
+    assert [slow._first(" " + t).tolist() for t in (*texts[::20], *texts[-5:])] == [*want[::20], *want[-5:]]
+
+
+def test_merges_that_ranks_do_not_give_are_noticed():
+    letters = bpe.byte_letters()
+    vocab = {c: i for i, c in enumerate(letters)} | {"ab": 256, "bc": 257, "abc": 258}
+    spec = lambda merges: '{"model": {"vocab": ' + json.dumps(vocab) + ', "merges": ' + json.dumps(merges) + "}}"
+    assert token_alignment.by_ranks(bpe.ByteBPE(spec(["a b", "b c", "ab c"])))
+    assert not token_alignment.by_ranks(bpe.ByteBPE(spec(["a b", "b c", "a bc"])))
+    assert not token_alignment.by_ranks(bpe.ByteBPE(spec(["b c", "a b", "a bc"])))
+
+
 def test_alignment_of_odd_texts(spark, docs, none, tokenizers, monkeypatch):
     monkeypatch.setattr(token_alignment, "CHUNK_TOKENS", 40)
     odd = ["▁", "a▁b", "<s> </s> <unk> <0x41>", "<|endoftext|>", "日本語\U0001f600‍", " lead", "trail  ", "\x00\x01", "é ﬁ", "\t\n", "İ", "x" * 400, "　wide", "12 345 6"]
