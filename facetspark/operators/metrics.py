@@ -87,3 +87,42 @@ def binary_scores(scored: DataFrame) -> DataFrame:
     return by.withColumn("wins", F.col("p") * (lower + F.col("n") / 2)).agg(
         F.sum("p").alias("positives"), F.sum("n").alias("negatives"), (F.sum("wins") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("roc_auc")
     )
+
+
+def first_unused(verdicts: DataFrame) -> DataFrame:
+    """(qid, cand, ref) of matches made one candidate after the other, each with the first reference that equals it and is still free.
+
+    verdicts (qid, cand, ref) are the pairs judged equal, by position. In the order of candidate, then reference, a pair is a
+    match if neither has been matched before; one pass over a question's pairs, which are a bounded list.
+    """
+    taken = F.struct(F.array().cast("array<long>").alias("cand"), F.array().cast("array<long>").alias("ref"))
+    free = lambda s, x: ~F.array_contains(s["ref"], x["ref"]) & ~F.array_contains(s["cand"], x["cand"])
+    more = lambda s, x: F.struct(F.concat(s["cand"], F.array(x["cand"])).alias("cand"), F.concat(s["ref"], F.array(x["ref"])).alias("ref"))
+    listed = verdicts.groupBy("qid").agg(F.sort_array(F.collect_set(F.struct(F.col("cand").cast("long").alias("cand"), F.col("ref").cast("long").alias("ref")))).alias("p"))
+    made = listed.select("qid", F.aggregate("p", taken, lambda s, x: F.when(free(s, x), more(s, x)).otherwise(s)).alias("m"))
+    return made.select("qid", F.explode(F.arrays_zip("m.cand", "m.ref")).alias("m")).select("qid", "m.cand", "m.ref")
+
+
+def event_order(references: DataFrame, candidates: DataFrame, matches: DataFrame) -> DataFrame:
+    """(qid, precision, recall, f1, tau_norm, final_score) of ordered events: references (qid, ref, text), candidates (qid, cand, text), matches (qid, cand, ref).
+
+    A matched candidate reads as its reference, the others as they stand. Precision counts candidates that read as no reference,
+    recall references that no candidate reads as. The order is compared by Kendall's tau-b over all different
+    texts: a text's rank in a list is its last position there, one more than their number where it is missing. tau_norm
+    (from 0 to 1) and the final score, its product with f1, are null where tau is undefined. Questions are those with references.
+    """
+    named = matches.join(references.select("qid", "ref", F.col("text").alias("as")), ["qid", "ref"]).select("qid", "cand", "as")
+    read = candidates.join(named, ["qid", "cand"], "left").select("qid", "cand", F.coalesce("as", "text").alias("text"))
+    in_order = lambda df, at, out: df.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct(at, "text"))), lambda x: x["text"]).alias(out))
+    both = in_order(references, "ref", "r").join(in_order(read, "cand", "c"), "qid", "left").withColumn("c", F.coalesce("c", F.array().cast("array<string>")))
+    hits = F.size(F.array_intersect("r", "c"))
+    wrong, missed = F.size(F.filter("c", lambda x: ~F.array_contains("r", x))), F.size(F.filter("r", lambda x: ~F.array_contains("c", x)))
+    ratio = lambda a, b: F.when(a + b > 0, a / (a + b)).otherwise(0.0)
+    scored = both.withColumn("precision", ratio(hits, wrong)).withColumn("recall", ratio(hits, missed))
+    scored = scored.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+    items = scored.select("qid", "r", "c", F.posexplode(F.array_distinct(F.concat("r", "c"))).alias("i", "text"), F.size(F.array_distinct(F.concat("r", "c"))).alias("n"))
+    last = lambda xs: F.size(xs) + 1 - F.array_position(F.reverse(xs), F.col("text"))
+    rank = lambda xs: F.when(F.array_contains(xs, F.col("text")), last(xs)).otherwise(F.col("n") + 1)
+    tau = kendall_tau_b(items.select("qid", "i", rank("r").alias("x"), rank("c").alias("y")), "qid", "x", "y", "i")
+    out = scored.join(tau, "qid", "left").withColumn("tau_norm", (F.col("tau") + 1) / 2)
+    return out.select("qid", "precision", "recall", "f1", "tau_norm", (F.col("tau_norm") * F.col("f1")).alias("final_score"))

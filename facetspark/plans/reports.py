@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from facetspark.functions import dates, text as T
-from facetspark.operators import context, coverage, gate, graph, reports, select, similarity, stats
+from facetspark.operators import communities, context, coverage, gate, graph, reports, select, similarity, stats
 from facetspark.plans.common import Register, table
 from facetspark.plans.retrieval import _search, _vectors, contained, sim_sql
 from facetspark.plans.texts import NORM, PHRASES_SQL, PRUNED_SQL, _content, _occurrences, _weighted
@@ -298,9 +298,9 @@ def j13_shared_entity_pairs(spark, sf_dir):
 
 @query()
 def g11_document_communities(spark, sf_dir):
-    """Communities of turns by the things they share, by weighted label propagation."""
+    """Communities of turns by the things they share, by modularity."""
     pairs = graph.shared_entity_pairs(_occurrences(spark, sf_dir).select(F.col("phrase").alias("entity"), F.col("unit").alias("doc")))
-    return graph.label_propagation(pairs.where("weight >= 2"), rounds=4)
+    return communities.modularity_communities(pairs.where("weight >= 2"))
 
 
 @query(f"""WITH {PHRASES_SQL}, {PRUNED_SQL}, e AS (SELECT 'unit:' || unit AS src, 'mentions' AS kind, 'phrase:' || phrase AS dst FROM occ UNION ALL SELECT 'phrase:' || a, 'near', 'phrase:' || b FROM pruned UNION ALL SELECT 'unit:' || conv_id * 1000 + turn, 'said_by', 'role:' || role FROM conversations)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from facetspark.functions import text as T
-from facetspark.operators import context, graph, metrics, units
+from facetspark.operators import communities, context, graph, metrics, units
 
 QUERIES, ORACLES = {}, {}
 
@@ -273,7 +273,8 @@ def p17_pruned_graph(spark, sf_dir):
 
 @query()
 def g10_phrase_communities(spark, sf_dir):
-    return graph.label_propagation(graph.prune(_weighted(spark, sf_dir)), rounds=5)
+    """Communities of the pruned graph by modularity."""
+    return communities.modularity_communities(graph.prune(_weighted(spark, sf_dir)))
 
 
 @query("""WITH t AS (SELECT lang, source, count(*) AS c FROM documents GROUP BY ALL), p AS (SELECT *, c / sum(c) OVER (PARTITION BY source) AS p FROM t)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,12 @@ def ensure_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     ensure_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again. For long loops: a checkpoint keeps statistics and constraints of the plan before
+    it, which grow from round to round; a table that is read has none."""
+    spark = df.sparkSession
+    path = f"{ensure_dir(spark).rstrip('/')}/facetspark/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
