@@ -28,13 +28,46 @@ def chat_time(text: Column) -> Column:
     return F.try_to_timestamp(F.upper(F.trim(text)), F.lit("h:mm a 'ON' d MMMM, yyyy"))
 
 
+# The names of months, by their first letters.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b\.?"
+_DAY, _YEAR = r"\b(\d{1,2})(?:st|nd|rd|th)?", r"((?:19|20)\d{2})\b"
+#: How a date may stand in a text, in the order in which the forms are tried, with the places of year, month and day in each; 0 where missing.
+FORMS = (
+    (rf"\b{_YEAR}[-/.](\d{{1,2}})[-/.](\d{{1,2}})(?!\d)", 1, 2, 3),
+    (rf"{_DAY}[\s,-]*(?:of\s+)?{_MONTH}[\s,-]*{_YEAR}", 3, 2, 1),
+    (rf"\b{_MONTH}[\s,-]*{_DAY}(?:\s*,\s*|\s+|-){_YEAR}", 3, 1, 2),
+    (rf"\b{_YEAR}[\s,-]+{_MONTH}[\s,-]*{_DAY}\b", 1, 2, 3),
+    (rf"\b(\d{{1,2}})[-/.](\d{{1,2}})[-/.]{_YEAR}", 3, 1, 2),
+    (rf"\b(\d{{1,2}})[-/.](\d{{1,2}})[-/.]{_YEAR}", 3, 2, 1),
+    (rf"\b{_MONTH}[\s,-]*(?:of\s+)?{_YEAR}", 2, 1, 0),
+    (rf"\b{_YEAR}[\s,-]*{_MONTH}", 1, 2, 0),
+    (rf"\b{_YEAR}[-/](\d{{1,2}})(?!\d)", 1, 2, 0),
+    (rf"\b(\d{{1,2}})[-/]{_YEAR}", 2, 1, 0),
+    (rf"\b{_YEAR}", 1, 0, 0),
+)
+
+
 def date_with_year(text: Column) -> Column:
-    """An ISO date, or a date of the form `8 May 2023` or `May 8, 2023`, if a year of 1900 to 2099 stands in the text."""
-    day_first = F.regexp_extract(text, r"(\d{1,2} [A-Z][a-z]{2,8},? \d{4})", 1)
-    month_first = F.regexp_extract(text, r"([A-Z][a-z]{2,8} \d{1,2},? \d{4})", 1)
-    parsed = lambda c, form: F.to_date(F.try_to_timestamp(F.replace(c, F.lit(","), F.lit("")), F.lit(form)))
-    found = F.coalesce(F.to_date(F.try_to_timestamp(iso_date(text), F.lit("yyyy-MM-dd"))), parsed(day_first, "d MMMM yyyy"), parsed(month_first, "MMMM d yyyy"))
-    return F.when(text.rlike(YEAR), found)
+    """The first date in running text that names a year of 1900 to 2099; null without such a year.
+
+    Forms are tried from the fullest to the barest: 2023-05-08, 2023/05/08, 8 May 2023, 8th of May, 2023, Sept 3, 2021,
+    05/08/2023 (month first; day first where that is no date), May 2023, 2023-05, 05/2023, in 2021. A missing month or day is the
+    first. What is no date, as 31 February, doesn't count, and barer forms are tried.
+    """
+    lower = F.lower(text)
+    number = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])
+
+    def date(pattern: str, year: int, month: int, day: int) -> Column:
+        get = lambda i: F.regexp_extract(lower, pattern, i)
+        y = get(year).try_cast("int")
+        m = F.coalesce(get(month).try_cast("int"), F.try_element_at(number, F.substring(get(month), 1, 3))) if month else F.lit(1)
+        d = get(day).try_cast("int") if day else F.lit(1)
+        # a day beyond its month comes out in another month, so the parts are compared afterwards
+        made = F.date_add(F.add_months(F.lit("1900-01-01").cast("date"), (y - 1900) * 12 + m - 1), d - 1)
+        return F.when((m >= 1) & (m <= 12) & (d >= 1) & (F.month(made) == m), made)
+
+    return F.when(text.rlike(YEAR), F.coalesce(*[date(*form) for form in FORMS]))
 
 
 def asks_for_history(question: Column) -> Column:

@@ -179,3 +179,11 @@ def cut_to_tokens(words: Column, limit: int, count=lambda w: F.size(F.regexp_ext
         return F.struct(used.alias("used"), (s["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
 
     return F.aggregate(words, start, step, lambda s: s["n"])
+
+
+def repair_json_escapes(text: Column) -> Column:
+    """Backslashes that begin no JSON escape doubled, read from left to right, so that they stand for themselves; one at the very end stays.
+
+    Each match runs, without going back, over characters and whole escapes up to the next backslash that begins none.
+    """
+    return F.regexp_replace(text, r"""\G([^\\]*+(?:\\["\\/bfnrtu][^\\]*+)*+)\\(?!\z)""", r"$1\\\\")

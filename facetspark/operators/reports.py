@@ -33,6 +33,13 @@ def rubric_score(reply: Column) -> Column:
     return F.when(score.isin(0.0, 0.5, 1.0), score)
 
 
+def recovered_rubric(reply: Column) -> Column:
+    """(score, recovered): the rubric score of a reply, or where it has none that of the reply with its illegal escapes made literal."""
+    repaired = T.repair_json_escapes(reply)
+    direct, again = rubric_score(reply), F.when(repaired != reply, rubric_score(repaired))
+    return F.struct(F.coalesce(direct, again).alias("score"), (direct.isNull() & again.isNotNull()).alias("recovered"))
+
+
 def rubric_mean(judgements: DataFrame, key: str, expected: str) -> DataFrame:
     """(key, rubric): the mean of the scores where all expected items have a valid one; else null."""
     agg = judgements.groupBy(key).agg(F.count("score").alias("n"), F.count("*").alias("rows"), F.max(expected).alias("want"), F.sum("score").alias("total"))

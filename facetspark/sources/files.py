@@ -8,7 +8,7 @@ import io
 import tarfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F, types as T
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -76,6 +76,33 @@ def write_dataset(corpus: DataFrame, questions: DataFrame, path: str) -> DataFra
     return corpus.sparkSession.read.schema("name string, rows long, digest string").json(f"{path}/manifest.json")
 
 
+def write_committed(tables: dict[str, DataFrame], path: str, keys: dict[str, list[str]] | None = None) -> DataFrame:
+    """Write named tables as Parquet, by the given key columns, and a manifest (name, rows, digest) of all of them last; returns the manifest.
+
+    Rows and an order-free digest are observed while a table is written, so it is computed and read once. What reads the folder
+    goes by the manifest (`read_committed`): an attempt that fails leaves none, and its files are overwritten by the next.
+    """
+    spark, told = next(iter(tables.values())).sparkSession, []
+    manifest = f"{path}/manifest.json"
+    spark.createDataFrame([], "name string, rows long, digest string").write.mode("overwrite").json(manifest)
+    for name, df in tables.items():
+        seen = Observation(name)
+        digest = F.sum(F.xxhash64(F.struct(*df.columns)).cast("decimal(38,0)")).cast("string").alias("digest")
+        writer = df.observe(seen, F.count(F.lit(1)).alias("rows"), digest).write.mode("overwrite")
+        writer.partitionBy(*(keys or {}).get(name, [])).parquet(f"{path}/{name}.parquet")
+        told.append((name, seen.get["rows"], seen.get["digest"]))
+    spark.createDataFrame(told, "name string, rows long, digest string").coalesce(1).write.mode("overwrite").json(manifest)
+    return spark.read.schema("name string, rows long, digest string").json(manifest)
+
+
+def read_committed(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of a folder whose manifest names it; a folder without one raises."""
+    listed = spark.read.schema("name string, rows long, digest string").json(f"{path}/manifest.json")
+    if listed.where(F.col("name") == name).isEmpty():
+        raise ValueError(f"{path} holds no committed table {name}")
+    return spark.read.parquet(f"{path}/{name}.parquet")
+
+
 MAIL = "archive string, path string, custodian string, folder string, date string, sender string, recipients string, subject string, body string"
 
 
