@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from facetspark.llm.words import BASE, U, mix, word_hashes
+from facetspark.llm.words import BASE, U, mix, new_key, word_hashes
 
 SEED_WORDS = 4
 #: Of an item's seeds those stay that are among its rarest share, or in at most this share of the documents.
@@ -43,9 +43,9 @@ def seeds_of(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Items:
     """A block of benchmark items: word hashes, and the seeds as a sorted table of (seed, item, place)."""
 
-    def __init__(self, rows: list[tuple], seed_words: int):
-        self.ids = [i for i, _ in rows]
-        self.words = [word_hashes(text) for _, text in rows]
+    def __init__(self, rows: list[tuple], seed_words: int, key: int = 0):
+        self.ids, self.key = [i for i, _ in rows], key
+        self.words = [word_hashes(text, key) for _, text in rows]
         self.n = seed_words
         seeds, items, places = [], [], []
         for k, w in enumerate(self.words):
@@ -128,7 +128,7 @@ def _hits(texts: list, items: Items, threshold: float, least_words: int) -> dict
     """Best (score, from, to) for each (row, item) that reaches the threshold."""
     todo, words = [], {}
     for row, text in enumerate(texts):
-        w = word_hashes(text)
+        w = word_hashes(text, items.key)
         if found := _candidates(w, items):
             words[row] = w
             todo += [(row, *x) for x in found]
@@ -161,6 +161,8 @@ def decontaminate(
     and passage (match 2, mismatch and gap -1) is scored as a share of a perfect one. Copies with up to
     about a third of their words changed reach the default of 0.4.
 
+    Words are hashed under a secret key of the run, so that nobody can write words that count as an item's but are others.
+
     Documents are scanned where they lie, twice for each block of the benchmark (BLOCK_BYTES of text), and
     nothing is shuffled but one count for each seed and task.
 
@@ -175,10 +177,10 @@ def decontaminate(
     item_kind = tests.schema["_item"].dataType.simpleString()
     total = tests.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    found = []
+    found, key = [], new_key()
     for block in range(blocks):
         rows = [tuple(r) for r in tests.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == block).collect()]  # BLOCK_BYTES on average
-        items = Items(sorted(rows, key=repr), seed_words)
+        items = Items(sorted(rows, key=repr), seed_words, key)
         if not len(items.keys):
             continue
         plain = spark.sparkContext.broadcast(items)
@@ -189,7 +191,7 @@ def decontaminate(
             for batch in batches:
                 for text in batch.column(0):
                     seen[-1] += 1
-                    at, seed = known.found(word_hashes(text.as_py()))
+                    at, seed = known.found(word_hashes(text.as_py(), known.key))
                     if len(at):
                         seen[np.unique(seed)] += 1
             some = np.flatnonzero(seen)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from facetspark.llm.components import components
 from facetspark.llm.shared import cut, stash
-from facetspark.llm.words import BASE, U, mix, shingle_set, shingle_set_and_print
+from facetspark.llm.words import BASE, U, mix, new_key, shingle_set, shingle_set_and_print
 
 #: Bins of the signature, as a power of two, and bins in a band. A link at similarity 0.75 shares at least
 #: one of the 32 bands but for 5 cases in a million.
@@ -64,15 +64,15 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h
 
 
-def _signed(src: DataFrame) -> DataFrame:
-    """(_id, _text) -> id, n (set size), print (128-bit hash of the set), bands."""
+def _signed(src: DataFrame, key: int) -> DataFrame:
+    """(_id, _text) -> id, n (set size), print (128-bit hash of the set), bands. Bands are the same in every run; what decides is hashed under the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, prints, bands = [], [], []
             for text in batch.column(1):
-                s, told = shingle_set_and_print(text.as_py())
-                n.append(len(s))
+                s, size, told = shingle_set_and_print(text.as_py(), key)
+                n.append(size)
                 prints.append(told)
                 bands.append(band_keys(signature(s)).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
@@ -82,12 +82,12 @@ def _signed(src: DataFrame) -> DataFrame:
     return src.mapInArrow(run, f"id {src.schema['_id'].dataType.simpleString()}, n long, print binary, bands array<long>")
 
 
-def _sets(src: DataFrame) -> DataFrame:
-    """(_id, _text) -> id, n, s (the sorted 64-bit shingle hashes)."""
+def _sets(src: DataFrame, key: int) -> DataFrame:
+    """(_id, _text) -> id, n, s (the sorted 64-bit shingle hashes under the key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text.as_py()) for text in batch.column(1)]
+            sets = [shingle_set(text.as_py(), key=key) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "s"]
             )
@@ -199,6 +199,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are one shingle). Two are linked when 100 * intersection >= 75 * union. A component is named by its
     smallest id, which is the one kept.
 
+    Shingles are hashed under a secret key of the run, so that nobody can write texts whose different shingles agree; the bands
+    alone are not, so that every run has the same candidates.
+
     1. Equal sets fall together by a 128-bit hash of the set; the smallest id stands for them from here on.
     2. One-permutation MinHash with optimal densification gives 128 bins, in 32 bands of 4. Members of a
        band's bucket are paired with one member alone (a star), so a bucket of m gives m - 1 pairs, which
@@ -213,7 +216,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are marked alike. An empty table gives no rows. Only the two named columns are read.
     """
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    signed = stash(_signed(src), "near-signed")
+    key = new_key()
+    signed = stash(_signed(src, key), "near-signed")
     known = signed.where("print IS NOT NULL AND id IS NOT NULL")
     classes = cut(known.groupBy("print").agg(F.min(F.struct("id", "n", "bands")).alias("r"), F.count("*").alias("copies")))
     reps = classes.select("r.*")
@@ -222,7 +226,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     member = stash(rows.join(full, "key"), "near-members")
     ids = cut(member.groupBy("id").agg(F.sum("c").alias("near")))
     member = cut(member.join(ids, "id").select("key", "id", "n", F.struct((-F.col("near")).alias("fewer"), "id").alias("rank")))
-    sets = stash(_sets(src.join(ids, src["_id"] == ids["id"], "left_semi")), "near-sets")
+    sets = stash(_sets(src.join(ids, src["_id"] == ids["id"], "left_semi"), key), "near-sets")
     hubs = member.groupBy("key").agg(F.min_by(F.struct("id", "n"), "rank").alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
     far = (F.col("id") != F.col("hub")) & _sizes_fit(F.col("n"), F.col("hub_n"))
     pairs = cut(member.join(hubs, "key").where(far).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())

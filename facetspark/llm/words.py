@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import secrets
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -18,8 +19,6 @@ SHINGLE_WORDS = 5
 #: Longer words are hashed one by one.
 LONG = 64
 FENCE = np.ones(1, bool)
-#: Sets of fewer shingles are told apart by both hashes.
-SMALL_SET = 16
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -46,12 +45,17 @@ def _stretches(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def _of_block(block: bytes, lanes: int) -> np.ndarray:
-    """The first `lanes` hashes of each word, eight bytes at a time.
+def new_key() -> int:
+    """A secret key for one run. Who doesn't know it can't write words whose hashes agree; tasks get it with their code, so retries agree."""
+    return secrets.randbits(64)
+
+
+def _of_block(block: bytes, lanes: int, key: int) -> np.ndarray:
+    """The first `lanes` hashes of each word under a key, eight bytes at a time.
 
     A step adds eight bytes to what has been mixed so far and mixes again, so that words of one length up to eight bytes
     never collide, and longer ones have no structure (as a polynomial has) in which different words agree. Words over
-    LONG bytes are hashed by BLAKE2b.
+    LONG bytes are hashed by BLAKE2b. Under a secret key that holds for words made to collide too: the state is unknown.
     """
     data = np.frombuffer(block, np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate((FENCE, IS_BLANK[data], FENCE)).view(np.int8)))
@@ -61,7 +65,7 @@ def _of_block(block: bytes, lanes: int) -> np.ndarray:
     out = np.empty((lanes, len(starts)), U)
     first = eight[starts] & MASKS[np.minimum(size, 8)]
     for k in range(lanes):
-        out[k] = mix((mix(size.astype(U) * U(ODD[k]) + U(SEEDS[k])) ^ first) * U(ODD[k]))
+        out[k] = mix((mix(size.astype(U) * U(ODD[k]) + U(SEEDS[k] ^ key)) ^ first) * U(ODD[k]))
     live = np.flatnonzero(size > 8)
     for step in range(8, LONG, 8):
         if not len(live):
@@ -71,21 +75,21 @@ def _of_block(block: bytes, lanes: int) -> np.ndarray:
             out[k, live] = mix((out[k, live] ^ part) * U(ODD[k]))
         live = live[size[live] > step + 8]
     for i in live.tolist():
-        out[:, i] = np.frombuffer(blake2b(block[starts[i] : ends[i]], digest_size=16).digest(), U)[:lanes]
+        out[:, i] = np.frombuffer(blake2b(block[starts[i] : ends[i]], digest_size=16, key=key.to_bytes(8, "little")).digest(), U)[:lanes]
     return out
 
 
-def word_digests(text: str | None, lanes: int = 2) -> np.ndarray:
+def word_digests(text: str | None, lanes: int = 2, key: int = 0) -> np.ndarray:
     """A row for each of up to two independent 64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, in order."""
     if not text:
         return np.empty((lanes, 0), U)
-    parts = [_of_block(part, lanes) for part in _stretches(text.encode().lower())]
+    parts = [_of_block(part, lanes, key) for part in _stretches(text.encode().lower())]
     return parts[0] if len(parts) == 1 else np.concatenate(parts, axis=1)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(text: str | None, key: int = 0) -> np.ndarray:
     """The first of the two hashes of each word."""
-    return word_digests(text, 1)[0]
+    return word_digests(text, 1, key)[0]
 
 
 def chain(rows: np.ndarray, n: int) -> np.ndarray:
@@ -107,17 +111,12 @@ def _set_of(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngrams(words, min(n, len(words)))) if len(words) else np.empty(0, U)
 
 
-def shingle_set(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
+def shingle_set(text: str | None, n: int = SHINGLE_WORDS, key: int = 0) -> np.ndarray:
     """Sorted distinct hashes of the runs of n words; the whole sequence where there are fewer; none without words."""
-    return _set_of(word_hashes(text), n)
-
-
-def shingle_set_and_print(text: str | None, n: int = SHINGLE_WORDS) -> tuple[np.ndarray, bytes | None]:
-    """The shingle set, and a 128-bit digest of it. For small sets both hashes of the words go into it; larger ones would have to collide in many places at once."""
-    first = shingle_set(text, n)
-    if not len(first):
-        return first, None
-    told = first.tobytes()
-    if len(first) < SMALL_SET:
-        told += _set_of(word_digests(text)[1], n).tobytes()
-    return first, blake2b(told, digest_size=16).digest()
+    return _set_of(word_hashes(text, key), n)
+
+
+def shingle_set_and_print(text: str | None, key: int, n: int = SHINGLE_WORDS) -> tuple[np.ndarray, int, bytes | None]:
+    """The shingle set without a key, which is the same in every run; its size under the key; and a 128-bit digest of both sets, whatever their size."""
+    plain, keyed = shingle_set(text, n), shingle_set(text, n, key)
+    return plain, len(keyed), blake2b(keyed.tobytes() + plain.tobytes(), digest_size=16).digest() if len(plain) else None

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetspark.llm import components, exact_dedup, near_dedup, substring_dedup
+from facetspark.llm import components, decontam, exact_dedup, near_dedup, substring_dedup, words
 from facetspark.llm.suffixes import suffix_array
 
 SF = "/root/testdata/sf0.001"
@@ -202,3 +202,14 @@ def test_the_smallest_id_and_ids_that_are_strings(spark):
     named = d.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
     assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(named).collect()}["d5"] == f"d{low}"
     assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(named).collect()}["d5"] == f"d{low}"
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    """Two words whose hashes agree without a key: alone, among others, and against a benchmark item."""
+    a, b = "nwcxkydp)<w#=_[!", "collides,[;@:v1*"
+    assert words.word_hashes(a) == words.word_hashes(b) and words.word_hashes(a, 5) != words.word_hashes(b, 5)
+    rows = [(1, a), (2, b), (3, " ".join([a] * 12)), (4, " ".join([b] * 12)), *[(5 + k, " ".join(f"w{i} {x}" for i in range(12))) for k, x in enumerate((a, b))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_dedup(docs).collect()} == {(i, i) for i, _ in rows}
+    items = spark.createDataFrame([(9, " ".join([a] * 10))], "item_id long, text string")
+    assert [r.doc_id for r in decontam.decontaminate(docs, items).collect()] == [3]
