@@ -30,27 +30,32 @@ def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of 400-byte strings that stand elsewhere too. A null text counts as empty."""
     found = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from documents that aren't held out. A null id is neither held out nor learned from: held_out is null."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     found = langid.identify(_table(spark, sf_dir, "documents"), learn=~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document. Blank and null texts are linked with nothing."""
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
 
 
 def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity, threshold and verdict of every document under the model of trusted documents."""
     judged = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.withColumn("perplexity", F.round("perplexity", 6)).withColumn("threshold", F.round("threshold", 6))
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded text of every document. A null text counts as empty."""
     both = bpe.round_trip(_table(spark, sf_dir, "documents"))
     return both.select(
         "doc_id",
@@ -61,14 +66,17 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document under the law `rows`. A null text has size 16."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stays for every document, null texts counting as empty."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, quantiles and truncated totals of token counts for every context limit."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
