@@ -136,19 +136,19 @@ def q17_arms(spark, sf_dir):
     ranked = arms.run_arms(weights, hits, out, accepted)
     listed = ranked.groupBy("arm", "qid").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("rank", F.col("uid").cast("string").alias("uid")))).alias("l"))
     told = weights.select("arm", "qid", "shape", "depth").distinct()
-    return listed.join(told, ["arm", "qid"]).select("arm", "qid", "shape", long("depth"), "n", F.md5(F.array_join(F.transform("l", lambda r: r["uid"]), ",")).alias("ranking_md5"))
+    return listed.join(told, ["arm", "qid"]).select("arm", "qid", "shape", "depth", "n", F.md5(F.array_join(F.transform("l", lambda r: r["uid"]), ",")).alias("ranking_md5"))
 
 
 @query("""WITH RECURSIVE f AS (SELECT l_orderkey, l_linenumber AS variant, min(CASE WHEN l_quantity > 40 THEN l_partkey END) AS data, min(CASE WHEN l_linenumber > 1 AND l_quantity <= 40 THEN l_linenumber - 1 WHEN l_quantity > 30 AND l_quantity <= 40 THEN 2 END) AS reused_from FROM lineitem GROUP BY ALL),
 c AS (SELECT l_orderkey, variant, variant AS place, data, reused_from AS nxt, 0 AS steps FROM f UNION ALL SELECT c.l_orderkey, c.variant, c.nxt, f.data, f.reused_from, steps + 1 FROM c LEFT JOIN f ON f.l_orderkey = c.l_orderkey AND f.variant = c.nxt WHERE c.data IS NULL AND c.nxt IS NOT NULL AND steps < 20),
 l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, variant ORDER BY steps DESC) AS r FROM c)
-SELECT l_orderkey, variant, CASE WHEN data IS NOT NULL THEN place END AS source, data, CASE WHEN data IS NOT NULL THEN CASE WHEN steps = 0 THEN 'own' ELSE 'reused' END WHEN steps >= 20 THEN 'cycle' ELSE 'missing' END AS status FROM l WHERE r = 1""")
+SELECT l_orderkey, variant, CASE WHEN data IS NOT NULL THEN place END::VARCHAR AS source, data::VARCHAR AS data, CASE WHEN data IS NOT NULL THEN CASE WHEN steps = 0 THEN 'own' ELSE 'reused' END WHEN steps >= 20 THEN 'cycle' ELSE 'missing' END AS status FROM l WHERE r = 1""")
 def h28_reuse_chains(spark, sf_dir):
     """Lines of an order that stand for the one before, through chains of any length, with those that end nowhere and those that run in a circle."""
     n, q = F.col("l_linenumber"), F.col("l_quantity")
     to = F.when((n > 1) & (q <= 40), n - 1).when((q > 30) & (q <= 40), 2)
     files = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", n.alias("variant")).agg(F.min(F.when(q > 40, F.col("l_partkey"))).alias("data"), F.min(to).alias("reused_from"))
-    return chains.resolve_reuse(files, ["l_orderkey"]).select("l_orderkey", "variant", "source", "data", "status")
+    return chains.resolve_reuse(files, ["l_orderkey"]).select("l_orderkey", "variant", F.col("source").cast("string").alias("source"), F.col("data").cast("string").alias("data"), "status")
 
 
 @query(r"""WITH t AS (SELECT event_id, ts::DATE AS d FROM events), s AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'on ' || day(d) || 'th of ' || monthname(d) || ', ' || year(d) || ' at noon' WHEN 1 THEN 'seen ' || substr(monthname(d), 1, 3) || '. ' || day(d) || ', ' || year(d) WHEN 2 THEN strftime(d, '%Y/%m/%d') || ' 10:00'
