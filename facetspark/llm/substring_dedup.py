@@ -19,7 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from facetspark.llm.shared import stash
 from facetspark.llm.suffixes import suffix_array
@@ -100,14 +100,14 @@ def places(data: np.ndarray, window: int) -> np.ndarray:
 
 
 def digests(data: bytes, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the 128-bit digest of its core and a 64-bit one of its whole neighbourhood and the core's place in it."""
+    """For each place the 128-bit digests of its core, and of its whole neighbourhood with the core's place in it."""
     core, view = window - SPREAD + 1, memoryview(data)
     cores, around = [], []
     for p in at.tolist():
         left = p - SPREAD + 1 if p >= SPREAD else 0
         cores.append(blake2b(view[p : p + core], digest_size=16).digest())
-        around.append(blake2b(view[left : p + window], digest_size=8, salt=(p - left).to_bytes(2, "little")).digest())
-    return np.frombuffer(b"".join(cores), np.int64).reshape(-1, 2), np.frombuffer(b"".join(around), np.int64)
+        around.append(blake2b(view[left : p + window], digest_size=16, salt=(p - left).to_bytes(2, "little")).digest())
+    return np.frombuffer(b"".join(cores), np.int64).reshape(-1, 2), np.frombuffer(b"".join(around), np.int64).reshape(-1, 2)
 
 
 def repeats(groups: list[list[tuple[bytes, bytes]]]) -> list[list[int]]:
@@ -152,12 +152,12 @@ def _scan(rows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, out = 0, []
-            for key, text in zip(batch.column(0), batch.column(1)):
+            for *key, text in zip(*batch.columns):
                 text = text.as_py()
                 if text and len(text) * 4 >= window:
                     data = text.encode()
                     at = places(np.frombuffer(data, np.uint8), window)
-                    out.append((np.full(len(at), key.as_py(), np.int64), at, *digests(data, at, window)))
+                    out.append((*(np.full(len(at), k.as_py(), np.int64) for k in key), at, *digests(data, at, window)))
                     held += len(at)
                 if held > 100_000:
                     yield _members(out)
@@ -165,23 +165,31 @@ def _scan(rows: DataFrame, window: int) -> DataFrame:
             if out:
                 yield _members(out)
 
-    return rows.mapInArrow(run, "core long, more long, around long, key long, at int")
+    return rows.mapInArrow(run, "core long, more long, around long, around_more long, key long, key_more long, at int")
 
 
 def _members(out: list[tuple]) -> pa.RecordBatch:
-    key, at, core, around = (np.concatenate(x) for x in zip(*out))
-    columns = [np.ascontiguousarray(core[:, 0]), np.ascontiguousarray(core[:, 1]), around, key, at.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["core", "more", "around", "key", "at"])
+    key, key_more, at, core, around = (np.concatenate(x) for x in zip(*out))
+    columns = [np.ascontiguousarray(x) for x in (core[:, 0], core[:, 1], around[:, 0], around[:, 1], key, key_more, at.astype(np.int32))]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [*CORE, *AROUND, *KEY, "at"])
 
 
-#: The 128 bits of a core's digest.
-CORE = ["core", "more"]
-PIECE = "core long, more long, around long, kinds long, before binary, after binary"
+#: The 128 bits of a core's digest, of a neighbourhood's, and of a row's.
+CORE, AROUND, KEY = ["core", "more"], ["around", "around_more"], ["key", "key_more"]
+PIECE = "core long, more long, around long, around_more long, kinds long, before binary, after binary"
+
+
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """128 bits of id and text; the id's length keeps the two apart."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    told = F.concat(F.coalesce(F.length(F.col(id_col).cast("string")), F.lit(-1)).cast("string"), F.lit(":"), name, F.coalesce(F.col(text_col), F.lit("")))
+    half = lambda at: F.conv(F.substring(F.md5(told), at, 16), 16, -10).cast("long")
+    return [half(1).alias(KEY[0]), half(17).alias(KEY[1])]
 
 
 def _pieces(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The bytes before and after the wanted places."""
-    spots = wanted.groupBy("key").agg(F.collect_list(F.struct("core", "more", "around", "kinds", "at")).alias("spots"))
+    spots = wanted.groupBy(*KEY).agg(F.collect_list(F.struct(*CORE, *AROUND, "kinds", "at")).alias("spots"))
     core = window - SPREAD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,29 +199,29 @@ def _pieces(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 data = text.as_py().encode()
                 for x in spots.as_py():
                     p = x["at"]
-                    out.append((x["core"], x["more"], x["around"], x["kinds"], data[max(0, p - SPREAD + 1) : p], data[p + core : p + window]))
-            kinds = (*[pa.int64()] * 4, pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 6, kinds)], ["core", "more", "around", "kinds", "before", "after"])
+                    out.append((*(x[c] for c in (*CORE, *AROUND)), x["kinds"], data[max(0, p - SPREAD + 1) : p], data[p + core : p + window]))
+            kinds = (*[pa.int64()] * 5, pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 7, kinds)], [*CORE, *AROUND, "kinds", "before", "after"])
 
-    return rows.join(spots, "key").select("text", "spots").mapInArrow(run, PIECE)
+    return rows.join(spots, KEY).select("text", "spots").mapInArrow(run, PIECE)
 
 
 def _sorted_masks(pieces: DataFrame) -> DataFrame:
     """Masks from suffix arrays; all neighbourhoods of a core are in one task, and come in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[tuple[tuple[int, int], list[int]]] = []
+        names: list[tuple[tuple[int, int], list[tuple[int, int]]]] = []
         groups: list[list[tuple[bytes, bytes]]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             masks = repeats(groups)
-            rows = [(*c, a, m) for (c, arounds), ms in zip(names, masks) for a, m in zip(arounds, ms)]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [()] * 4)], ["core", "more", "around", "mask"])
+            rows = [(*c, *a, m) for (c, arounds), ms in zip(names, masks) for a, m in zip(arounds, ms)]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [()] * 5)], [*CORE, *AROUND, "mask"])
 
         for batch in batches:
-            for *core, around, _, before, after in zip(*(c.to_pylist() for c in batch.columns)):
-                core = tuple(core)
+            for *name, _, before, after in zip(*(c.to_pylist() for c in batch.columns)):
+                core, around = tuple(name[:2]), tuple(name[2:])
                 if not names or names[-1][0] != core:
                     if held > SORT_SYMBOLS:
                         yield flush()
@@ -226,21 +234,21 @@ def _sorted_masks(pieces: DataFrame) -> DataFrame:
         if names:
             yield flush()
 
-    return pieces.repartition(*CORE).sortWithinPartitions(*CORE, "around").mapInArrow(run, "core long, more long, around long, mask long")
+    return pieces.repartition(*CORE).sortWithinPartitions(*CORE, *AROUND).mapInArrow(run, "core long, more long, around long, around_more long, mask long")
 
 
 def _counted_masks(pieces: DataFrame) -> DataFrame:
     """Masks of hot cores: one row for each string, counted by a 128-bit hash."""
     steps = F.sequence(F.greatest(F.lit(0), F.lit(SPREAD - 1) - F.length("after")), F.length("before"))
     strings = pieces.where(F.length("before") + F.length("after") >= SPREAD - 1).select(
-        *CORE, "around", F.explode(steps).alias("j"), "before", "after"
+        *CORE, *AROUND, F.explode(steps).alias("j"), "before", "after"
     )
     head = F.substring("before", F.length("before") - F.col("j") + 1, F.col("j"))
     tail = F.substring("after", F.lit(1), F.lit(SPREAD - 1) - F.col("j"))
     # head and tail of strings with one j have fixed lengths
-    named = strings.select(*CORE, "around", "j", F.md5(F.concat(head, tail)).alias("s"))
+    named = strings.select(*CORE, *AROUND, "j", F.md5(F.concat(head, tail)).alias("s"))
     often = named.groupBy(*CORE, "j", "s").agg(F.count("*").alias("c")).where("c > 1")
-    return named.join(often, [*CORE, "j", "s"]).groupBy(*CORE, "around").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
+    return named.join(often, [*CORE, "j", "s"]).groupBy(*CORE, *AROUND).agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -253,28 +261,28 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     Cores that occur once are dropped after one exchange of hashes. A neighbourhood that occurs twice as a
     whole is all repeated. Others go through suffix arrays, a task for some cores at a time; a core with over
     `hot` different neighbourhoods is counted string by string instead, which needs no group in one task.
-    Cores are compared by 128-bit digests of their bytes, neighbourhoods of one core by 64-bit ones.
+    Cores and neighbourhoods are compared by 128-bit digests of their bytes.
 
-    Defined results: a null text is empty. Rows are told apart by a 64-bit hash of id and text, so null and
+    Defined results: a null text is empty. Rows are told apart by 128 bits of a hash of id and text, so null and
     repeated ids are rows like any other, and equal rows repeat each other. Texts shorter than the window are
     kept whole. An empty table gives no rows. Only the two named columns are read.
     """
     if window < 2 * SPREAD:
         raise ValueError(f"the window must have {2 * SPREAD} bytes at least")
     id_kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    members = _scan(rows.select("key", "text"), window)
+    rows = docs.select(*_row_key(id_col, text_col), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    members = _scan(rows.select(*KEY, "text"), window)
     twice = members.groupBy(*CORE).agg(F.count("*").alias("c")).where("c > 1").select(*CORE)
     members = stash(members.join(twice, CORE), "substring-members")
-    around = members.groupBy(*CORE, "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
-    around = stash(around.select(*CORE, "around", "n", "one.key", "one.at"), "substring-around")
+    around = members.groupBy(*CORE, *AROUND).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "at")).alias("one"))
+    around = stash(around.select(*CORE, *AROUND, "n", "one.*"), "substring-around")
     kinds = around.groupBy(*CORE).agg(F.count("*").alias("kinds")).where("kinds > 1")
-    pieces = stash(_pieces(rows.select("key", "text"), around.join(kinds, CORE), window), "substring-pieces")
+    pieces = stash(_pieces(rows.select(*KEY, "text"), around.join(kinds, CORE), window), "substring-pieces")
     masks = _sorted_masks(pieces.where(F.col("kinds") <= hot)).unionByName(_counted_masks(pieces.where(F.col("kinds") > hot)))
-    single = around.where("n = 1").select(*CORE, "around")
-    masks = masks.where("mask <> 0").join(single, [*CORE, "around"], "left_semi")
-    masks = masks.unionByName(around.where("n > 1").select(*CORE, "around", F.lit(ALL).cast("long").alias("mask")))
-    marks = members.join(masks, [*CORE, "around"]).groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
+    single = around.where("n = 1").select(*CORE, *AROUND)
+    masks = masks.where("mask <> 0").join(single, [*CORE, *AROUND], "left_semi")
+    masks = masks.unionByName(around.where("n > 1").select(*CORE, *AROUND, F.lit(ALL).cast("long").alias("mask")))
+    marks = members.join(masks, [*CORE, *AROUND]).groupBy(*KEY).agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +300,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["_id", "n_bytes", "spans", "kept"])
 
-    done = rows.join(marks, "key", "left").select("_id", "text", "marks")
+    done = rows.join(marks, KEY, "left").select("_id", "text", "marks")
     return done.mapInArrow(run, f"_id {id_kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("_id", id_col)
 
 

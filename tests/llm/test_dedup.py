@@ -213,3 +213,10 @@ def test_words_made_to_collide_are_told_apart(spark):
     assert {(r.doc_id, r.component_id) for r in near_dedup.near_dedup(docs).collect()} == {(i, i) for i, _ in rows}
     items = spark.createDataFrame([(9, " ".join([a] * 10))], "item_id long, text string")
     assert [r.doc_id for r in decontam.decontaminate(docs, items).collect()] == [3]
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    rows = [(None, "a"), ("", "a"), ("a", ""), ("1", ":a"), ("1:", "a"), (None, None), ("", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    keys = {tuple(r) for r in df.select(*substring_dedup._row_key("doc_id", "text")).collect()}
+    assert len(keys) == len(rows) and len({k for k, _ in keys}) == len({k for _, k in keys}) == len(rows)
