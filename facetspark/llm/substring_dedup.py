@@ -99,15 +99,19 @@ def places(data: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def digests(data: bytes, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the 128-bit digests of its core, and of its whole neighbourhood with the core's place in it."""
+def digests(data: bytes, at: np.ndarray, window: int) -> np.ndarray:
+    """For each place the 128-bit digest of its core, as two numbers."""
     core, view = window - SPREAD + 1, memoryview(data)
-    cores, around = [], []
+    return np.frombuffer(b"".join([blake2b(view[p : p + core], digest_size=16).digest() for p in at.tolist()]), np.int64).reshape(-1, 2)
+
+
+def surroundings(data: bytes, at: np.ndarray, window: int) -> np.ndarray:
+    """For each place the 128-bit digest of its whole neighbourhood and the core's place in it."""
+    view, salts, parts = memoryview(data), [n.to_bytes(2, "little") for n in range(SPREAD)], []
     for p in at.tolist():
-        left = p - SPREAD + 1 if p >= SPREAD else 0
-        cores.append(blake2b(view[p : p + core], digest_size=16).digest())
-        around.append(blake2b(view[left : p + window], digest_size=16, salt=(p - left).to_bytes(2, "little")).digest())
-    return np.frombuffer(b"".join(cores), np.int64).reshape(-1, 2), np.frombuffer(b"".join(around), np.int64).reshape(-1, 2)
+        before = SPREAD - 1 if p >= SPREAD else p
+        parts.append(blake2b(view[p - before : p + window], digest_size=16, salt=salts[before]).digest())
+    return np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
 
 
 def repeats(groups: list[list[tuple[bytes, bytes]]]) -> list[list[int]]:
@@ -148,7 +152,9 @@ def repeats(groups: list[list[tuple[bytes, bytes]]]) -> list[list[int]]:
     return [[next(values) for _ in sides] for sides in groups]
 
 
-def _scan(rows: DataFrame, window: int) -> DataFrame:
+def _scan(rows: DataFrame, window: int, cores_only: bool = False) -> DataFrame:
+    """The places of every text: their cores, and, unless cores_only, their neighbourhoods, rows and offsets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, out = 0, []
@@ -157,7 +163,12 @@ def _scan(rows: DataFrame, window: int) -> DataFrame:
                 if text and len(text) * 4 >= window:
                     data = text.encode()
                     at = places(np.frombuffer(data, np.uint8), window)
-                    out.append((*(np.full(len(at), k.as_py(), np.int64) for k in key), at, *digests(data, at, window)))
+                    cores = digests(data, at, window)
+                    if cores_only:
+                        out.append((cores,))
+                    else:
+                        name = np.array([[k.as_py() for k in key]], np.int64)
+                        out.append((cores, surroundings(data, at, window), np.repeat(name, len(at), axis=0), at.reshape(-1, 1)))
                     held += len(at)
                 if held > 100_000:
                     yield _members(out)
@@ -165,13 +176,15 @@ def _scan(rows: DataFrame, window: int) -> DataFrame:
             if out:
                 yield _members(out)
 
-    return rows.mapInArrow(run, "core long, more long, around long, around_more long, key long, key_more long, at int")
+    names = CORE if cores_only else [*CORE, *AROUND, *KEY, "at"]
+    return rows.mapInArrow(run, ", ".join(f"{c} {'int' if c == 'at' else 'long'}" for c in names))
 
 
 def _members(out: list[tuple]) -> pa.RecordBatch:
-    key, key_more, at, core, around = (np.concatenate(x) for x in zip(*out))
-    columns = [np.ascontiguousarray(x) for x in (core[:, 0], core[:, 1], around[:, 0], around[:, 1], key, key_more, at.astype(np.int32))]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [*CORE, *AROUND, *KEY, "at"])
+    """Columns of the pieces of each place, in order; the offset, where there is one, is the last and shorter."""
+    columns = [np.ascontiguousarray(c) for block in map(np.concatenate, zip(*out)) for c in block.T]
+    names = [*CORE, *AROUND, *KEY, "at"][: len(columns)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "at" else pa.int64()) for n, c in zip(names, columns)], names)
 
 
 #: The 128 bits of a core's digest, of a neighbourhood's, and of a row's.
@@ -272,7 +285,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     id_kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(*_row_key(id_col, text_col), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     members = _scan(rows.select(*KEY, "text"), window)
-    twice = members.groupBy(*CORE).agg(F.count("*").alias("c")).where("c > 1").select(*CORE)
+    twice = _scan(rows.select("text"), window, cores_only=True).groupBy(*CORE).agg(F.count("*").alias("c")).where("c > 1").select(*CORE)
     members = stash(members.join(twice, CORE), "substring-members")
     around = members.groupBy(*CORE, *AROUND).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "at")).alias("one"))
     around = stash(around.select(*CORE, *AROUND, "n", "one.*"), "substring-around")
