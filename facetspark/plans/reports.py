@@ -154,7 +154,7 @@ def _cases(spark, sf_dir):
 
 @query(f"WITH {CASES_SQL} SELECT qid, bucket::INT AS bucket, decidable FROM bk")
 def e33_failure_buckets(spark, sf_dir):
-    """Why an answer is wrong, by the first rule that holds."""
+    """Why an answer is wrong, by the first rule that holds. The rules of each kind of corpus are in e34 and e35."""
     return _cases(spark, sf_dir).select("qid", "bucket", "decidable")
 
 
