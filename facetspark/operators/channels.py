@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+#: Phrases of an entity table that are broadcast.
+PHRASE_BYTES = 16_000_000
+
 
 def fold_first(ranking: DataFrame, owner: str, depth: int) -> DataFrame:
     """(qid, owner, score, via, rank): owners by first appearance in a ranking (qid, uid, score, rank), with the unit that brought them."""
@@ -49,14 +52,22 @@ def relation_channel(scored: list[DataFrame], sources: DataFrame, depth: int) ->
 def phrase_matches(questions: DataFrame, phrases: DataFrame) -> DataFrame:
     """(qid, key, phrase): for each entity key the longest of its phrases that stands in the question between word boundaries.
 
-    questions (qid, words), phrases (key, words); arrays of normalised words. Phrases meet questions by their first
-    word, and the rest is compared in place; so nothing is tested against every question.
+    questions (qid, words), phrases (key, words); arrays of normalised words, without blanks. Runs of as many words as any
+    phrase has (one number for each length comes to the driver) meet phrases as text, each different run of a question once: work is linear
+    in it, and a frequent word is no key. Phrases of PHRASE_BYTES at most are broadcast, so that only hits leave the scan.
     """
-    placed = questions.select("qid", F.posexplode("words").alias("at", "first"), "words")
-    listed = phrases.where(F.size("words") > 0).select("key", F.col("words").alias("phrase"), F.get("words", F.lit(0)).alias("first"))
-    found = placed.join(listed, "first").where(F.slice("words", F.col("at") + 1, F.size("phrase")) == F.col("phrase"))
-    text = found.select("qid", "key", F.array_join("phrase", " ").alias("phrase")).distinct()
-    best = text.groupBy("qid", "key").agg(F.min(F.struct((-F.length("phrase")).alias("n"), "phrase")).alias("b"))
+    listed = phrases.where(F.size("words") > 0).select("key", F.array_join("words", " ").alias("phrase"), F.size("words").alias("n"))
+    lengths = listed.groupBy("n").agg(F.sum(F.octet_length("phrase") + 64).alias("bytes")).collect()
+
+    def runs(n: int) -> Column:
+        run = lambda i: F.array_join(F.slice("words", i + 1, F.lit(n)), " ")
+        return F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), run)).otherwise(F.array().cast("array<string>"))
+
+    every = F.concat(*[runs(r["n"]) for r in sorted(lengths)]) if lengths else F.array().cast("array<string>")
+    placed = questions.select("qid", F.explode(F.array_distinct(every)).alias("phrase"))
+    small = sum(r["bytes"] for r in lengths) <= PHRASE_BYTES
+    found = placed.join(F.broadcast(listed) if small else listed, "phrase")
+    best = found.groupBy("qid", "key").agg(F.min(F.struct((-F.length("phrase")).alias("n"), "phrase")).alias("b"))
     return best.select("qid", "key", F.col("b.phrase").alias("phrase"))
 
 

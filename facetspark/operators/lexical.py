@@ -2,44 +2,61 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from facetspark.sources.scratch import cut
+from facetspark.sources.scratch import written
 
 #: Lucene's variant with the usual parameters; terms are runs of two or more word characters in lower case.
 K1, B = 1.5, 0.75
 TERM = r"\w\w+"
+#: Bytes of query terms that are broadcast at a time, and what a row of them takes beside the term.
+BLOCK_BYTES, ROW_BYTES = 16_000_000, 64
+#: Stands in every document's postings once; no term begins like this.
+EVERY = "\0"
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(qid, uid, score) for every document (uid, text) with a term of the query (qid, text); all scores are positive.
 
-    Only the queries' terms are counted in postings, so the postings join keeps what can score; document
-    lengths and frequencies cover the whole corpus. Repeated query terms count as often as they occur. Texts are
-    split once: each document adds a row of its own to the postings, from which lengths are averaged.
+    Document lengths and frequencies cover the whole corpus; repeated query terms count as often as they occur. Texts
+    are split once, and only the queries' terms leave the scan (with a row for each document, from which lengths are
+    averaged): the vocabulary is broadcast where it takes block_bytes at most, else terms are counted by document before they
+    meet it. Postings are dealt by document, so a query's scores are summed without another shuffle; queries meet them in blocks of about block_bytes.
     """
-    own = F.concat(F.lit("\0"), F.col("uid").cast("string"))  # no term begins like this, and no two documents share it
-    tokens = docs.where("text IS NOT NULL").select("uid", terms(F.col("text")).alias("t"))
-    rows = tokens.select("uid", F.size("t").alias("dl"), F.explode(F.concat("t", F.array(own))).alias("term"))
-    asked = queries.where("text IS NOT NULL").select("qid", F.explode(terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
-    kept = rows.join(wanted, "term", "left").where(F.col("wanted") | F.startswith("term", F.lit("\0")))
-    counted = cut(kept.groupBy("term", "uid", "dl").agg(F.count("*").alias("tf")))
-    stats = counted.where(F.startswith("term", F.lit("\0"))).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = counted.where(~F.startswith("term", F.lit("\0")))
+    split = queries.where("text IS NOT NULL").select("qid", F.explode(terms(F.col("text"))).alias("term"))
+    asked = written(split.groupBy("qid", "term").agg(F.count("*").alias("qtf")))
+    blocks = max(1, -(-asked.agg(F.coalesce(F.sum(F.octet_length("term") + ROW_BYTES), F.lit(0))).first()[0] // block_bytes))
+    wanted = asked.select("term").unionByName(asked.sparkSession.createDataFrame([(EVERY,)], "term string")).distinct()
+    tokens = docs.where("text IS NOT NULL").select("uid", F.concat(terms(F.col("text")), F.array(F.lit(EVERY))).alias("t"))
+    # the length is a column before the terms are exploded, or each term's row would carry all of them
+    rows = tokens.withColumn("dl", F.size("t") - 1).select("uid", "dl", F.explode("t").alias("term"))
+    if blocks == 1:
+        rows, wanted = rows.join(F.broadcast(wanted), "term", "left_semi"), None
+    counted = rows.groupBy("uid", "dl", "term").agg(F.count("*").alias("tf"))
+    if wanted is not None:
+        counted = counted.join(wanted, "term", "left_semi")
+    counted = written(counted)
+    stats = counted.where(F.col("term") == EVERY).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = counted.where(F.col("term") != EVERY)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("qid", "term", "avgdl", (F.col("qtf") * idf).alias("weight"))  # stats is one row
     part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", idf.alias("idf"))  # stats is one row
-    hits = postings.join(weighted, "term").join(asked, "term")
-    return hits.groupBy("qid", "uid").agg(F.sum(F.col("qtf") * F.col("idf") * part).alias("score"))
+    scored = []
+    for block in range(blocks):
+        some = weighted.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
+        scored.append(postings.repartition("uid").join(F.broadcast(some), "term").groupBy("qid", "uid").agg(F.sum(F.col("weight") * part).alias("score")))
+    return reduce(DataFrame.unionByName, scored)
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The best k documents of each query; ties (to nine places) by uid."""
-    w = W.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "uid")
-    return bm25(docs, queries).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    w = W.partitionBy("qid").orderBy(F.desc("_nine"), "uid")  # a column of its own: an expression is computed for each comparison
+    scored = bm25(docs, queries).withColumn("_nine", F.round("score", 9))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_nine")

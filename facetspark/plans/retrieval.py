@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from facetspark.functions import vectors
 from facetspark.operators import gate, lexical, metrics, select, similarity, stats
@@ -63,20 +65,38 @@ def e3_bm25_recall_of_contained_items(spark, sf_dir):
 
 
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(qid, uid) where the document's text contains the item's: an equi-join on inner word pairs, then the exact test.
+    """(qid, uid) where the document's text contains the item's: an equi-join on what must stand in both, then the exact test.
 
-    The item's second to fifth words stand whole in any text that contains it, so one hash of them for each
-    place of a document finds all candidates without comparing every pair. Shorter items are tested against all.
+    An item's inner words stand whole in any text that contains it, so a hash of the first one to four of them
+    finds all candidates among the runs of as many words. Items of one or two words meet texts by their
+    first three characters; what is shorter than that is tested against all, each different text once.
     """
-    key = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(4)])
+    key = lambda w, i, n: F.xxhash64(F.slice(w, i + 1, n))
     words = F.split("text", r"[ \n]+")
-    q = items.withColumn("w", words).where(F.size("w") >= 6).select("qid", F.col("text").alias("item"), key(F.col("w"), F.lit(1)).alias("k"))
-    d = docs.withColumn("w", words).where(F.size("w") >= 4)
-    places = d.select("uid", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: key(F.col("w"), i)))).alias("k"))
-    near = places.join(q, "k").select("uid", "qid", "item").join(docs, "uid").where(F.contains("text", "item"))
-    short = items.where(F.size(F.split("text", r"[ \n]+")) < 6).select("qid", F.col("text").alias("item"))
-    rest = docs.join(F.broadcast(short), F.contains("text", "item")).select("qid", "uid")
-    return near.select("qid", "uid").distinct().unionByName(rest)
+    asked = items.where("text IS NOT NULL").select("qid", F.col("text").alias("item"), words.alias("w")).withColumn("n", F.least(F.size("w") - 2, F.lit(4)))
+    d = docs.select("uid", words.alias("w"))
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: key(F.col("w"), i, F.lit(n)))
+
+    def among(keys: DataFrame, some: DataFrame) -> DataFrame:
+        near = keys.join(some, "k").select("uid", "qid", "item").distinct().join(docs, "uid").where(F.contains("text", "item"))
+        return near.select("qid", "uid").distinct()
+
+    out = []
+    for n in [r[0] for r in asked.select("n").distinct().collect()]:  # -1 to 4
+        some = asked.where(F.col("n") == n)
+        if n > 0:
+            places = d.where(F.size("w") >= n).select("uid", F.explode(F.array_distinct(runs(n))).alias("k"))
+            out.append(among(places, some.select("qid", "item", key(F.col("w"), F.lit(1), F.lit(n)).alias("k"))))
+            continue
+        start = F.substring("item", 1, 3)
+        long = docs.where(F.length("text") > 2).select("uid", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring("text", i, 3)))).alias("k"))
+        out.append(among(long, some.where(F.length("item") > 2).select("qid", "item", start.alias("k"))))
+        short = some.where(F.length("item") < 3)
+        every = short.select("item").distinct().join(docs, F.contains("text", "item")).select("item", "uid")
+        out.append(every.join(short, "item").select("qid", "uid").distinct())
+    return reduce(DataFrame.unionByName, out) if out else docs.crossJoin(items.select("qid").limit(0)).select("qid", "uid")
 
 
 def _vectors(spark, sf_dir, name="uid"):
