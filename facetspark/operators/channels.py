@@ -52,21 +52,28 @@ def relation_channel(scored: list[DataFrame], sources: DataFrame, depth: int) ->
 def phrase_matches(questions: DataFrame, phrases: DataFrame) -> DataFrame:
     """(qid, key, phrase): for each entity key the longest of its phrases that stands in the question between word boundaries.
 
-    questions (qid, words), phrases (key, words); arrays of normalised words, without blanks. Runs of as many words as any
-    phrase has (one number for each length comes to the driver) meet phrases as text, each different run of a question once: work is linear
-    in it, and a frequent word is no key. Phrases of PHRASE_BYTES at most are broadcast, so that only hits leave the scan.
+    questions (qid, words), phrases (key, words); arrays of normalised words, without blanks. Phrases of PHRASE_BYTES at most
+    are broadcast and meet each place of a question, which carries as many words as the longest phrase has, by its first word. More phrases
+    meet runs of as many words as any phrase has (one number for each length comes to the driver) as whole texts, so that a
+    frequent word is no key of a shuffle. Either way no row carries the question, and work is linear in its length.
     """
-    listed = phrases.where(F.size("words") > 0).select("key", F.array_join("words", " ").alias("phrase"), F.size("words").alias("n"))
-    lengths = listed.groupBy("n").agg(F.sum(F.octet_length("phrase") + 64).alias("bytes")).collect()
-
-    def runs(n: int) -> Column:
-        run = lambda i: F.array_join(F.slice("words", i + 1, F.lit(n)), " ")
-        return F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), run)).otherwise(F.array().cast("array<string>"))
-
-    every = F.concat(*[runs(r["n"]) for r in sorted(lengths)]) if lengths else F.array().cast("array<string>")
-    placed = questions.select("qid", F.explode(F.array_distinct(every)).alias("phrase"))
-    small = sum(r["bytes"] for r in lengths) <= PHRASE_BYTES
-    found = placed.join(F.broadcast(listed) if small else listed, "phrase")
+    listed = phrases.where(F.size("words") > 0).select("key", F.col("words").alias("phrase"), F.size("words").alias("n"))
+    lengths = listed.groupBy("n").agg(F.sum(F.octet_length(F.array_join("phrase", " ")) + 64 + 16 * F.col("n")).alias("bytes")).collect()
+    none = F.array().cast("array<array<string>>")
+
+    def runs(count: Column, n: int) -> Column:
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice("words", i + 1, F.lit(n)))).otherwise(none)
+
+    # explode_outer, as Spark puts a filter on the array's size below explode, which would build the runs twice
+    if sum(r["bytes"] for r in lengths) <= PHRASE_BYTES:
+        placed = questions.select("qid", F.explode_outer(runs(F.size("words"), max([r["n"] for r in lengths], default=1))).alias("run"))
+        known = F.broadcast(listed.withColumn("first", F.get("phrase", F.lit(0))))
+        found = placed.withColumn("first", F.get("run", F.lit(0))).join(known, "first").where(F.slice("run", F.lit(1), F.col("n")) == F.col("phrase"))
+        found = found.select("qid", "key", F.array_join("phrase", " ").alias("phrase"))
+    else:
+        every = F.concat(*[F.transform(runs(F.size("words") - r["n"] + 1, r["n"]), lambda run: F.array_join(run, " ")) for r in sorted(lengths)])
+        placed = questions.select("qid", F.explode_outer(F.array_distinct(every)).alias("phrase"))
+        found = placed.join(listed.withColumn("phrase", F.array_join("phrase", " ")), "phrase")
     best = found.groupBy("qid", "key").agg(F.min(F.struct((-F.length("phrase")).alias("n"), "phrase")).alias("b"))
     return best.select("qid", "key", F.col("b.phrase").alias("phrase"))
 

@@ -34,8 +34,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, bloc
     blocks = max(1, -(-asked.agg(F.coalesce(F.sum(F.octet_length("term") + ROW_BYTES), F.lit(0))).first()[0] // block_bytes))
     wanted = asked.select("term").unionByName(asked.sparkSession.createDataFrame([(EVERY,)], "term string")).distinct()
     tokens = docs.where("text IS NOT NULL").select("uid", F.concat(terms(F.col("text")), F.array(F.lit(EVERY))).alias("t"))
-    # the length is a column before the terms are exploded, or each term's row would carry all of them
-    rows = tokens.withColumn("dl", F.size("t") - 1).select("uid", "dl", F.explode("t").alias("term"))
+    # The length is a column before the terms are exploded, or each term's row would carry all of them. No array is empty; the outer
+    # form keeps Spark from a filter on the array's size below, which would split every text again.
+    rows = tokens.withColumn("dl", F.size("t") - 1).select("uid", "dl", F.explode_outer("t").alias("term"))
     if blocks == 1:
         rows, wanted = rows.join(F.broadcast(wanted), "term", "left_semi"), None
     counted = rows.groupBy("uid", "dl", "term").agg(F.count("*").alias("tf"))

@@ -87,11 +87,11 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     for n in [r[0] for r in asked.select("n").distinct().collect()]:  # -1 to 4
         some = asked.where(F.col("n") == n)
         if n > 0:
-            places = d.where(F.size("w") >= n).select("uid", F.explode(F.array_distinct(runs(n))).alias("k"))
+            places = d.where(F.size("w") >= n).select("uid", F.explode_outer(F.array_distinct(runs(n))).alias("k"))
             out.append(among(places, some.select("qid", "item", key(F.col("w"), F.lit(1), F.lit(n)).alias("k"))))
             continue
         start = F.substring("item", 1, 3)
-        long = docs.where(F.length("text") > 2).select("uid", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring("text", i, 3)))).alias("k"))
+        long = docs.where(F.length("text") > 2).select("uid", F.explode_outer(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring("text", i, 3)))).alias("k"))
         out.append(among(long, some.where(F.length("item") > 2).select("qid", "item", start.alias("k"))))
         short = some.where(F.length("item") < 3)
         every = short.select("item").distinct().join(docs, F.contains("text", "item")).select("item", "uid")

@@ -55,7 +55,7 @@ def test_phrases_of_every_length_are_found_in_long_texts(spark, monkeypatch):
     p = spark.createDataFrame([(k, list(w)) for k, w in phrases], "key string, words array<string>")
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
-        for size in (0, channels.PHRASE_BYTES):
+        for size in (1, channels.PHRASE_BYTES):
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
             monkeypatch.setattr(channels, "PHRASE_BYTES", size)
             got = rows(channels.phrase_matches(q, p))
