@@ -37,10 +37,10 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document, learned from documents that aren't held out. A null id is neither held out nor learned from: held_out is null."""
+    """The language of every document, learned from documents that aren't held out. A null id is neither held out nor learned from."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     found = langid.identify(_table(spark, sf_dir, "documents"), learn=~held_out)
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

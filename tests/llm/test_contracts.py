@@ -80,6 +80,13 @@ def test_op4(spark, texts):
     assert np.mean(held) > 0.9
 
 
+def test_op4_takes_a_null_id_as_not_held_out(spark, tmp_path):
+    rows = [(i, f"text {i} of letters", "en") for i in range(30)] + [(None, "text of letters", "xx"), (None, None, "xx")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r for r in queries.op4_language_id(spark, str(tmp_path)).collect() if r.doc_id is None]
+    assert sorted((r.held_out, r.lang_pred) for r in got) == [(False, "en"), (False, "und")]  # nothing is learned from them
+
+
 def test_languages_beyond_the_sample_are_learned(spark):
     rows = [(1, f"text {i % 7} of letters", "en") for i in range(60)] + [(i, f"wort {chr(97 + i % 26) * 5}", f"l{i}") for i in range(230)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
