@@ -147,3 +147,14 @@ def test_event_order_by_hand(spark):
     # question 2 reads q: ranks 1, 2, 3, 5 against 5, 5, 5, 1
     assert (got[2].precision, got[2].recall, got[2].f1, got[2].final_score) == (0, 0, 0, 0) and got[2].tau_norm == pytest.approx((1 - 3 / (6 * 3) ** 0.5) / 2)
     assert got[3].tau_norm is None and got[3].final_score is None
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_next_values_are_read_in_one_pass(spark):
+    asked, values = spark.range(0, 900, 7).select(F.col("id").alias("key")), spark.range(3, 800, 13).select(F.col("id").alias("v"))
+    got = order.next_value(asked, values)
+    assert "unboundedfollowing" not in plan_of(got).lower()
+    assert {r.key: r.to for r in got.collect()} == {k: min((v for v in range(3, 800, 13) if v >= k), default=None) for k in range(0, 900, 7)}
