@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from facetspark.operators.stats import exact_percentile
-from facetspark.sources.scratch import cut
+from facetspark.sources.scratch import cut, written
+
+
+def meet(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the input. Spark guesses sizes of exploded and grouped rows from the file they came from, so it
+    would take millions of pairs for a small table and broadcast them through the driver; both sides are shuffled instead."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def cooccurrence(occurrences: DataFrame) -> DataFrame:
@@ -41,9 +47,10 @@ def pmi(edges: DataFrame, freq: DataFrame) -> DataFrame:
 
     p(a, b) is an edge's share of all edges' counts, p(a) a phrase's share of all phrases' frequencies (phrase, f).
     """
+    edges = written(edges)  # used twice
     pairs, total = edges.agg(F.sum("n").alias("pairs")), freq.agg(F.sum("f").alias("total"))  # one row each
     fa, fb = freq.select(F.col("phrase").alias("a"), F.col("f").alias("fa")), freq.select(F.col("phrase").alias("b"), F.col("f").alias("fb"))
-    both = edges.join(fa, "a").join(fb, "b").crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(total))
+    both = meet(meet(edges, fa, "a"), fb, "b").crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(total))
     p = F.col("n") / F.col("pairs")
     return both.withColumn("weight", p * F.log2(p / (F.col("fa") / F.col("total") * F.col("fb") / F.col("total")))).drop("pairs", "total")
 
@@ -125,7 +132,7 @@ def shared_entity_pairs(mentions: DataFrame, least_docs: int = 2, most_docs: int
     docs = once.agg(F.countDistinct("doc").alias("docs"))
     many = once.groupBy("entity").agg(F.count("*").alias("n"))
     few = many.crossJoin(F.broadcast(docs)).where((F.col("n") >= least_docs) & (F.col("n") <= F.least(F.lit(most_docs), F.greatest(F.lit(2), F.floor(F.col("docs") / 2))))).select("entity")
-    return cooccurrence(once.join(few, "entity").select(F.col("entity").alias("unit"), F.col("doc").alias("phrase"))).withColumnRenamed("n", "weight")
+    return cooccurrence(meet(once, few, "entity").select(F.col("entity").alias("unit"), F.col("doc").alias("phrase"))).withColumnRenamed("n", "weight")
 
 
 def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
@@ -140,9 +147,10 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
 
 def topic_vectors(occurrences: DataFrame, unit_topics: DataFrame, prototypes: DataFrame) -> DataFrame:
     """(phrase, i, x): the mean of topics' prototypes (topic, i, x) by the probability mass (unit, topic, p) of the units a phrase stands in."""
-    mass = occurrences.join(unit_topics, "unit").groupBy("phrase", "topic").agg(F.sum("p").alias("p"))
+    mass = meet(occurrences, unit_topics, "unit").groupBy("phrase", "topic").agg(F.sum("p").alias("p"))
     total = mass.groupBy("phrase").agg(F.sum("p").alias("total"))
-    return mass.join(prototypes, "topic").groupBy("phrase", "i").agg(F.sum(F.col("p") * F.col("x")).alias("x")).join(total, "phrase").select("phrase", "i", (F.col("x") / F.col("total")).alias("x"))
+    summed = mass.join(prototypes, "topic").groupBy("phrase", "i").agg(F.sum(F.col("p") * F.col("x")).alias("x"))
+    return meet(summed, total, "phrase").select("phrase", "i", (F.col("x") / F.col("total")).alias("x"))
 
 
 def topic_factor(edges: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -152,16 +160,16 @@ def topic_factor(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     a, b = unit.select(F.col("phrase").alias("a"), F.col("v").alias("va")), unit.select(F.col("phrase").alias("b"), F.col("v").alias("vb"))
     dot = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda s, k: s + F.element_at("va", k) * F.coalesce(F.try_element_at("vb", k), F.lit(0.0)))
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))
-    return edges.join(a, "a", "left").join(b, "b", "left").withColumn("factor", 1 + F.coalesce(cosine, F.lit(0.0))).drop("va", "vb")
+    return meet(meet(edges, a, "a", "left"), b, "b", "left").withColumn("factor", 1 + F.coalesce(cosine, F.lit(0.0))).drop("va", "vb")
 
 
 def diagnostics(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """One row: communities, nodes, edges, the largest one's share, density, the share of edges inside, and the mean density inside those of two nodes and more."""
     m = membership.select("id", "community")
-    ends = edges.join(m.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(m.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
+    ends = meet(meet(edges, m.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a"), m.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
     total = ends.agg(F.count("*").alias("edges"), F.avg((F.col("ca") == F.col("cb")).cast("int")).alias("intra_share"))
     inside = ends.where("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.count("*").alias("inside"))
-    sizes = m.groupBy("community").agg(F.count("*").alias("size")).join(inside, "community", "left")
+    sizes = meet(m.groupBy("community").agg(F.count("*").alias("size")), inside, "community", "left")
     within = F.when(F.col("size") >= 2, F.coalesce("inside", F.lit(0)) / (F.col("size") * (F.col("size") - 1) / 2))
     of = sizes.agg(F.count("*").alias("communities"), F.sum("size").alias("nodes"), F.max("size").alias("largest"), F.avg(within).alias("within_density"))
     density = F.when(F.col("nodes") > 1, 2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)))

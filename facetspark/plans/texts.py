@@ -247,7 +247,7 @@ def _content(spark, sf_dir):
     """Occurrences of the phrases that the hub rule leaves, and their frequencies."""
     occ = _occurrences(spark, sf_dir)
     freq = graph.hub_rule(occ).where("NOT hub AND NOT pronoun").select("phrase", "f")
-    return occ.join(freq.select("phrase"), "phrase", "left_semi"), freq
+    return graph.meet(occ, freq.select("phrase"), "phrase", "left_semi"), freq
 
 
 def _weighted(spark, sf_dir):

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from facetspark.operators import communities, metrics, order, placebo
+from facetspark.operators import communities, graph, metrics, order, placebo
 
 
 def quality(edges, member):
@@ -153,6 +153,16 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_growing_tables_of_a_graph_are_not_broadcast(spark):
+    occ = spark.createDataFrame([(u, f"p{(u * 7 + i) % 23}") for u in range(40) for i in range(5)], "unit long, phrase string")
+    freq = occ.groupBy("phrase").agg(F.count("*").alias("f"))
+    edges = graph.pmi(graph.cooccurrence(occ), freq)
+    vectors = graph.topic_vectors(occ, occ.select("unit").distinct().selectExpr("unit", "unit % 2 AS topic", "1.0D AS p"), F.broadcast(spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0)], "topic long, i int, x double")))
+    member = freq.selectExpr("phrase AS id", "ascii(phrase) AS community")
+    for df, joins in ((edges, 0), (graph.topic_factor(edges, vectors), 2), (graph.diagnostics(edges, member), 0)):
+        assert plan_of(df).count("BroadcastHashJoin") <= joins  # topics alone are broadcast, for either end
+
+
 def test_next_values_are_read_in_one_pass(spark):
     asked, values = spark.range(0, 900, 7).select(F.col("id").alias("key")), spark.range(3, 800, 13).select(F.col("id").alias("v"))
     got = order.next_value(asked, values)
