@@ -136,13 +136,22 @@ def shared_entity_pairs(mentions: DataFrame, least_docs: int = 2, most_docs: int
 
 
 def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
-    """(qid, node): what can be reached from the seeds (qid, node) over edges (a, b), in either direction, in so many steps."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    reached = edge = seeds.select("qid", "node").distinct()
+    """(qid, node): what can be reached from the seeds (qid, node) over edges (a, b), in either direction, in so many steps.
+
+    What a question reaches is the union of what its seeds reach, so each seed is followed once, however many questions share it,
+    and only questions with several seeds need their nodes made distinct.
+    """
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    asked = written(seeds.select("qid", "node").distinct().withColumn("n", F.count("node").over(W.partitionBy("qid"))))
+    start = asked.where("node IS NOT NULL").select(F.col("node").alias("seed")).distinct()
+    reached = edge = written(start.select("seed", F.col("seed").alias("node")))
     for _ in range(hops):
-        edge = edge.join(both, F.col("node") == F.col("a")).select("qid", F.col("b").alias("node")).distinct()
-        reached = reached.unionByName(edge).distinct()
-    return reached
+        # written, as Spark would move the anti-join below the distinct and shuffle every path
+        step = written(meet(edge, both, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct())
+        edge = written(meet(step, reached, ["seed", "node"], "left_anti"))  # nodes reached before were followed then
+        reached = reached.unionByName(edge)
+    of = lambda some: meet(asked.where(some).withColumnRenamed("node", "seed"), reached, "seed").select("qid", "node")
+    return of("n = 1").unionByName(of("n > 1").distinct()).unionByName(asked.where("node IS NULL").select("qid", "node"))
 
 
 def topic_vectors(occurrences: DataFrame, unit_topics: DataFrame, prototypes: DataFrame) -> DataFrame:

@@ -163,6 +163,24 @@ def test_growing_tables_of_a_graph_are_not_broadcast(spark):
         assert plan_of(df).count("BroadcastHashJoin") <= joins  # topics alone are broadcast, for either end
 
 
+def test_two_hops_follow_a_shared_seed_once(spark, monkeypatch):
+    links = [(a, 100 + b) for a in range(12) for b in range(12) if (a * b + a) % 3 == 0]
+    seeds = [(q, q % 3) for q in range(300)] + [(0, None), (1, 7), (1, 7), (2, 999)]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set(seeds)
+    for q, n in seeds:
+        one = near.get(n, set())
+        want |= {(q, x) for x in one} | {(q, y) for x in one for y in near[x]}
+    sizes, real = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: sizes.append(df.count()) or real(df))
+    got = graph.expand(spark.createDataFrame(seeds, "qid long, node long"), spark.createDataFrame(links, "a long, b long"))
+    assert sorted(map(str, got.collect())) == sorted(f"Row(qid={q}, node={n})" for q, n in want)
+    assert max(sizes[2:]) <= 5 * 24  # four seeds with links and one without, whatever the number of questions
+
+
 def test_next_values_are_read_in_one_pass(spark):
     asked, values = spark.range(0, 900, 7).select(F.col("id").alias("key")), spark.range(3, 800, 13).select(F.col("id").alias("v"))
     got = order.next_value(asked, values)
