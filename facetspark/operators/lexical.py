@@ -13,6 +13,8 @@ K1, B = 1.5, 0.75
 TERM = r"\w\w+"
 #: Bytes of query terms that are broadcast at a time, and what a row of them takes beside the term.
 BLOCK_BYTES, ROW_BYTES = 16_000_000, 64
+#: Pairs of a posting and a query's term that a task sums up.
+TASK_PAIRS = 2_000_000
 #: Stands in every document's postings once; no term begins like this.
 EVERY = "\0"
 
@@ -28,6 +30,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, bloc
     are split once, and only the queries' terms leave the scan (with a row for each document, from which lengths are
     averaged): the vocabulary is broadcast where it takes block_bytes at most, else terms are counted by document before they
     meet it. Postings are dealt by document, so a query's scores are summed without another shuffle; queries meet them in blocks of about block_bytes.
+    A block takes as many tasks as its pairs of postings and query terms call for, as the size of the postings doesn't show them.
     """
     split = queries.where("text IS NOT NULL").select("qid", F.explode(terms(F.col("text"))).alias("term"))
     asked = written(split.groupBy("qid", "term").agg(F.count("*").alias("qtf")))
@@ -49,10 +52,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, bloc
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("qid", "term", "avgdl", (F.col("qtf") * idf).alias("weight"))  # stats is one row
     part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    block_of = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    pairs = {r["block"]: r["pairs"] for r in asked.join(df, "term").groupBy(block_of.alias("block")).agg(F.sum("df").alias("pairs")).collect()}
     scored = []
     for block in range(blocks):
-        some = weighted.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
-        scored.append(postings.repartition("uid").join(F.broadcast(some), "term").groupBy("qid", "uid").agg(F.sum(F.col("weight") * part).alias("score")))
+        some = weighted.where(block_of == block)
+        tasks = max(1, -(-pairs.get(block, 0) // TASK_PAIRS))
+        scored.append(postings.repartition(tasks, "uid").join(F.broadcast(some), "term").groupBy("qid", "uid").agg(F.sum(F.col("weight") * part).alias("score")))
     return reduce(DataFrame.unionByName, scored)
 
 

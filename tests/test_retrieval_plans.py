@@ -5,7 +5,10 @@ import random
 import re
 from collections import Counter
 
-from facetspark.operators import channels, lexical
+import numpy as np
+from pyspark.sql import functions as F
+
+from facetspark.operators import channels, coverage, lexical, similarity
 from facetspark.plans.retrieval import contained
 
 
@@ -73,3 +76,12 @@ def test_items_of_any_length_are_found_where_they_stand(spark):
     want = sorted({(q, u) for q, x in enumerate(items) for u, t in docs if x is not None and t is not None and x in t})
     assert sorted(rows(contained(d, i))) == want
     assert rows(contained(d, i.limit(0))) == [] and rows(contained(d.limit(0), i)) == []
+
+
+def test_bm25_takes_tasks_by_its_pairs(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"red blue w{i}") for i in range(60)], "uid long, text string")
+    asked = spark.createDataFrame([(q, "red blue") for q in range(20)], "qid long, text string")
+    whole = sorted(map(tuple, lexical.bm25(docs, asked).collect()))
+    monkeypatch.setattr(lexical, "TASK_PAIRS", 300)  # of 2 * 60 * 20
+    scored = lexical.bm25(docs, asked)
+    assert scored.rdd.getNumPartitions() == 8 and sorted(map(tuple, scored.collect())) == whole
