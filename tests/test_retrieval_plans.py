@@ -78,6 +78,24 @@ def test_items_of_any_length_are_found_where_they_stand(spark):
     assert rows(contained(d, i.limit(0))) == [] and rows(contained(d.limit(0), i)) == []
 
 
+def test_search_deals_pairs_over_tasks_and_keeps_the_best_of_each_group(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(400, 4)), 1)
+    x[200:260] = x[:60]  # ties
+    units = spark.createDataFrame([(i, [float(y) for y in v], f"g{i % 3}") for i, v in enumerate(x)], "uid long, vec array<double>, grp string")
+    asked = units.where("uid % 50 = 0").select(F.col("uid").alias("qid"), "vec")
+    monkeypatch.setattr(similarity, "PAIRS", 500)
+    scored = similarity.score_all(asked, units, 5, "grp")
+    assert scored.rdd.getNumPartitions() == 7  # 8 queries, 400 units
+    got = {}
+    for r in scored.collect():
+        got.setdefault((r.qid, r.uid % 3), []).append((-round(r.score, 9), r.uid))
+    for q in range(0, 400, 50):
+        for g in range(3):
+            assert sorted(got[q, g])[:5] == sorted((-round(float(x[q] @ x[i]), 9), i) for i in range(g, 400, 3))[:5]
+    assert similarity.score_all(asked, units).count() == 3200
+
+
 def test_bm25_takes_tasks_by_its_pairs(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"red blue w{i}") for i in range(60)], "uid long, text string")
     asked = spark.createDataFrame([(q, "red blue") for q in range(20)], "qid long, text string")
