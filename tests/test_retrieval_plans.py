@@ -96,6 +96,15 @@ def test_search_deals_pairs_over_tasks_and_keeps_the_best_of_each_group(spark, m
     assert similarity.score_all(asked, units).count() == 3200
 
 
+def test_group_channel_looks_up_scored_units_only(spark):
+    groups = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.8), (1, "c", 0.7), (1, "d", 0.6), (1, "none", 1.0), (2, "d", 0.1)], "qid long, grp string, score double")
+    members = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("d", 3), (None, 4), ("c", 5)], "grp string, uid long")
+    scores = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.6), (1, 3, 0.9), (1, 4, 0.9), (2, 3, 0.2), (2, 1, 0.3)], "qid long, uid long, score double")
+    got = coverage.group_channel(groups, members, scores)
+    assert sorted((r.qid, r.uid, r["rank"]) for r in got.collect()) == [(1, 1, 2), (1, 2, 1), (2, 3, 1)]
+    assert not re.search(r"Join \[grp#\w+\], \[grp#\w+\], Inner", got._jdf.queryExecution().executedPlan().toString())
+
+
 def test_bm25_takes_tasks_by_its_pairs(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"red blue w{i}") for i in range(60)], "uid long, text string")
     asked = spark.createDataFrame([(q, "red blue") for q in range(20)], "qid long, text string")
