@@ -112,3 +112,9 @@ def test_bm25_takes_tasks_by_its_pairs(spark, monkeypatch):
     monkeypatch.setattr(lexical, "TASK_PAIRS", 300)  # of 2 * 60 * 20
     scored = lexical.bm25(docs, asked)
     assert scored.rdd.getNumPartitions() == 8 and sorted(map(tuple, scored.collect())) == whole
+
+
+def test_null_and_empty_groups_are_two(spark):
+    units = spark.createDataFrame([(1, [1.0], None), (2, [2.0], ""), (3, [0.5], None), (4, [3.0], "x")], "uid long, vec array<double>, grp string")
+    got = similarity.score_all(spark.createDataFrame([(0, [1.0])], "qid long, vec array<double>"), units.coalesce(1), 1, "grp")
+    assert sorted(r.uid for r in got.collect()) == [1, 2, 4]
