@@ -82,6 +82,17 @@ def test_reuse_chains_equal_a_walk(spark):
     assert {v[2] for v in want.values()} == {"own", "reused", "missing", "cycle"}
 
 
+def test_reuse_rounds_follow_the_longest_chain_not_the_number_of_groups(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(chains, "written", lambda df, write=chains.written: rounds.append(1) or write(df))
+    rows = [(g, v, None if v or g % 2 else "d", v - 1 if v else 3 if g % 2 else None) for g in range(300) for v in range(4)]  # odd groups are circles
+    got = chains.resolve_reuse(spark.createDataFrame(rows, "g int, variant int, data string, reused_from int"), ["g"]).collect()
+    assert sorted({(r.g % 2, r.variant, r.source, r.data, r.status) for r in got}, key=str) == sorted(
+        {(g, v, None, None, "cycle") if g else (g, v, 0, "d", "reused" if v else "own") for g in range(2) for v in range(4)}, key=str
+    ) and len(got) == 1200
+    assert len(rounds) <= 4
+
+
 DATES = {
     "8 may 2023": "2023-05-08", "Sept 3, 2021": "2021-09-03", "2023/05/08": "2023-05-08", "May 2023": "2023-05-01", "in 2021": "2021-01-01",
     "1:56 pm on 8 May, 2023": "2023-05-08", "the 8th of May 2023": "2023-05-08", "2023-05-08T10:00": "2023-05-08", "05/08/2023": "2023-05-08", "23/05/2023": "2023-05-23",
