@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: A date, with a time of day where one follows.
@@ -48,6 +50,11 @@ FORMS = (
 )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for each row however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def date_with_year(text: Column) -> Column:
     """The first date in running text that names a year of 1900 to 2099; null without such a year.
 
@@ -58,16 +65,20 @@ def date_with_year(text: Column) -> Column:
     lower = F.lower(text)
     number = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])
 
-    def date(pattern: str, year: int, month: int, day: int) -> Column:
-        get = lambda i: F.regexp_extract(lower, pattern, i)
-        y = get(year).try_cast("int")
-        m = F.coalesce(get(month).try_cast("int"), F.try_element_at(number, F.substring(get(month), 1, 3))) if month else F.lit(1)
-        d = get(day).try_cast("int") if day else F.lit(1)
+    def date(low: Column, pattern: str, year: int, month: int, day: int) -> Column:
+        get = lambda i: F.regexp_extract(low, pattern, i)
+        named = lambda c: F.coalesce(c.try_cast("int"), F.try_element_at(number, F.substring(c, 1, 3)))
+        parts = F.struct(
+            get(year).try_cast("int").alias("y"), (bound(get(month), named) if month else F.lit(1)).alias("m"), (get(day).try_cast("int") if day else F.lit(1)).alias("d")
+        )
+        return F.when(low.rlike(pattern), bound(parts, made))
+
+    def made(p: Column) -> Column:
         # a day beyond its month comes out in another month, so the parts are compared afterwards
-        made = F.date_add(F.add_months(F.lit("1900-01-01").cast("date"), (y - 1900) * 12 + m - 1), d - 1)
-        return F.when((m >= 1) & (m <= 12) & (d >= 1) & (F.month(made) == m), made)
+        at = F.date_add(F.add_months(F.lit("1900-01-01").cast("date"), (p["y"] - 1900) * 12 + p["m"] - 1), p["d"] - 1)
+        return F.when((p["m"] >= 1) & (p["m"] <= 12) & (p["d"] >= 1), bound(at, lambda x: F.when(F.month(x) == p["m"], x)))
 
-    return F.when(text.rlike(YEAR), F.coalesce(*[date(*form) for form in FORMS]))
+    return F.when(text.rlike(YEAR), bound(F.lower(text), lambda low: F.coalesce(*[date(low, *form) for form in FORMS])))
 
 
 def asks_for_history(question: Column) -> Column:

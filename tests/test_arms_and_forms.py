@@ -107,6 +107,13 @@ def test_dates_in_running_text(spark):
     assert got == {**DATES, None: None} and isinstance(datetime.date.fromisoformat(DATES["in 2021"]), datetime.date)
 
 
+def test_a_date_is_searched_for_once_in_each_form(spark):
+    df = spark.createDataFrame([("in 2021",)], "t string").select(dates.date_with_year(F.col("t")).alias("d"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # three parts of a form at most, each read once
+    assert plan.count("regexp_extract(") == sum(1 + (m > 0) + (d > 0) for _, _, m, d in dates.FORMS) and plan.count("RLIKE") == len(dates.FORMS) + 1
+
+
 def repaired_by_hand(text):
     out, i = "", 0
     while i < len(text):
