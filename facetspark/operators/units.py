@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from facetspark.functions import text as T
 
+#: Shingles that are hashed at a time.
+BLOCK_SHINGLES = 2048
+
 
 def exploded(docs: DataFrame, spans: Column, id_col: str, out: str) -> DataFrame:
     """(id, pos from 0, span) for each span; documents without spans give none."""
@@ -81,19 +89,33 @@ def pack(docs: DataFrame, budget: int, id_col: str = "doc_id", text_col: str = "
 
 
 def minhash_groups(docs: DataFrame, permutations: int = 32, n: int = 5) -> DataFrame:
-    """(doc_id, signature): minima of `permutations` linear hashes over the distinct n-word shingles, as one string; shorter texts have none."""
-    words = T.words(F.lower("text"))
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))
-    hashed = docs.select("doc_id", words.alias("w")).where(F.size("w") >= n).select(
-        "doc_id", F.transform(shingles, lambda s: F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("long")).alias("h")
-    )
-    mod = 1 << 32
+    """(doc_id, signature): minima of `permutations` linear hashes over the n-word shingles, as one string; shorter texts have none.
 
-    def least(a: int) -> Column:
-        return F.array_min(F.transform("h", lambda h: (h * a) % mod))
-
-    minima = [least((i * 2654435761 + 1) % mod) for i in range(permutations)]
-    return hashed.select("doc_id", F.array_join(F.array(*[m.cast("string") for m in minima]), ",").alias("signature"))
+    White space is made regular by Spark; a task hashes a document's shingles once and takes all minima over blocks of them in numpy.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    factors = np.array([(i * 2654435761 + 1) % (1 << 32) for i in range(permutations)], np.uint32)[:, None]
+
+    def signature(said: str) -> str | None:
+        data = said.encode()
+        gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+        starts, ends = np.append(0, gaps + 1), np.append(gaps, len(data))
+        if not data or len(starts) < n:
+            return None
+        starts, ends, least = starts[: len(starts) - n + 1].tolist(), ends[n - 1 :].tolist(), np.full(permutations, (1 << 32) - 1, np.uint32)
+        for lo in range(0, len(starts), BLOCK_SHINGLES):
+            spans = zip(starts[lo : lo + BLOCK_SHINGLES], ends[lo : lo + BLOCK_SHINGLES])
+            first = np.frombuffer(b"".join([md5(data[x:y]).digest() for x, y in spans]), ">u4")[::4].astype(np.uint32) >> np.uint32(4)  # the first seven hex digits
+            least = np.minimum(least, (first * factors).min(axis=1))  # numbers of 32 bits wrap at the modulus
+        return ",".join(map(str, least.tolist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([signature(t.as_py()) for t in batch.column(1)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], ["doc_id", "signature"]).filter(made.is_valid())
+
+    said = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    return docs.where("text IS NOT NULL").select("doc_id", said.alias("said")).mapInArrow(run, f"doc_id {kind}, signature string")
 
 
 def first_seen(docs: DataFrame, key: str, order: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from facetspark.functions import text as T
 from facetspark.operators import communities, context, graph, metrics, units
+from facetspark.sources.scratch import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -121,7 +122,7 @@ m AS (SELECT doc_id, i, min((h * ((i * 2654435761 + 1) % 4294967296)) % 42949672
 g AS (SELECT doc_id, string_agg(m::VARCHAR, ',' ORDER BY i) AS signature FROM m GROUP BY 1)
 SELECT doc_id, md5(signature) AS signature_md5, min(doc_id) OVER (PARTITION BY signature) AS first_id FROM g""")
 def t21_minhash_signatures(spark, sf_dir):
-    g = units.minhash_groups(table(spark, sf_dir, "documents"))
+    g = written(units.minhash_groups(table(spark, sf_dir, "documents")))  # used twice
     first = g.groupBy("signature").agg(F.min("doc_id").alias("first_id"))
     return g.join(first, "signature").select("doc_id", F.md5("signature").alias("signature_md5"), "first_id")
 

@@ -406,3 +406,25 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
     q = incremental.windowed_counts(stream, "1 hour").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("SELECT sum(n) FROM counts").first()[0] == events.count()
+
+
+def test_minhash_signatures_are_made_once_and_equal_the_plain_ones(spark, tmp_path):
+    import hashlib
+    import re
+
+    from facetspark.operators import units
+    from facetspark.plans import texts
+
+    said = ["Ein Wort\tund  noch\x0bÄin wort", "a b c d", " a b c d e ", "A b c d x e", "", None, " ".join(f"w{i % 3000}" for i in range(9000)), " \n "]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+
+    def plain(text):
+        w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if x]
+        h = {int(hashlib.md5(" ".join(w[i : i + 5]).encode()).hexdigest()[:7], 16) for i in range(len(w) - 4)}
+        return ",".join(str(min(x * ((i * 2654435761 + 1) % 2**32) % 2**32 for x in h)) for i in range(32)) if h else None
+
+    got = {r.doc_id: r.signature for r in units.minhash_groups(docs).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(said) if t and plain(t)} and len(got) == 4
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    df = texts.t21_minhash_signatures(spark, str(tmp_path))
+    assert df.count() == 4 and not [f for f in df.inputFiles() if "documents.parquet" in f]
