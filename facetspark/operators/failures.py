@@ -62,11 +62,13 @@ def fact_items(facts: DataFrame, chunks: DataFrame, texts: DataFrame) -> DataFra
     docs = chunks.join(facts.select("case", "doc").distinct(), ["case", "doc"], "left_semi").groupBy("case", "doc").pivot("stage", list(STAGES)).agg(said.alias("said"))
     cut = chunks.where("stage = 'context' AND truncated").groupBy("case", "chunk").agg(F.max(F.length(F.coalesce("body", F.lit("")))).alias("kept"))
     ends = cut.join(texts.select("chunk", "text"), "chunk").select("case", "chunk", F.substring(F.col("text"), (F.col("kept") + 1).cast("int"), F.length("text")).alias("rest"))
-    rows = facts.join(docs, ["case", "doc"], "left").join(ends, ["case", "chunk"], "left")
     wanted = normalise(F.coalesce("fact", F.lit("")))
     held = lambda s: F.coalesce(F.col("doc").isNotNull() & (F.col(s) != "") & (F.coalesce("fallback", F.lit(False)) | F.contains(F.col(s), wanted)), F.lit(False))
-    lost = ~held("context") & F.coalesce(F.contains(normalise(F.col("rest")), wanted), F.lit(False))
-    return _plain(rows.select("case", "item", *[held(s).alias(s) for s in STAGES], (held("context") & F.col("rest").isNotNull()).alias("partial"), lost.alias("tail")))
+    # what the stages hold is decided before the next join, which would move their texts with each fact
+    rows = facts.join(docs, ["case", "doc"], "left").select("case", "item", "chunk", "fact", *[held(s).alias(s) for s in STAGES])
+    rows = rows.join(ends, ["case", "chunk"], "left")
+    lost = ~F.col("context") & F.coalesce(F.contains(normalise(F.col("rest")), wanted), F.lit(False))
+    return _plain(rows.select("case", "item", *STAGES, (F.col("context") & F.col("rest").isNotNull()).alias("partial"), lost.alias("tail")))
 
 
 def _plain(items: DataFrame) -> DataFrame:

@@ -148,6 +148,20 @@ def test_causes_in_articles(spark):
     assert got == {"kept": (4, "inside", 0), "cut": (3, "tail", 0), "gone": (3, "context", 0), "unplaced": (1, "index", 0), "fallback": (4, "inside", 0), "part": (4, "inside", 1)}
 
 
+def test_texts_of_a_stage_go_no_further_than_their_facts(spark):
+    facts = spark.createDataFrame([("c", 1, "d", "d#0", "fox", False)], "case string, item int, doc string, chunk string, fact string, fallback boolean")
+    chunks = spark.createDataFrame([("c", "index", "d", "d#0", 0, "the fox", False)], "case string, stage string, doc string, chunk string, place int, body string, truncated boolean")
+    texts = spark.createDataFrame([("d#0", "the fox")], "chunk string, text string")
+    todo, met = [failures.fact_items(facts, chunks, texts)._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        todo += below
+        if node.nodeName() == "Join" and all("chunk" in x.output().mkString(" ") for x in below):
+            met += [(x.name(), x.dataType().simpleString()) for x in (below[0].output().apply(i) for i in range(below[0].output().size()))]
+    assert {t for c, t in met if c in failures.STAGES} == {"boolean"}
+
+
 def test_causes_in_sessions(spark):
     cases = spark.createDataFrame([(c, None, False, None, c != "b", False) for c in "abcd"], CASE)
     evidence = spark.createDataFrame([(c, i) for c in "abcd" for i in (1, 2)], "case string, item int")
