@@ -67,3 +67,27 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("qid").orderBy(F.desc("_nine"), "uid")  # a column of its own: an expression is computed for each comparison
     scored = bm25(docs, queries).withColumn("_nine", F.round("score", 9))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_nine")
+
+
+def tfidf(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, term, w): tf * (ln((1 + n) / (1 + df)) + 1) of each term of a document, scaled so that its squares sum up to 1.
+
+    Texts are dealt by document, so that terms are counted where they are split. Frequencies of the most common terms, as many as block_bytes
+    hold, are broadcast; only rows of the others are shuffled to meet theirs. n counts all rows, those without text too.
+    """
+    n = docs.agg(F.count("*").alias("n"))  # one row
+    dealt = docs.where("text IS NOT NULL").select("doc_id", "text").repartition("doc_id").select("doc_id", terms(F.col("text")).alias("t"))
+    tf = written(dealt.select("doc_id", F.explode_outer("t").alias("term")).where("term IS NOT NULL").groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
+    df = written(tf.groupBy("term").agg(F.count("*").alias("df")))
+    level, least, held = F.floor(F.log2("df")), None, 0
+    for r in df.groupBy(level.alias("level")).agg(F.sum(F.octet_length("term") + ROW_BYTES).alias("bytes")).orderBy(F.desc("level")).collect():  # a row for each power of two
+        held += r["bytes"]
+        if held > block_bytes:
+            break
+        least = r["level"]
+    common = df.where(F.lit(False) if least is None else level >= least)
+    met = tf.join(F.broadcast(common), "term", "left")
+    rare = met.where("df IS NULL").drop("df").join(df.hint("merge"), "term")
+    w = met.where("df IS NOT NULL").unionByName(rare).crossJoin(F.broadcast(n))
+    w = w.select("doc_id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    return w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id"))))

@@ -54,11 +54,7 @@ n AS (SELECT count(*) AS n FROM documents), d AS (SELECT term, count(*) AS df FR
 u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS rank FROM u)
 SELECT doc_id, term, round(w, 6) AS weight, rank FROM r WHERE rank <= 5""")
 def r15_tfidf_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    tf = docs.select("doc_id", F.explode(lexical.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))
-    w = tf.join(df, "term").withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    u = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id"))))
+    u = lexical.tfidf(table(spark, sf_dir, "documents"))
     nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc(F.round("w", 9)), "term"))
     return u.withColumn("rank", nth.cast("long")).where("rank <= 5").select("doc_id", "term", F.round("w", 6).alias("weight"), "rank")
 

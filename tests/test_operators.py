@@ -428,3 +428,20 @@ def test_minhash_signatures_are_made_once_and_equal_the_plain_ones(spark, tmp_pa
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     df = texts.t21_minhash_signatures(spark, str(tmp_path))
     assert df.count() == 4 and not [f for f in df.inputFiles() if "documents.parquet" in f]
+
+
+def test_tfidf_is_the_same_however_many_terms_are_broadcast(spark):
+    from collections import Counter
+    from math import log, sqrt
+
+    from facetspark.operators import lexical
+
+    said = {0: "aa bb bb cc", 1: "AA dd", 2: "aa bb x", 3: None, 4: "", 5: "aa ee ee ff gg"}
+    docs = spark.createDataFrame(list(said.items()), "doc_id long, text string").unionByName(spark.createDataFrame([(5, "ee aa")], "doc_id long, text string"))
+    said[5] += " ee aa"
+    tf = {d: Counter(w for w in (t or "").lower().split() if len(w) > 1) for d, t in said.items()}
+    df = Counter(w for c in tf.values() for w in c)
+    w = {d: {t: n * (log((1 + 7) / (1 + df[t])) + 1) for t, n in c.items()} for d, c in tf.items()}
+    want = {(d, t): round(x / sqrt(sum(y * y for y in c.values())), 9) for d, c in w.items() for t, x in c.items()}
+    for held in (0, 2 * lexical.ROW_BYTES + 10, lexical.BLOCK_BYTES):
+        assert {(r.doc_id, r.term): round(r.w, 9) for r in lexical.tfidf(docs, held).collect()} == want
