@@ -19,10 +19,10 @@ SELECT 'topic' AS side, topic AS id, count(*) AS degree, 0::BIGINT AS coincident
 def l19_placebo_links(spark, sf_dir):
     """Links of orders and parts with the parts shuffled: every end keeps its degree, and no link is a given one or stands twice."""
     given = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("topic"), F.col("l_partkey").alias("community")).distinct()
-    made = placebo.placebo_links(given.withColumn("w", F.lit(1.0)))
-    side = lambda c: made.select(F.lit(c).alias("side"), F.col(c).alias("id"), F.col("coincident").cast("int").alias("x"), F.col("repeated").cast("int").alias("y"))
-    every = side("topic").unionByName(side("community"))
-    return every.groupBy("side", "id").agg(F.count("*").alias("degree"), F.sum("x").alias("coincident"), F.sum("y").alias("repeated"))
+    made = placebo.placebo_links(given.withColumn("w", F.lit(1.0)), distinct=True)
+    degrees = lambda c: made.groupBy(F.col(c).alias("id")).agg(F.count("*").alias("degree"), *[F.sum(F.col(x).cast("int")).alias(x) for x in ("coincident", "repeated")])
+    side = lambda c: degrees(c).select(F.lit(c).alias("side"), "id", "degree", "coincident", "repeated")
+    return side("topic").unionByName(side("community"))
 
 
 @query("""WITH RECURSIVE c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY o_custkey) AS i, sum(n) OVER (ORDER BY o_custkey) AS upto FROM c),

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,38 @@ def test_placebo_marks_what_cannot_be_repaired(spark):
     assert placebo.placebo_links(whole.limit(0)).collect() == []
 
 
+def test_placebo_rounds_write_no_links(spark, monkeypatch):
+    rng, sizes = random.Random(6), []
+    links = sorted({(min(rng.randint(0, 60), rng.randint(0, 60)), rng.randint(0, 60)) for _ in range(1000)})
+    df = spark.createDataFrame([(t, c, 1.0) for t, c in links], "topic long, community long, w double")
+
+    def recorded(table, f=placebo.written):
+        out = f(table)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(placebo, "written", recorded)
+    monkeypatch.setattr(placebo, "TRIES", 1)
+    monkeypatch.setattr(placebo, "PARTNERS", 2)
+    got = placebo.placebo_links(df, rounds=3).collect()
+    assert sum(n == len(links) for n in sizes) == 4  # named, two orders and the match; the rounds add none
+    assert sorted(r.community for r in got) == sorted(c for _, c in links) and sorted(r.topic for r in got) == sorted(t for t, _ in links)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, placebo.placebo_links(df, rounds=3, distinct=True).collect()))
+
+
+def test_placebo_of_repeated_and_null_links(spark, monkeypatch):
+    rng = random.Random(8)
+    links = [(rng.choice([None, *"abcdefghij"]), rng.choice([None, *range(12)]), rng.randint(0, 2) / 7) for _ in range(60)]
+    df = spark.createDataFrame(links, "topic string, community long, w double")
+    got = placebo.placebo_links(df, rounds=4).collect()
+    pairs, given = Counter((r.topic, r.community) for r in got), {(t, c) for t, c, _ in links}
+    assert all(r.coincident == (None not in (r.topic, r.community) and (r.topic, r.community) in given) for r in got)
+    assert Counter((r.topic, r.community) for r in got if r.repeated) == Counter({p: n - 1 for p, n in pairs.items() if n > 1})
+    assert Counter(r.community for r in got) == Counter(c for _, c, _ in links) and Counter((r.topic, r.w) for r in got) == Counter((t, w) for t, _, w in links)
+    monkeypatch.setattr(placebo, "SMALL", 0)  # every join is shuffled, and swaps are put in place at once
+    assert Counter(map(tuple, placebo.placebo_links(df, rounds=4).collect())) == Counter(map(tuple, got))
+
+
 def plan_by_hand(sizes, target):
     out, shard, held = [], 0, 0
     for n in sizes:
