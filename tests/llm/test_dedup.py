@@ -135,6 +135,27 @@ def removed_by_hand(texts, window):
     return out
 
 
+def test_only_what_may_repeat_is_sorted(monkeypatch):
+    rng, sorted_symbols = random.Random(3), []
+    some = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    groups = []
+    for _ in range(60):
+        sides = [(some(63), some(63)) for _ in range(2)]
+        for _ in range(rng.randint(0, 5)):
+            b, a = rng.choice(sides)
+            x, y = rng.randint(0, 63), rng.randint(0, 63)
+            sides.append((some(63 - x) + b[len(b) - min(x, len(b)) :], a[:y] + some(63 - y)) if rng.random() < 0.8 else (b[rng.randint(0, 63) :], a))
+        groups.append(list(dict.fromkeys(sides)))
+    monkeypatch.setattr(substring_dedup, "suffix_array", lambda x: sorted_symbols.append(len(x)) or suffix_array(x))
+    got = substring_dedup.repeats(groups)
+    for sides, masks in zip(groups, got):
+        strings = [{(j, b[len(b) - j :] if j else b"", a[: 63 - j]) for j in range(len(b) + 1) if len(a) >= 63 - j} for b, a in sides]
+        for i, mask in enumerate(masks):
+            others = set().union(*(strings[:i] + strings[i + 1 :]))
+            assert {j for j in range(64) if mask >> j & 1} == {x[0] for x in strings[i] & others}
+    assert sum(m != 0 for ms in got for m in ms) > 50 and sorted_symbols[0] < 0.8 * sum(len(b) + len(a) + 2 for s in groups for b, a in s)
+
+
 @pytest.mark.parametrize(("window", "hot"), [(128, 4096), (200, 1)])
 def test_substring_dedup_by_brute_force(spark, window, hot):
     rng = random.Random(3)
