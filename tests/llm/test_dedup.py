@@ -187,6 +187,19 @@ def test_places_do_not_depend_on_stretches(monkeypatch):
     assert whole.tolist() == substring_dedup.places(data, 200).tolist()
 
 
+def test_a_place_stands_for_many_strings():
+    rng = random.Random(5)
+    some = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    data = some(60_000)
+    n, at = len(data) - 399, substring_dedup.places(np.frombuffer(data, np.uint8), 400)
+    assert len(at) * 50 < n and at[0] < 64 and n - 1 <= at[-1] < n + 63 and 0 < np.diff(at).min() and np.diff(at).max() <= 64
+    for _ in range(50):  # what stands for a string depends on its bytes alone
+        p, before = rng.randrange(n), rng.randrange(300)
+        copy = substring_dedup.places(np.frombuffer(some(before) + data[p : p + 400] + some(200), np.uint8), 400) - before + p
+        alone = substring_dedup.places(np.frombuffer(data[p : p + 400], np.uint8), 400) + p
+        assert len(alone) == 1 and alone[0] in at and alone[0] in copy
+
+
 def thue_morse(blocks, a, b):
     """The Thue-Morse word over two strings and its complement: polynomial hashes modulo a power of two take them for equal."""
     bits = [bin(i).count("1") % 2 for i in range(blocks)]
