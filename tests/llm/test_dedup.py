@@ -173,6 +173,20 @@ def test_substring_dedup_by_brute_force(spark, window, hot):
         assert (r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), bytes(r.kept)) == by_hand[r.doc_id]
 
 
+def test_sorting_tasks_follow_the_neighbourhoods(spark, monkeypatch):
+    rng, tasks = random.Random(9), []
+    base = "".join(rng.choice("abcdef") for _ in range(300))
+    texts = [rng.choice("xyz") * rng.randrange(1, 60) + base[: rng.randrange(150, 300)] + f"end {i}" for i in range(40)]
+    sort = substring_dedup._sorted_masks
+    monkeypatch.setattr(substring_dedup, "PIECES_A_TASK", 10)
+    monkeypatch.setattr(substring_dedup, "_sorted_masks", lambda pieces, *n: [x := sort(pieces, *n), tasks.append(x.rdd.getNumPartitions())][0])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_hand = removed_by_hand([t.encode() for t in texts], 128)
+    for r in substring_dedup.substring_dedup(d, window=128).collect():
+        assert (r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), bytes(r.kept)) == by_hand[r.doc_id]
+    assert tasks[0] >= 4
+
+
 def test_substring_dedup_of_awkward_documents(docs, none):
     got = substring_dedup.substring_dedup(docs).collect()
     by_hand = removed_by_hand([(t or "").encode() for _, t in rows(docs.select("doc_id", "text"))], 400)
