@@ -187,6 +187,29 @@ def test_sorting_tasks_follow_the_neighbourhoods(spark, monkeypatch):
     assert tasks[0] >= 4
 
 
+def test_crowded_keys_are_dealt_over_tasks(spark):
+    many = spark.range(5000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    few = many.groupBy("k").agg(F.count("*").alias("c")).where("k % 2 = 1")
+    got = substring_dedup._met(many, few, ["k"], few, "c", ["x"])
+    assert rows(got.select("k", "x", "c")) == rows(many.join(few, "k").select("k", "x", "c"))
+    dealt = substring_dedup._dealt(many, few, ["k"], "c", ["x"])
+    assert dealt.groupBy("k", "part").count().agg(F.max("count")).first()[0] < 2000 and dealt.count() == 5000
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_substring_dedup_with_crowds_by_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "CROWD", 4)
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdef") for _ in range(400))
+    texts = [rng.choice(["", "x", "yz"]) * rng.randrange(1, 60) + base[rng.randrange(3) * 20 : rng.randrange(250, 400)] + rng.choice(["", "end", f"end {i}"]) for i in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_hand = removed_by_hand([t.encode() for t in texts], 128)
+    got = substring_dedup.substring_dedup(d, window=128, hot=hot).collect()
+    assert len(got) == 60
+    for r in got:
+        assert (r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), bytes(r.kept)) == by_hand[r.doc_id]
+
+
 def test_substring_dedup_of_awkward_documents(docs, none):
     got = substring_dedup.substring_dedup(docs).collect()
     by_hand = removed_by_hand([(t or "").encode() for _, t in rows(docs.select("doc_id", "text"))], 400)
