@@ -14,12 +14,28 @@ def meet(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame
     return left.join(right.hint("merge"), on, how)
 
 
+#: Phrases of a unit that are paired at a time, and pairs that a task counts.
+HEADS, PAIRS = 256, 1_000_000
+
+
 def cooccurrence(occurrences: DataFrame) -> DataFrame:
-    """(a, b, n): units (unit, phrase) in which both phrases stand, a < b. A unit's phrases are capped by the extractor, so its pairs are bounded."""
-    once = occurrences.dropDuplicates(["unit", "phrase"])
-    listed = once.groupBy("unit").agg(F.sort_array(F.collect_list("phrase")).alias("p"))
-    pairs = listed.select(F.posexplode("p").alias("i", "a"), "p").select("a", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    """(a, b, n): units (unit, phrase) in which both phrases stand, a < b. A column f that belongs to the phrase is handed on as fa and fb.
+
+    A unit's pairs grow with the square of its phrases, so pairs aren't shuffled one by one: each phrase goes to its task with the array of those
+    that follow it in the unit. Tasks are as many as the pairs call for, and a long unit is dealt over them by blocks of its phrases.
+    """
+    f, fa, fb = (["f"], ["fa"], ["fb"]) if "f" in occurrences.columns else ([], [], [])
+    listed = occurrences.where("phrase IS NOT NULL").groupBy("unit").agg(F.sort_array(F.collect_set(F.struct("phrase", *f))).alias("p"))
+    listed = written(listed.where(F.size("p") > 1))  # used twice
+    pairs = listed.agg(F.sum(F.size("p").cast("long") * (F.size("p") - 1) / 2)).first()[0] or 0
+    tasks = 1 + int(pairs) // PAIRS
+    blocks = listed.select("unit", F.explode(F.sequence(F.lit(0), F.size("p") - 2, F.lit(HEADS))).alias("at"), "p")
+    dealt = blocks.select("unit", "at", F.slice("p", F.col("at") + 1, F.size("p")).alias("p")).repartition(tasks, "unit", "at")
+    heads = dealt.select(F.posexplode_outer(F.slice("p", 1, HEADS)).alias("i", "x"), "p").where(F.col("i") < F.size("p") - 1)
+    end = lambda x, phrase, f: [F.col(f"{x}.phrase").alias(phrase), *[F.col(f"{x}.f").alias(c) for c in f]]
+    tails = heads.select(*end("x", "a", fa), F.slice("p", F.col("i") + 2, F.size("p")).alias("y")).repartition(tasks, "a")
+    met = tails.select("a", *fa, F.explode_outer("y").alias("y")).select("a", *fa, *end("y", "b", fb))
+    return met.groupBy("a", "b", *fa, *fb).agg(F.count("*").alias("n")).select("a", "b", "n", *fa, *fb)
 
 
 def hub_rule(occurrences: DataFrame, share: float = 0.005) -> DataFrame:
@@ -45,25 +61,27 @@ def hub_rule(occurrences: DataFrame, share: float = 0.005) -> DataFrame:
 def pmi(edges: DataFrame, freq: DataFrame) -> DataFrame:
     """Edges with fa, fb and weight p(a, b) * log2(p(a, b) / (p(a) p(b))).
 
-    p(a, b) is an edge's share of all edges' counts, p(a) a phrase's share of all phrases' frequencies (phrase, f).
+    p(a, b) is an edge's share of all edges' counts, p(a) a phrase's share of all phrases' frequencies (phrase, f). Edges that
+    carry their ends' frequencies already are not joined with them.
     """
-    edges = written(edges)  # used twice
-    pairs, total = edges.agg(F.sum("n").alias("pairs")), freq.agg(F.sum("f").alias("total"))  # one row each
-    fa, fb = freq.select(F.col("phrase").alias("a"), F.col("f").alias("fa")), freq.select(F.col("phrase").alias("b"), F.col("f").alias("fb"))
-    both = meet(meet(edges, fa, "a"), fb, "b").crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(total))
-    p = F.col("n") / F.col("pairs")
-    return both.withColumn("weight", p * F.log2(p / (F.col("fa") / F.col("total") * F.col("fb") / F.col("total")))).drop("pairs", "total")
+    both = edges = written(edges)  # read often
+    pairs, total = edges.agg(F.sum("n")).first()[0] or 0, freq.agg(F.sum("f")).first()[0] or 0
+    if "fa" not in edges.columns:
+        fa, fb = freq.select(F.col("phrase").alias("a"), F.col("f").alias("fa")), freq.select(F.col("phrase").alias("b"), F.col("f").alias("fb"))
+        both = meet(meet(edges, fa, "a"), fb, "b")
+    p = F.col("n") / F.lit(pairs)
+    return both.withColumn("weight", p * F.log2(p / (F.col("fa") / F.lit(total) * F.col("fb") / F.lit(total))))
 
 
 def prune(weighted: DataFrame, least_freq: int = 2, share: float = 0.4) -> DataFrame:
     """Edges (a, b, fa, fb, weight) without the best connected phrase and rare phrases, from the weights' quantile up, above 0; in that order.
 
-    Degrees are counted once, over all edges, so that each phrase of an edge has one at least.
+    Degrees are counted once, over all edges, so that each phrase of an edge has one at least. What is left is not held: to
+    weigh edges that are written (`pmi`) takes less than to write them again.
     """
     ends = weighted.select(F.col("a").alias("p")).unionByName(weighted.select(F.col("b").alias("p"))).groupBy("p").agg(F.count("*").alias("deg"))
-    ego = ends.agg(F.min_by("p", F.struct((-F.col("deg")).alias("fewer"), "p")).alias("ego"))  # one row
-    left = weighted.crossJoin(F.broadcast(ego)).where((F.col("a") != F.col("ego")) & (F.col("b") != F.col("ego"))).drop("ego")
-    left = cut(left.where((F.col("fa") >= least_freq) & (F.col("fb") >= least_freq)))
+    ego = ends.agg(F.min_by("p", F.struct((-F.col("deg")).alias("fewer"), "p"))).first()[0]
+    left = weighted.where((F.col("a") != F.lit(ego)) & (F.col("b") != F.lit(ego)) & (F.col("fa") >= least_freq) & (F.col("fb") >= least_freq))
     least = exact_percentile(left, "weight", share)
     return left.where((F.col("weight") >= F.lit(least)) & (F.col("weight") > 0))
 

@@ -237,29 +237,33 @@ pr AS (SELECT x.phrase AS a, y.phrase AS b, count(*) AS n FROM occ x JOIN occ y
 tt AS (SELECT (SELECT sum(n) FROM pr) AS pairs, (SELECT sum(f) FROM fr) AS total),
 w AS (SELECT a, b, n, x.f AS fa, y.f AS fb, n / pairs * log2((n / pairs) / (x.f / total * y.f / total)) AS weight FROM pr JOIN fr x ON x.phrase = a JOIN fr y ON y.phrase = b, tt)"""
 
+#: The same with all different words of a unit, however long it is.
+EVERY_PHRASE_SQL = PHRASES_SQL.replace("(SELECT *, row_number() OVER (PARTITION BY unit ORDER BY i) AS r FROM fp) WHERE r <= 50", "fp")
 
-def _occurrences(spark, sf_dir):
+
+def _occurrences(spark, sf_dir, first: int | None = 50):
+    """(unit, phrase, pron): a unit's first phrases, or with None all of them."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))
-    found = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("unit"), F.explode(F.slice(words, 1, 50)).alias("phrase"))
+    found = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("unit"), F.explode(F.slice(words, 1, first) if first else words).alias("phrase"))
     return found.withColumn("pron", F.col("phrase").isin(*PRONOUNS))
 
 
-def _content(spark, sf_dir):
-    """Occurrences of the phrases that the hub rule leaves, and their frequencies."""
-    occ = _occurrences(spark, sf_dir)
+def _content(spark, sf_dir, first: int | None = 50):
+    """Occurrences (unit, phrase, pron, f) of the phrases that the hub rule leaves, and their frequencies (phrase, f)."""
+    occ = written(_occurrences(spark, sf_dir, first))  # used twice
     freq = graph.hub_rule(occ).where("NOT hub AND NOT pronoun").select("phrase", "f")
-    return graph.meet(occ, freq.select("phrase"), "phrase", "left_semi"), freq
+    return graph.meet(occ, freq, "phrase"), freq
 
 
-def _weighted(spark, sf_dir):
-    occ, freq = _content(spark, sf_dir)
+def _weighted(spark, sf_dir, first: int | None = 50):
+    occ, freq = _content(spark, sf_dir, first)
     return graph.pmi(graph.cooccurrence(occ), freq)
 
 
-@query(f"WITH {PHRASES_SQL} SELECT a, b, n, round(weight, 9) AS weight FROM w")
+@query(f"WITH {EVERY_PHRASE_SQL} SELECT a, b, n, round(weight, 9) AS weight FROM w")
 def a13_cooccurrence_pmi(spark, sf_dir):
     """Phrases that share a unit, after the hub rule, weighted by pointwise mutual information times probability."""
-    return _weighted(spark, sf_dir).select("a", "b", "n", F.round("weight", 9).alias("weight"))
+    return _weighted(spark, sf_dir, None).select("a", "b", "n", F.round("weight", 9).alias("weight"))
 
 
 PRUNED_SQL = """dg AS (SELECT p, count(*) AS deg FROM (SELECT a AS p FROM w UNION ALL SELECT b FROM w) GROUP BY 1), ego AS (SELECT p FROM dg ORDER BY deg DESC, p LIMIT 1),
