@@ -8,7 +8,7 @@ from facetspark.functions import dates, text as T
 from facetspark.operators import communities, context, coverage, gate, graph, reports, select, similarity, stats
 from facetspark.plans.common import Register, table
 from facetspark.plans.retrieval import _search, _vectors, contained, sim_sql
-from facetspark.plans.texts import NORM, PHRASES_SQL, PRUNED_SQL, _content, _occurrences, _weighted
+from facetspark.plans.texts import EVERY_PHRASE_SQL, NORM, PHRASES_SQL, PRUNED_SQL, _content, _occurrences, _weighted
 
 query = Register()
 long = lambda c: F.col(c).cast("long").alias(c)
@@ -346,13 +346,13 @@ def j23_two_hops(spark, sf_dir):
     return graph.expand(s, l).groupBy("qid").agg(F.count("*").alias("reached"), F.sum("node").alias("checksum"))
 
 
-@query(f"""WITH {PHRASES_SQL}, {PRUNED_SQL}, ut AS (SELECT conv_id * 1000 + turn AS unit, i AS topic, CASE i WHEN turn % 4 THEN 0.7 ELSE 0.1 END AS p FROM conversations, range(0, 4) r(i)),
+@query(f"""WITH {EVERY_PHRASE_SQL}, {PRUNED_SQL}, ut AS (SELECT conv_id * 1000 + turn AS unit, i AS topic, CASE i WHEN turn % 4 THEN 0.7 ELSE 0.1 END AS p FROM conversations, range(0, 4) r(i)),
 pt AS (SELECT topic, i, cos(topic * 2 + i) AS x FROM range(0, 4) a(topic), range(0, 3) b(i)), ms AS (SELECT phrase, topic, sum(p) AS p FROM occ JOIN ut USING (unit) GROUP BY ALL), tv AS (SELECT phrase, i, sum(p * x) / (SELECT sum(p) FROM ms m2 WHERE m2.phrase = ms.phrase) AS x FROM ms JOIN pt USING (topic) GROUP BY phrase, i),
 nv AS (SELECT phrase, list(x / n ORDER BY i) AS v FROM tv JOIN (SELECT phrase, sqrt(sum(x * x)) AS n FROM tv GROUP BY 1) USING (phrase) GROUP BY phrase)
 SELECT a, b, round(weight * (1 + greatest(-1, least(1, list_dot_product(x.v, y.v)))), 9) AS weight FROM pruned JOIN nv x ON x.phrase = a JOIN nv y ON y.phrase = b""")
 def a15_topic_weighted_edges(spark, sf_dir):
     """Phrases as means of topic prototypes by the mass of their units, and edges weighted by one plus the cosine of their ends."""
-    occ, freq = _content(spark, sf_dir)
+    occ, freq = _content(spark, sf_dir, None)
     edges = graph.prune(graph.pmi(graph.cooccurrence(occ), freq))
     turns = table(spark, sf_dir, "conversations")
     topic = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("topic")
