@@ -317,13 +317,13 @@ def g16_evidence_graph(spark, sf_dir):
     return e.groupBy("kind").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
-@query(f"""WITH {PHRASES_SQL}, {PRUNED_SQL}, m AS (SELECT p AS id, ascii(p) % 7 AS community FROM (SELECT a AS p FROM pruned UNION SELECT b FROM pruned)), e AS (SELECT x.community AS ca, y.community AS cb FROM pruned JOIN m x ON x.id = a JOIN m y ON y.id = b),
+@query(f"""WITH {EVERY_PHRASE_SQL}, {PRUNED_SQL}, m AS (SELECT p AS id, ascii(p) % 7 AS community FROM (SELECT a AS p FROM pruned UNION SELECT b FROM pruned)), e AS (SELECT x.community AS ca, y.community AS cb FROM pruned JOIN m x ON x.id = a JOIN m y ON y.id = b),
 i AS (SELECT ca AS community, count(*) AS inside FROM e WHERE ca = cb GROUP BY 1), s AS (SELECT community, count(*) AS size FROM m GROUP BY 1), t AS (SELECT count(*) AS edges, avg((ca = cb)::INT) AS intra FROM e)
 SELECT count(*) AS communities, sum(size)::BIGINT AS nodes, any_value(edges) AS edges, round(max(size) / sum(size), 6) AS largest_share, round(2 * any_value(edges) / (sum(size) * (sum(size) - 1)), 6) AS density, round(any_value(intra), 6) AS intra_share,
 round(avg(CASE WHEN size >= 2 THEN coalesce(inside, 0) / (size * (size - 1) / 2) END), 6) AS within_density FROM s LEFT JOIN i USING (community), t""")
 def a19_graph_diagnostics(spark, sf_dir):
     """Shares and densities of a grouping of the pruned graph, here by the first letter."""
-    e = graph.prune(_weighted(spark, sf_dir))
+    e = graph.prune(_weighted(spark, sf_dir, None))
     ids = e.select(F.col("a").alias("id")).union(e.select("b")).distinct()
     d = graph.diagnostics(e, ids.withColumn("community", F.ascii("id") % 7))
     return d.select("communities", "nodes", "edges", *rounded("largest_share", "density", "intra_share", "within_density"))
