@@ -329,9 +329,9 @@ def a19_graph_diagnostics(spark, sf_dir):
     return d.select("communities", "nodes", "edges", *rounded("largest_share", "density", "intra_share", "within_density"))
 
 
-@query(f"""WITH {PHRASES_SQL}, {PRUNED_SQL}, d AS (SELECT p, count(*) AS degree FROM (SELECT a AS p FROM pruned UNION ALL SELECT b FROM pruned) GROUP BY 1) SELECT degree, count(*) AS nodes FROM d GROUP BY 1""")
+@query(f"""WITH {EVERY_PHRASE_SQL}, {PRUNED_SQL}, d AS (SELECT p, count(*) AS degree FROM (SELECT a AS p FROM pruned UNION ALL SELECT b FROM pruned) GROUP BY 1) SELECT degree, count(*) AS nodes FROM d GROUP BY 1""")
 def a41_degree_distribution(spark, sf_dir):
-    e = graph.prune(_weighted(spark, sf_dir))
+    e = graph.prune(_weighted(spark, sf_dir, None))
     d = e.select(F.col("a").alias("p")).union(e.select("b")).groupBy("p").agg(F.count("*").alias("degree"))
     return d.groupBy("degree").agg(F.count("*").alias("nodes"))
 
