@@ -303,11 +303,11 @@ def g11_document_communities(spark, sf_dir):
     return communities.modularity_communities(pairs.where("weight >= 2"))
 
 
-@query(f"""WITH {PHRASES_SQL}, {PRUNED_SQL}, e AS (SELECT 'unit:' || unit AS src, 'mentions' AS kind, 'phrase:' || phrase AS dst FROM occ UNION ALL SELECT 'phrase:' || a, 'near', 'phrase:' || b FROM pruned UNION ALL SELECT 'unit:' || conv_id * 1000 + turn, 'said_by', 'role:' || role FROM conversations)
+@query(f"""WITH {EVERY_PHRASE_SQL}, {PRUNED_SQL}, e AS (SELECT 'unit:' || unit AS src, 'mentions' AS kind, 'phrase:' || phrase AS dst FROM occ UNION ALL SELECT 'phrase:' || a, 'near', 'phrase:' || b FROM pruned UNION ALL SELECT 'unit:' || conv_id * 1000 + turn, 'said_by', 'role:' || role FROM conversations)
 SELECT kind, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM e GROUP BY 1""".replace("'unit:' || conv_id * 1000 + turn", "'unit:' || (conv_id * 1000 + turn)"))
 def g16_evidence_graph(spark, sf_dir):
     """The typed edges of the evidence graph, summed up by type."""
-    occ, freq = _content(spark, sf_dir)
+    occ, freq = _content(spark, sf_dir, None)
     name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     near = graph.prune(graph.pmi(graph.cooccurrence(occ), freq))
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("unit"), "role")
