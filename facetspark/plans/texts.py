@@ -271,9 +271,9 @@ w2 AS (SELECT * FROM w WHERE a NOT IN (FROM ego) AND b NOT IN (FROM ego) AND fa
 pruned AS (SELECT * FROM w2 WHERE weight >= (SELECT quantile_cont(weight, 0.4) FROM w2) AND weight > 0)"""
 
 
-@query(f"WITH {PHRASES_SQL}, {PRUNED_SQL} SELECT a, b, n, round(weight, 9) AS weight FROM pruned")
+@query(f"WITH {EVERY_PHRASE_SQL}, {PRUNED_SQL} SELECT a, b, n, round(weight, 9) AS weight FROM pruned")
 def p17_pruned_graph(spark, sf_dir):
-    return graph.prune(_weighted(spark, sf_dir)).select("a", "b", "n", F.round("weight", 9).alias("weight"))
+    return graph.prune(_weighted(spark, sf_dir, None)).select("a", "b", "n", F.round("weight", 9).alias("weight"))
 
 
 @query()

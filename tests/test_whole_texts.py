@@ -30,7 +30,7 @@ def plain(rows):
     return sorted(tuple(f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["a13_cooccurrence_pmi", "a15_topic_weighted_edges", "a19_graph_diagnostics", "a41_degree_distribution", "g16_evidence_graph"])
+@pytest.mark.parametrize("name", ["a13_cooccurrence_pmi", "a15_topic_weighted_edges", "a19_graph_diagnostics", "a41_degree_distribution", "g16_evidence_graph", "p17_pruned_graph"])
 def test_phrases_behind_the_fiftieth_count(spark, turns, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{turns}/conversations.parquet/*.parquet'")
