@@ -42,6 +42,13 @@ def test_phrases_behind_the_fiftieth_count(spark, turns, name):
     assert plain(registry.QUERIES[name](spark, turns).select(*columns).collect()) == want
 
 
+def test_communities_hold_phrases_behind_the_fiftieth(spark, turns):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{turns}/conversations.parquet/*.parquet'")
+    ends = {x for a, b, *_ in con.execute(registry.ORACLES["p17_pruned_graph"]).fetchall() for x in (a, b)}
+    assert {r.id for r in registry.QUERIES["g10_phrase_communities"](spark, turns).collect()} == ends != set()
+
+
 def test_long_units_are_paired_in_blocks(spark, monkeypatch):
     """Blocks, tasks and frequencies that are handed on change no pair; a unit of null is a unit, a phrase of null is none."""
     monkeypatch.setattr(graph, "HEADS", 3)
